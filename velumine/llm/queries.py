@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from velumine.llm import packing, tokens
+from velumine.llm import packing, spans, tokens
 from velumine.session import Workspace
 from velumine.sources.tables import load
 
@@ -24,6 +24,14 @@ def p9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens", CONTAINER, work)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p8_ids": p8_ids, "p9_pack": p9_pack}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.SharedSpans(load(spark, sf_dir, "documents"), Workspace(spark, "p10")).pairs()
+
+
+def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.SharedSpans(load(spark, sf_dir, "documents"), Workspace(spark, "p10")).share()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p8_ids": p8_ids, "p9_pack": p9_pack, "p10_found": p10_found, "p10_share": p10_share}
 
 ORACLES: dict[str, str] = {}
