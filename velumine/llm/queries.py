@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from velumine.llm import packing, spans, tokens
+from velumine.llm import markup, packing, pieces, spans, tokens
 from velumine.session import Workspace
 from velumine.sources.tables import load
 
@@ -14,6 +15,23 @@ from velumine.sources.tables import load
 CONTAINER = 2048
 
 
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.pieces(load(spark, sf_dir, "documents"), load(spark, sf_dir, "chunks"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forced = p4_pieces(spark, sf_dir).groupBy("table_name", "item_id").agg(F.max("forced").alias("_f"))
+    return forced.select("table_name", "item_id", F.when(F.col("_f"), "forced").otherwise("natural").alias("kind"))
+
+
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.analyse_tables(load(spark, sf_dir, "documents"), load(spark, sf_dir, "chunks"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.kinds_found(load(spark, sf_dir, "documents"), load(spark, sf_dir, "chunks"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(load(spark, sf_dir, "documents"))
 
@@ -32,6 +50,16 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.SharedSpans(load(spark, sf_dir, "documents"), Workspace(spark, "p10")).share()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p8_ids": p8_ids, "p9_pack": p9_pack, "p10_found": p10_found, "p10_share": p10_share}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_clean": p5_clean, "p8_ids": p8_ids, "p9_pack": p9_pack, "p10_found": p10_found, "p10_share": p10_share}
+
+_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+"
+_RUN = f"list_max(list_transform(regexp_split_to_array(text, '{_SPACE}'), lambda w: strlen(w)))"
+P4_SQL = f"""
+SELECT table_name, item_id, CASE WHEN max(run) > max(most) THEN 'forced' ELSE 'natural' END AS kind FROM (
+  SELECT 'documents' AS table_name, CAST(doc_id AS VARCHAR) AS item_id, {_RUN} AS run, 6000 AS most FROM documents WHERE strlen(text) > 6000
+  UNION ALL
+  SELECT 'chunks', trim(id), {_RUN}, 1200 FROM chunks WHERE strlen(text) > 1200 AND lower(trim(level)) IN ('paragraph', 'sentence')
+) GROUP BY table_name, item_id
+"""
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"p4_found": P4_SQL}
