@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velumine.llm import markup, packing, pieces, spans, tokens
+from velumine.llm import functions_docs, markup, packing, pieces, spans, tokens
 from velumine.session import Workspace
 from velumine.sources.tables import load
 
@@ -15,6 +15,14 @@ from velumine.sources.tables import load
 CONTAINER = 2048
 
 
+def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return functions_docs.document_pairs(load(spark, sf_dir, "nodes"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_pairs(spark, sf_dir).select("node_id", "func_name")
+
+
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.pieces(load(spark, sf_dir, "documents"), load(spark, sf_dir, "chunks"))
 
@@ -50,7 +58,7 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.SharedSpans(load(spark, sf_dir, "documents"), Workspace(spark, "p10")).share()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_clean": p5_clean, "p8_ids": p8_ids, "p9_pack": p9_pack, "p10_found": p10_found, "p10_share": p10_share}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_clean": p5_clean, "p8_ids": p8_ids, "p9_pack": p9_pack, "p10_found": p10_found, "p10_share": p10_share}
 
 _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+"
 _RUN = f"list_max(list_transform(regexp_split_to_array(text, '{_SPACE}'), lambda w: strlen(w)))"
@@ -62,4 +70,4 @@ SELECT table_name, item_id, CASE WHEN max(run) > max(most) THEN 'forced' ELSE 'n
 ) GROUP BY table_name, item_id
 """
 
-ORACLES: dict[str, str] = {"p4_found": P4_SQL}
+ORACLES: dict[str, str] = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p4_found": P4_SQL}
