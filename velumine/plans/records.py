@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velumine.operators import orphans
+from velumine.operators import hierarchy, orphans
 from velumine.plans.registry import query
 from velumine.session import Workspace
 from velumine.sources.tables import load
@@ -53,3 +53,53 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p1_report", _ORPHANS + "SELECT table_name, field, period, reason, count(*) AS orphans FROM o WHERE reason IS NOT NULL GROUP BY ALL")
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orphans(spark, sf_dir).groupBy("table_name", "field", "period", "reason").agg(F.count(F.lit(1)).alias("orphans"))
+
+
+def _forest(spark: SparkSession, sf_dir: str) -> hierarchy.Forest:
+    rows = hierarchy.links(load(spark, sf_dir, "nodes"), "nodes").unionByName(hierarchy.links(load(spark, sf_dir, "chunks"), "chunks"))
+    return hierarchy.Forest(rows, Workspace(spark, "p6"))
+
+
+_TREES = f"""
+WITH RECURSIVE l AS (
+  SELECT 'nodes' AS t, {_key('id')} AS id, min({_key('parent_id')}) AS p FROM nodes GROUP BY 1, 2
+  UNION ALL SELECT 'chunks', {_key('id')}, min({_key('parent_id')}) FROM chunks GROUP BY 1, 2),
+n AS (SELECT l.t, l.id, q.id AS p FROM l LEFT JOIN l q ON l.t = q.t AND l.p = q.id),
+w AS (
+  SELECT t, id, id AS root_id, 0 AS depth, id AS path FROM n WHERE p IS NULL
+  UNION ALL SELECT n.t, n.id, w.root_id, w.depth + 1, w.path || '/' || n.id FROM n JOIN w ON n.t = w.t AND n.p = w.id),
+c AS (SELECT t, id, p FROM n WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.t = n.t AND w.id = n.id)),
+s AS (
+  SELECT t, id, p AS spot, 1 AS step FROM c
+  UNION ALL SELECT s.t, s.id, c.p, step + 1 FROM s JOIN c ON c.t = s.t AND c.id = s.spot WHERE step < 64),
+o AS (SELECT t, id FROM s WHERE spot = id GROUP BY ALL),
+r AS (SELECT s.t, s.id, min(spot) AS root_id FROM s JOIN o ON o.t = s.t AND o.id = s.spot GROUP BY ALL)
+"""
+
+
+@query("p6_found", _TREES + "SELECT t AS table_name, id AS item_id, root_id, depth FROM w WHERE depth >= 5 UNION ALL SELECT t, id, root_id, -1 FROM r")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = _forest(spark, sf_dir)
+    deep = forest.trees().filter("depth >= 5").select("table_name", "item_id", "root_id", "depth")
+    return deep.unionByName(forest.cycles())
+
+
+@query("p6_trees", _TREES + """
+SELECT w.t AS table_name, w.id AS item_id, w.root_id, w.depth, w.path FROM w""")
+def p6_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _forest(spark, sf_dir).trees().select("table_name", "item_id", "root_id", "depth", "path")
+
+
+@query("p6_ranges")
+def p6_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _forest(spark, sf_dir).trees()
+
+
+@query("p6_descendants", _TREES + """, d AS (
+  SELECT t, id AS item_id, id AS descendant_id, 0 AS distance FROM w WHERE depth >= 3
+  UNION ALL SELECT n.t, d.item_id, n.id, distance + 1 FROM n JOIN d ON n.t = d.t AND n.p = d.descendant_id)
+SELECT t AS table_name, item_id, descendant_id, distance FROM d WHERE distance > 0""")
+def p6_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = _forest(spark, sf_dir)
+    trees = forest.work.keep(forest.trees())
+    return hierarchy.descendants(trees, trees.filter("depth >= 3"))
