@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velumine.llm import functions_docs, markup, packing, pieces, spans, tokens
+from velumine.functions.text import key, level
+from velumine.llm import functions_docs, knn, markup, packing, pieces, spans, tokens
 from velumine.session import Workspace
 from velumine.sources.tables import load
 
@@ -40,6 +41,44 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.kinds_found(load(spark, sf_dir, "documents"), load(spark, sf_dir, "chunks"))
 
 
+def _indexes(spark: SparkSession, sf_dir: str) -> dict[str, knn.VectorIndex]:
+    work = Workspace(spark, "p7")
+    shard = F.concat(key("shard_id"), F.lit(":"), level("level"))
+    return {
+        "nodes": knn.VectorIndex(load(spark, sf_dir, "nodes"), work, key("id"), "embedding"),
+        "vec_chunks": knn.VectorIndex(load(spark, sf_dir, "vec_chunks"), work, key("id"), "embedding"),
+        "shard_centroids": knn.VectorIndex(load(spark, sf_dir, "shard_centroids"), work, shard, "centroid", scope=level("level")),
+    }
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+#: The least cosine of a pair in p7_found.
+ALIKE = 0.98
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = []
+    for name, index in _indexes(spark, sf_dir).items():
+        pairs = index.named(index.neighbours(index.rows, 10, floor=ALIKE), "a", "b")
+        parts.append(pairs.select(F.lit(name).alias("table_name"), F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")))
+    return _union(parts).distinct()
+
+
+def p7_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 most similar vectors of the records whose hashed id is divisible by 50, searched among all."""
+    parts = []
+    for name, index in _indexes(spark, sf_dir).items():
+        asked = index.rows if name == "shard_centroids" else index.rows.filter(F.pmod(F.xxhash64("_id"), F.lit(50)) == 0)
+        parts.append(index.named(index.neighbours(asked, 10)).select(F.lit(name).alias("table_name"), "id", "neighbour_id", F.round("similarity", 6).alias("similarity")))
+    return _union(parts)
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(load(spark, sf_dir, "documents"))
 
@@ -58,7 +97,7 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.SharedSpans(load(spark, sf_dir, "documents"), Workspace(spark, "p10")).share()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_clean": p5_clean, "p8_ids": p8_ids, "p9_pack": p9_pack, "p10_found": p10_found, "p10_share": p10_share}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_clean": p5_clean, "p7_found": p7_found, "p7_knn": p7_knn, "p8_ids": p8_ids, "p9_pack": p9_pack, "p10_found": p10_found, "p10_share": p10_share}
 
 _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+"
 _RUN = f"list_max(list_transform(regexp_split_to_array(text, '{_SPACE}'), lambda w: strlen(w)))"
