@@ -39,7 +39,7 @@ class Settings:
     query_rows: int = 24_000
     probes: int = 96
     margin: float = 0.35
-    places: int = 16
+    places: int = 32
     rerank: int = 48
 
 
