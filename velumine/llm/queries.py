@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velumine.functions.text import key, level
-from velumine.llm import functions_docs, knn, markup, packing, pieces, spans, tokens
+from velumine.llm import clusters, functions_docs, knn, markup, packing, pieces, spans, tokens, vectors
 from velumine.session import Workspace
 from velumine.sources.tables import load
 
@@ -24,6 +24,34 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pairs(spark, sf_dir).select("node_id", "func_name")
 
 
+#: Least cosine and size of clusters of nodes; least Jaccard similarity and size of clusters of chunks.
+NODE_CLUSTER, CHUNK_CLUSTER = (0.7, 10), (0.6, 3)
+
+
+def _node_clusters(spark: SparkSession, sf_dir: str, work: Workspace) -> clusters.VectorClusters:
+    return clusters.VectorClusters(vectors.usable(load(spark, sf_dir, "nodes"), work, key("id"), "embedding"), work, NODE_CLUSTER[0])
+
+
+def _chunk_clusters(spark: SparkSession, sf_dir: str, work: Workspace) -> clusters.WordClusters:
+    paragraphs = load(spark, sf_dir, "chunks").filter(level("level") == "paragraph")
+    return clusters.WordClusters(paragraphs.select(key("id").alias("_id"), F.col("text").alias("_text")), work, CHUNK_CLUSTER[0])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Workspace(spark, "p3")
+    nodes = _node_clusters(spark, sf_dir, work).members(NODE_CLUSTER[1]).select(F.lit("nodes").alias("table_name"), "item_id", "cluster_id")
+    chunks = _chunk_clusters(spark, sf_dir, work).members(CHUNK_CLUSTER[1]).select(F.lit("chunks").alias("table_name"), "item_id", "cluster_id")
+    return nodes.unionByName(chunks)
+
+
+def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Workspace(spark, "p3c")
+    nodes = _node_clusters(spark, sf_dir, work)
+    nodes = clusters.describe(nodes.affinity(nodes.members(NODE_CLUSTER[1])))
+    chunks = clusters.describe(_chunk_clusters(spark, sf_dir, work).members(CHUNK_CLUSTER[1]))
+    return nodes.withColumn("table_name", F.lit("nodes")).unionByName(chunks.withColumn("table_name", F.lit("chunks")))
+
+
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.pieces(load(spark, sf_dir, "documents"), load(spark, sf_dir, "chunks"))
 
@@ -97,7 +125,7 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.SharedSpans(load(spark, sf_dir, "documents"), Workspace(spark, "p10")).share()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_clean": p5_clean, "p7_found": p7_found, "p7_knn": p7_knn, "p8_ids": p8_ids, "p9_pack": p9_pack, "p10_found": p10_found, "p10_share": p10_share}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_clean": p5_clean, "p7_found": p7_found, "p7_knn": p7_knn, "p8_ids": p8_ids, "p9_pack": p9_pack, "p10_found": p10_found, "p10_share": p10_share}
 
 _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+"
 _RUN = f"list_max(list_transform(regexp_split_to_array(text, '{_SPACE}'), lambda w: strlen(w)))"
@@ -109,4 +137,4 @@ SELECT table_name, item_id, CASE WHEN max(run) > max(most) THEN 'forced' ELSE 'n
 ) GROUP BY table_name, item_id
 """
 
-ORACLES: dict[str, str] = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p4_found": P4_SQL}
+ORACLES: dict[str, str] = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": P4_SQL}
