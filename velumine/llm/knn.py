@@ -36,7 +36,8 @@ class Settings:
     list_rows: int = 300
     most_lists: int = 2048
     group_rows: int = 8_000
-    query_rows: int = 24_000
+    part_rows: int = 16_000
+    query_rows: int = 60_000
     probes: int = 96
     margin: float = 0.35
     places: int = 32
@@ -60,8 +61,8 @@ class VectorIndex:
         heads = V.spherical_kmeans(self.lists, max(1, math.ceil(self.total / settings.group_rows))) if len(x) else self.lists
         self.group = V.nearest(self.lists, heads)[0] if len(x) else np.zeros(0, np.int64)
         share = np.bincount(self.group[of], minlength=len(heads)) / max(1, len(of)) * self.total
-        self.parts = np.maximum(1, np.ceil(share / settings.group_rows)).astype(np.int64)
-        self.blocks = np.maximum(1, np.ceil(2 * share / settings.query_rows)).astype(np.int64)
+        self.parts = np.maximum(1, np.ceil(share / settings.part_rows)).astype(np.int64)
+        self.blocks = np.maximum(1, np.ceil(share / settings.query_rows)).astype(np.int64)
 
     def _stored(self) -> DataFrame:
         """Every vector with its group, part, list and codes, once for each block of the group's queries."""
@@ -119,9 +120,12 @@ class VectorIndex:
             if len(x):
                 codes = V.unpack_bytes(stored.column("_codes"), books.value.shape[0])
                 approx = np.ascontiguousarray((lists.value[stored.column("_list").to_numpy()] + V.decode(codes, books.value)).T)
-                for i in range(0, len(q), 1024):
-                    part = q[i : i + 1024]
-                    row, col = best_places(part @ approx, rerank)
+                # A product differs from its approximation by at most the length of what quantisation left out.
+                near = low - np.linalg.norm(x - approx.T, axis=1).astype(np.float32) - 1e-5
+                for i in range(0, len(q), 512):
+                    part = q[i : i + 512]
+                    s = part @ approx
+                    row, col = np.nonzero(s >= near) if low > -1 else best_places(s, rerank)
                     keep = rid[i + row] != other[col]
                     row, col = row[keep], col[keep]
                     sim = np.einsum("ij,ij->i", part[row].astype(np.float64), x[col].astype(np.float64))
