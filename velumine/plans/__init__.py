@@ -1,6 +1,6 @@
 """Named queries over the driver's tables."""
 
-from velumine.plans import records  # noqa: F401
+from velumine.plans import records, relational, search  # noqa: F401
 from velumine.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
