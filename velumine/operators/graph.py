@@ -66,11 +66,11 @@ class Graph:
     def callees(self, start: DataFrame, depth: int = 1) -> DataFrame:
         return self.walk(start, ["calls"], depth)
 
-    def ancestors(self, start: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
-        return self.walk(start, ["extends"], depth)
+    def ancestors(self, start: DataFrame, depth: int = MOST_DEPTH, types: Sequence[str] = ("extends",)) -> DataFrame:
+        return self.walk(start, types, depth)
 
-    def descendants(self, start: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
-        return self.walk(start, ["extends"], depth, forward=False)
+    def descendants(self, start: DataFrame, depth: int = MOST_DEPTH, types: Sequence[str] = ("extends",)) -> DataFrame:
+        return self.walk(start, types, depth, forward=False)
 
     def one_hop(self, start: DataFrame, edge_type: str, forward: bool = True) -> DataFrame:
         """Importers, imports and implementations: neighbours by one type of edge."""

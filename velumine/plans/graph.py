@@ -19,6 +19,10 @@ e AS (SELECT nullif(trim(source_id, E' \t\n\r'), '') AS source_id, nullif(trim(t
 _START = "s AS (SELECT id FROM nn WHERE file_path LIKE 'lib/core/%')"
 
 
+#: The tables name inheritance ``inherits``.
+INHERITS = ("inherits", "extends")
+
+
 def _graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(load(spark, sf_dir, "nodes"), load(spark, sf_dir, "edges"))
 
@@ -52,16 +56,16 @@ def graph_callees(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLASSES = "s AS (SELECT id FROM nn WHERE type = 'class')"
 
 
-@query("graph_ancestors", _walk_sql("'extends'", "source_id", "target_id", 4, _CLASSES))
+@query("graph_ancestors", _walk_sql("'inherits', 'extends'", "source_id", "target_id", 4, _CLASSES))
 def graph_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _graph(spark, sf_dir)
-    return g.ancestors(g.nodes.filter("type = 'class'").select("id"), 4)
+    return g.ancestors(g.nodes.filter("type = 'class'").select("id"), 4, INHERITS)
 
 
-@query("graph_descendants", _walk_sql("'extends'", "target_id", "source_id", 4, _CLASSES))
+@query("graph_descendants", _walk_sql("'inherits', 'extends'", "target_id", "source_id", 4, _CLASSES))
 def graph_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _graph(spark, sf_dir)
-    return g.descendants(g.nodes.filter("type = 'class'").select("id"), 4)
+    return g.descendants(g.nodes.filter("type = 'class'").select("id"), 4, INHERITS)
 
 
 @query("graph_importers", _walk_sql("'imports'", "target_id", "source_id", 1, "s AS (SELECT id FROM nn WHERE type = 'module')"))
@@ -70,10 +74,10 @@ def graph_importers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.one_hop(g.nodes.filter("type = 'module'").select("id"), "imports", forward=False)
 
 
-@query("graph_implementations", _walk_sql("'implements'", "target_id", "source_id", 1, _CLASSES))
+@query("graph_implementations", _walk_sql("'inherits'", "target_id", "source_id", 1, _CLASSES))
 def graph_implementations(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _graph(spark, sf_dir)
-    return g.one_hop(g.nodes.filter("type = 'class'").select("id"), "implements", forward=False)
+    return g.one_hop(g.nodes.filter("type = 'class'").select("id"), "inherits", forward=False)
 
 
 @query("graph_dependents", f"""WITH RECURSIVE {_G}, {_START}, w AS (SELECT id, 0 AS depth FROM s UNION SELECT e.source_id, w.depth + 1 FROM w JOIN e ON e.target_id = w.id WHERE w.depth < 3)
