@@ -52,8 +52,12 @@ def usable(df: DataFrame, workspace: Workspace, id_col: Column, vector_col: str,
             take = pa.array(good)
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pack(unit)], names=["_id", "_scope", "_v"])
 
-    rows = source.mapInArrow(run, "_id string, _scope string, _v binary").dropDuplicates(["_id", "_scope"])
-    return workspace.keep(rows.withColumn("_rid", F.monotonically_increasing_id()))
+    raw = workspace.keep(source.mapInArrow(run, "_id string, _scope string, _v binary").withColumn("_rid", F.monotonically_increasing_id()))
+    # Only ids are shuffled to find repeated records, and only the numbers of the repeats are joined back.
+    ids = raw.select("_id", "_scope", "_rid")
+    first = ids.groupBy("_id", "_scope").agg(F.min("_rid").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    repeats = workspace.keep(ids.join(first, ["_id", "_scope"]).filter("_rid <> _first").select("_rid"))
+    return raw.join(repeats, "_rid", "left_anti")
 
 
 def sample(rows: DataFrame, total: int, size: int, dim: int = 64) -> np.ndarray:
