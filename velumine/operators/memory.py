@@ -85,17 +85,22 @@ def consolidate(memories: DataFrame, now: Column, least: int = 10, older_hours:
     old = old.select("id", "session_id", tag.alias("tag"), "importance", "created_at", "content")
     enough = old.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select("session_id")
     old = old.join(enough, "session_id", "left_semi")
-    stats = old.groupBy("session_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("importance"), 3).alias("importance"))
+    stats = old.groupBy("session_id", "tag").agg(F.count(F.lit(1)).alias("n"), _mean("importance").alias("importance"))
     first = old.withColumn("_r", F.row_number().over(Window.partitionBy("session_id", "tag").orderBy("created_at", "id"))).filter(F.col("_r") <= bullets)
     line = F.concat(F.lit("- "), F.left(F.coalesce("content", F.lit("")), F.lit(width)))
     text = first.groupBy("session_id", "tag").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", line.alias("t")))), lambda x: x["t"]), "\n").alias("summary"))
     return stats.join(text, ["session_id", "tag"])
 
 
+def _mean(col: str) -> Column:
+    """Mean to three places; exact in decimals, so that ties round alike whatever the order of the rows."""
+    return F.round(F.avg(F.col(col).cast("decimal(18,6)")), 3).cast("double")
+
+
 def stats(memories: DataFrame) -> DataFrame:
     """(session_id, total, per type, forgotten, avg_importance)."""
     per = [F.count_if((F.col("type") == t) & (F.coalesce("forgotten", F.lit(0)) == 0)).alias(t) for t in TYPES]
-    return memories.groupBy("session_id").agg(F.count(F.lit(1)).alias("total"), *per, F.count_if(F.col("forgotten") == 1).alias("forgotten"), F.round(F.avg("importance"), 3).alias("avg_importance"))
+    return memories.groupBy("session_id").agg(F.count(F.lit(1)).alias("total"), *per, F.count_if(F.col("forgotten") == 1).alias("forgotten"), _mean("importance").alias("avg_importance"))
 
 
 def timeline(memories: DataFrame, session_id: str, most: int = 50) -> DataFrame:

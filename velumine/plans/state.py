@@ -85,7 +85,7 @@ def _now() -> F.Column:
 
 
 @query("memory_stats", f"""WITH {_MEM} SELECT session_id, count(*) AS total, count(*) FILTER (type = 'episodic' AND coalesce(forgotten, 0) = 0) AS episodic, count(*) FILTER (type = 'semantic' AND coalesce(forgotten, 0) = 0) AS semantic,
-count(*) FILTER (type = 'procedural' AND coalesce(forgotten, 0) = 0) AS procedural, count(*) FILTER (type = 'working' AND coalesce(forgotten, 0) = 0) AS working, count(*) FILTER (forgotten = 1) AS forgotten, round(avg(importance) + 1e-9, 3) AS avg_importance FROM m GROUP BY 1""")
+count(*) FILTER (type = 'procedural' AND coalesce(forgotten, 0) = 0) AS procedural, count(*) FILTER (type = 'working' AND coalesce(forgotten, 0) = 0) AS working, count(*) FILTER (forgotten = 1) AS forgotten, round((sum(importance::DECIMAL(18,6)) / count(importance))::DOUBLE + 1e-9, 3) AS avg_importance FROM m GROUP BY 1""")
 def memory_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.stats(_memories(spark, sf_dir))
 
@@ -121,7 +121,7 @@ def memory_related(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("memory_consolidate", f"""WITH {_MEM}, o AS (SELECT k, session_id, coalesce(tags[1], 'general') AS tag, importance, created_at, content FROM m WHERE type = 'episodic' AND coalesce(forgotten, 0) = 0 AND date_sub('hour', created_at, {_NOW_SQL}) > 24),
 g AS (SELECT * FROM o WHERE session_id IN (SELECT session_id FROM o GROUP BY 1 HAVING count(*) >= 10)),
 f AS (SELECT *, row_number() OVER (PARTITION BY session_id, tag ORDER BY created_at, k) AS r FROM g)
-SELECT session_id, tag, count(*) AS n, round(avg(importance), 3) AS importance, string_agg('- ' || left(coalesce(content, ''), 200), E'\\n' ORDER BY r) FILTER (r <= 20) AS summary FROM f GROUP BY 1, 2""")
+SELECT session_id, tag, count(*) AS n, round((sum(importance::DECIMAL(18,6)) / count(importance))::DOUBLE + 1e-9, 3) AS importance, string_agg('- ' || left(coalesce(content, ''), 200), E'\\n' ORDER BY r) FILTER (r <= 20) AS summary FROM f GROUP BY 1, 2""")
 def memory_consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.consolidate(_memories(spark, sf_dir), _now())
 
