@@ -60,6 +60,8 @@ class VectorIndex:
         # Near lists share a group.
         heads = V.spherical_kmeans(self.lists, max(1, math.ceil(self.total / settings.group_rows))) if len(x) else self.lists
         self.group = V.nearest(self.lists, heads)[0] if len(x) else np.zeros(0, np.int64)
+        #: Vectors of the sample in each list.
+        self.sizes = np.bincount(of, minlength=len(self.lists)).astype(np.float32)
         share = np.bincount(self.group[of], minlength=len(heads)) / max(1, len(of)) * self.total
         self.parts = np.maximum(1, np.ceil(share / settings.part_rows)).astype(np.int64)
         self.blocks = np.maximum(1, np.ceil(share / settings.query_rows)).astype(np.int64)
@@ -83,8 +85,8 @@ class VectorIndex:
 
     def _asked(self, queries: DataFrame) -> DataFrame:
         """Every query in each group part that it visits."""
-        lists, group, parts, blocks = (self.spark.sparkContext.broadcast(x) for x in (self.lists, self.group, self.parts, self.blocks))
-        dim, probes, margin = self.s.dim, self.s.probes, self.s.margin
+        lists, group, parts, blocks, sizes = (self.spark.sparkContext.broadcast(x) for x in (self.lists, self.group, self.parts, self.blocks, self.sizes))
+        dim, probes, margin, enough = self.s.dim, self.s.probes, self.s.margin, self.s.rerank
 
         def run(batches):
             for b in batches:
@@ -95,7 +97,12 @@ class VectorIndex:
                     floor = s.max(1) - margin
                     if s.shape[1] > probes:
                         floor = np.maximum(floor, np.partition(s, -probes, axis=1)[:, -probes])
-                    q, l = np.nonzero(s >= floor[:, None])
+                    go = s >= floor[:, None]
+                    # A query among small lists goes on to the next ones until they hold enough vectors.
+                    for few in np.flatnonzero(go @ sizes.value < enough):
+                        order = np.argsort(-s[few])
+                        go[few, order[: np.searchsorted(np.cumsum(sizes.value[order]), enough) + 1]] = True
+                    q, l = np.nonzero(go)
                     pairs = np.unique(q * np.int64(len(parts.value)) + group.value[l])
                     q, g = pairs // len(parts.value), pairs % len(parts.value)
                     n = parts.value[g]

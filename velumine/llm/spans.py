@@ -78,7 +78,8 @@ def select_anchors(hashes: np.ndarray, w: int) -> np.ndarray:
 def anchors_of(texts: list[str], k: int = K, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of the text, place in code points, hash) of the anchors of each text.
 
-    In runs of one k-gram that overlaps itself, as in long rules or blanks, the first and last place stand for the run.
+    In runs of one k-gram that overlaps itself, as in long rules or blanks, the first and last place and one in every
+    ``least - k`` stand for the run: matches from those cover it.
     """
     w = least - k + 1
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -95,9 +96,10 @@ def anchors_of(texts: list[str], k: int = K, least: int = LEAST) -> tuple[np.nda
         doc = np.searchsorted(ends, at, side="right")
         h = hashes[at]
         same = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1]) & (at[1:] - at[:-1] <= k)
-        inner = np.zeros(len(at), dtype=bool)
-        inner[1:-1] = same[1:] & same[:-1]
-        keep = ~inner
+        begins = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(at)), 0)) if len(at) else at
+        block = (at - at[begins]) // (least - k) if len(at) else at
+        keep = np.ones(len(at), dtype=bool)
+        keep[1:-1] = ~(same[1:] & same[:-1]) | (block[1:-1] != block[:-2])
         found.append((np.asarray(group, dtype=np.int64)[doc[keep]], at[keep] - (ends - lens)[doc[keep]], h[keep]))
 
     for i, t in enumerate(texts):
