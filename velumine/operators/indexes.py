@@ -129,7 +129,7 @@ class BinaryIndex(Index):
         self.thresholds = list(thresholds) if thresholds else [0.0] * self.dims
 
     def fit(self, df: DataFrame) -> Index:
-        self.df = df.select(self.id_col, V.sign_words(F.col(self.vector), self.dims, self.thresholds).alias("bits"))
+        self.df = df.select(self.id_col, self.vector, V.sign_words(F.col(self.vector), self.dims, self.thresholds).alias("bits"))
         return self
 
     def search(self, query: Sequence[float], k: int) -> DataFrame:

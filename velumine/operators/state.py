@@ -117,7 +117,7 @@ class Prompts:
         best = F.max_by(F.struct("version", "template"), F.struct(F.col("is_active"), F.col("version")))
         return self.df.groupBy("name").agg(best.alias("_b"), F.max("version").alias("latest"), F.count(F.lit(1)).alias("versions")).select("name", "_b.version", "_b.template", "latest", "versions")
 
-    def render(self, name: str, **values: object) -> str:
+    def render(self, name: str, /, **values: object) -> str:
         row = self.active().filter(F.col("name") == name).first()
         if row is None:
             raise KeyError(name)
