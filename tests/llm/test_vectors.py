@@ -147,3 +147,20 @@ def test_best_places():
         row, col = K.best_places(s, 20)
         for i in range(7):
             assert set(np.argsort(-s[i])[:20]) <= set(col[row == i])
+
+
+def test_many_copies(spark):
+    """A third of all records have one vector: nothing is lost, and no part of the search grows with them."""
+    base = cloud(5, 2, 40, 10)
+    rows = base + [(f"copy{i:03d}", base[3][1]) for i in range(60)]
+    index = K.VectorIndex(frame(spark, rows), Workspace(spark, "t7"), F.col("id"), "embedding")
+    assert index.total < len(rows) - 55
+    got = {}
+    for r in index.named(index.neighbours(index.rows, 10)).collect():
+        got.setdefault(r["id"], []).append((r["neighbour_id"], r["similarity"]))
+    x = unit(rows)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    for i, (name, _) in enumerate(rows):
+        assert len({n for n, _ in got[name]}) == 10
+        assert sorted(round(v, 5) for _, v in got[name]) == pytest.approx(sorted(np.sort(s[i])[-10:]), abs=2e-3)

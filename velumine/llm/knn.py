@@ -18,10 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from velumine.llm import vectors as V
+from velumine.operators.relational import top_per_key
 from velumine.session import Workspace
 
 
@@ -49,10 +50,17 @@ class VectorIndex:
 
     def __init__(self, df: DataFrame, workspace: Workspace, id_col: Column, vector_col: str, scope: Column | None = None, settings: Settings = Settings()) -> None:
         self.s, self.work = settings, workspace
+        #: Every indexed record: (_id, _scope, _v, _rid).
         self.rows = V.usable(df, workspace, id_col, vector_col, settings.dim, scope)
         self.spark = self.rows.sparkSession
-        self.total = self.rows.count()
-        x = V.sample(self.rows, self.total, settings.sample, settings.dim)
+        # Equal vectors are searched once, by their 64-bit hash, however many records have them.
+        keyed = self.rows.select("_rid", "_scope", F.xxhash64("_v").alias("_k"))
+        first = keyed.groupBy("_scope", "_k").agg(F.min("_rid").alias("_first"))
+        #: (_rid, _first): the record that stands for each record's vector.
+        self.classes = workspace.keep(keyed.join(first, ["_scope", "_k"]).select("_rid", "_first"))
+        self.distinct = self.rows.join(self.classes.filter("_rid <> _first").select("_rid"), "_rid", "left_anti")
+        self.total = self.distinct.count()
+        x = V.sample(self.distinct, self.total, settings.sample, settings.dim)
         lists = int(min(settings.most_lists, max(1, self.total // settings.list_rows)))
         self.lists = V.spherical_kmeans(x, lists)
         of = V.nearest(x, self.lists)[0] if len(x) else np.zeros(0, np.int64)
@@ -80,7 +88,7 @@ class VectorIndex:
                 part = (rid * np.int64(0x9E3779B1) >> 7) % parts.value[g]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(of.astype(np.int32)), V.pack(codes), pa.array(g.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(blocks.value[g].astype(np.int32))], names=["_rid", "_scope", "_v", "_list", "_codes", "_g", "_part", "_nb"])
 
-        rows = self.rows.select("_rid", "_scope", "_v").mapInArrow(run, "_rid long, _scope string, _v binary, _list int, _codes binary, _g int, _part int, _nb int")
+        rows = self.distinct.select("_rid", "_scope", "_v").mapInArrow(run, "_rid long, _scope string, _v binary, _list int, _codes binary, _g int, _part int, _nb int")
         return rows.withColumn("_qb", F.explode(F.expr("sequence(0, _nb - 1)"))).drop("_nb")
 
     def _asked(self, queries: DataFrame) -> DataFrame:
@@ -115,7 +123,25 @@ class VectorIndex:
         return queries.select("_rid", "_scope", "_v").mapInArrow(run, "_rid long, _scope string, _v binary, _g int, _part int, _qb int")
 
     def neighbours(self, queries: DataFrame, k: int = 10, floor: float | None = None) -> DataFrame:
-        """(_rid, _other, _sim): the ``k`` most similar other vectors of each query row, of at least ``floor``."""
+        """(_rid, _other, _sim): the ``k`` most similar other records of each query row, of at least ``floor``.
+
+        ``queries`` are rows of the index. Records of one vector share its search; a vector's records take part with their
+        ``k`` + 1 least numbers, more than which no result can hold.
+        """
+        every = queries is self.rows
+        asked = self.classes if every else self.classes.join(queries.select("_rid"), "_rid", "left_semi")
+        stand = self.distinct if every else self.distinct.join(asked.select(F.col("_first").alias("_rid")).distinct(), "_rid", "left_semi")
+        found = self._search(stand, k, floor).select(F.col("_rid").alias("_first"), F.col("_other").alias("_c"), "_sim")
+        copies = self.classes.filter("_rid <> _first").select("_first").distinct()
+        own = copies.select("_first", F.col("_first").alias("_c"), F.lit(1.0).alias("_sim"))
+        few = top_per_key(self.classes.join(copies, "_first", "left_semi"), ["_first"], [F.asc("_rid")], k + 1, salt="_rid").select(F.col("_first").alias("_c"), F.col("_rid").alias("_m"))
+        pairs = found.unionByName(own).join(few, "_c", "left").select("_first", F.coalesce("_m", "_c").alias("_other"), "_sim")
+        out = asked.join(pairs, "_first").filter("_rid <> _other")
+        rank = F.row_number().over(Window.partitionBy("_rid").orderBy(F.desc("_sim"), "_other"))  # at most (k + 1) squared rows
+        return out.select("_rid", "_other", "_sim", rank.alias("_n")).filter(F.col("_n") <= k).drop("_n")
+
+    def _search(self, queries: DataFrame, k: int, floor: float | None) -> DataFrame:
+        """The same over distinct vectors."""
         lists, books = self.spark.sparkContext.broadcast(self.lists), self.spark.sparkContext.broadcast(self.books)
         dim, rerank = self.s.dim, max(self.s.rerank, 2 * k)
         low = -2.0 if floor is None else float(floor)
