@@ -7,13 +7,14 @@ which no partitioned plan can do, and the interface promises neighbours, not a s
 
 from __future__ import annotations
 
+import json
 import math
 from abc import ABC, abstractmethod
 from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velumine.functions import vector as V
@@ -44,6 +45,20 @@ class Index(ABC):
     def stats(self) -> DataFrame:
         return self.df.agg(F.count(F.lit(1)).alias("vectors"))
 
+    def save(self, path: str) -> None:
+        """The indexed rows as Parquet, and the fitted models (lists of numbers) beside them."""
+        self.df.write.mode("overwrite").parquet(f"{path}/rows")
+        model = {k: v for k, v in vars(self).items() if k != "df"}
+        self.df.sparkSession.createDataFrame([(type(self).__name__, json.dumps(model))], "kind string, model string").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    """An index that was saved."""
+    row = spark.read.parquet(f"{path}/model").first()
+    index = object.__new__({c.__name__: c for c in STRATEGIES.values()}[row["kind"]])
+    vars(index).update(json.loads(row["model"]), df=spark.read.parquet(f"{path}/rows"))
+    return index
+
 
 class ExactIndex(Index):
     def fit(self, df: DataFrame) -> Index:
