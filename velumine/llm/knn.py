@@ -58,7 +58,9 @@ class VectorIndex:
         first = keyed.groupBy("_scope", "_k").agg(F.min("_rid").alias("_first"))
         #: (_rid, _first): the record that stands for each record's vector.
         self.classes = workspace.keep(keyed.join(first, ["_scope", "_k"]).select("_rid", "_first"))
-        self.distinct = self.rows.join(self.classes.filter("_rid <> _first").select("_rid"), "_rid", "left_anti")
+        # Kept, so that its size is known to the planner and vectors need not be shuffled where it is small.
+        copies = workspace.keep(self.classes.filter("_rid <> _first").select("_rid"))
+        self.distinct = self.rows.join(copies, "_rid", "left_anti")
         self.total = self.distinct.count()
         x = V.sample(self.distinct, self.total, settings.sample, settings.dim)
         lists = int(min(settings.most_lists, max(1, self.total // settings.list_rows)))
@@ -132,7 +134,7 @@ class VectorIndex:
         asked = self.classes if every else self.classes.join(queries.select("_rid"), "_rid", "left_semi")
         stand = self.distinct if every else self.distinct.join(asked.select(F.col("_first").alias("_rid")).distinct(), "_rid", "left_semi")
         found = self._search(stand, k, floor).select(F.col("_rid").alias("_first"), F.col("_other").alias("_c"), "_sim")
-        copies = self.classes.filter("_rid <> _first").select("_first").distinct()
+        copies = self.work.keep(self.classes.filter("_rid <> _first").select("_first").distinct())
         own = copies.select("_first", F.col("_first").alias("_c"), F.lit(1.0).alias("_sim"))
         few = top_per_key(self.classes.join(copies, "_first", "left_semi"), ["_first"], [F.asc("_rid")], k + 1, salt="_rid").select(F.col("_first").alias("_c"), F.col("_rid").alias("_m"))
         pairs = found.unionByName(own).join(few, "_c", "left").select("_first", F.coalesce("_m", "_c").alias("_other"), "_sim")
