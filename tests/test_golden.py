@@ -265,3 +265,14 @@ def test_partitioning_changes_nothing(spark, sf_dir):
     assert agg(li) == agg(li.repartition(13))
     top = lambda d: [r["l_orderkey"] for r in relational.top_per_key(d, ["l_returnflag"], [F.desc("l_extendedprice"), F.asc("l_orderkey")], 2, "l_orderkey").orderBy("l_returnflag", "l_orderkey").collect()]
     assert top(li) == top(li.repartition(7))
+
+
+def test_purge(spark):
+    from velumine.session import purge
+
+    work = Workspace(spark, "old")
+    kept = work.keep(spark.range(3))
+    assert kept.count() == 3
+    purge(spark, hours=1)
+    assert kept.count() == 3
+    assert purge(spark, hours=-1) >= 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +60,19 @@ class Workspace:
             jpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def purge(spark: SparkSession, hours: float = 24.0) -> int:
+    """Remove intermediate tables that were made more than ``hours`` ago; returns how many. Results that are read lazily
+    need their tables, so nothing is removed by itself."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(checkpoint_root(spark))
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    before, n = (time.time() - hours * 3600) * 1000, 0
+    for status in fs.listStatus(root) if fs.exists(root) else []:
+        if status.getPath().getName().startswith("velumine-") and status.getModificationTime() < before:
+            n += bool(fs.delete(status.getPath(), True))
+    return n
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan at least one partition per core. A no-op for inputs of many files, where a shuffle would be waste."""
     cores = df.sparkSession.sparkContext.defaultParallelism
