@@ -137,4 +137,31 @@ SELECT table_name, item_id, CASE WHEN max(run) > max(most) THEN 'forced' ELSE 'n
 ) GROUP BY table_name, item_id
 """
 
-ORACLES: dict[str, str] = {"p4_found": P4_SQL}
+_UNIT = """SELECT trim({id}) AS id, {scope} AS scope, any_value({v}::DOUBLE[]) AS v FROM {t}
+WHERE len({v}) = 64 AND len(list_filter({v}, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter({v}, lambda x: x <> 0)) > 0 GROUP BY ALL"""
+_PAIRS = "SELECT '{t}' AS table_name, a.id AS id_a, b.id AS id_b FROM {u} a JOIN {u} b ON a.id < b.id AND a.scope = b.scope WHERE list_cosine_similarity(a.v, b.v) >= 0.98"
+P7_SQL = (
+    f"WITH n AS ({_UNIT.format(id='id', scope="''", v='embedding', t='nodes')}), c AS ({_UNIT.format(id='id', scope="''", v='embedding', t='vec_chunks')}), "
+    f"s AS ({_UNIT.format(id="shard_id) || ':' || lower(trim(level)", scope='lower(trim(level))', v='centroid', t='shard_centroids')}) "
+    + " UNION ALL ".join(_PAIRS.format(t=t, u=u) for t, u in (("nodes", "n"), ("vec_chunks", "c"), ("shard_centroids", "s")))
+)
+
+P3_SQL = f"""
+WITH RECURSIVE n AS ({_UNIT.format(id='id', scope="''", v='embedding', t='nodes')}),
+w AS (SELECT DISTINCT trim(id) AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM chunks WHERE lower(trim(level)) = 'paragraph' AND text IS NOT NULL),
+k AS (SELECT id, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 20),
+j AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM w a JOIN w b USING (word) WHERE a.id <> b.id AND a.id IN (SELECT id FROM k) AND b.id IN (SELECT id FROM k) GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT 'nodes' AS t, a.id AS a, b.id AS b FROM n a JOIN n b ON a.id <> b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.7
+  UNION ALL SELECT 'chunks', j.a, j.b FROM j JOIN k x ON x.id = j.a JOIN k y ON y.id = j.b WHERE j.n >= 0.6::DOUBLE * (x.n + y.n - j.n) - 1e-9),
+r AS (SELECT t, a, b FROM e UNION SELECT r.t, r.a, e.b FROM r JOIN e ON e.t = r.t AND e.a = r.b),
+m AS (SELECT t, a, min(least(a, b)) AS c FROM r GROUP BY 1, 2), z AS (SELECT t, c, count(*) AS n FROM m GROUP BY 1, 2)
+SELECT m.t AS table_name, m.a AS item_id, m.c AS cluster_id FROM m JOIN z USING (t, c) WHERE z.n >= CASE m.t WHEN 'nodes' THEN 10 ELSE 3 END
+"""
+
+P10_SQL = """
+WITH g AS (SELECT DISTINCT doc_id, hash(substring(text, i::BIGINT, 150)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 148)) AS i FROM documents WHERE length(text) >= 150)),
+s AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1), k AS (SELECT g.* FROM g JOIN s USING (h))
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM k a JOIN k b USING (h) WHERE a.doc_id < b.doc_id
+"""
+
+ORACLES: dict[str, str] = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL, "p10_found": P10_SQL}
