@@ -12,17 +12,20 @@ PARAGRAPH = r"\n\s*\n"
 SENTENCE = r"(?<=[.!?])\s+(?=[A-Z])"
 
 
-def _located(text: Column, parts: Column) -> Column:
-    """Array of (part, start, end) in bytes: each part is looked for behind the one before."""
-    zero = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<part:string,start:int,end:int>>").alias("out"))
-
-    def step(acc: Column, part: Column) -> Column:
-        at = F.position(part, text, acc["at"])
-        start = F.octet_length(F.substring(text, F.lit(1), at - 1)).cast("int")
+def _located(text: Column, separator: str) -> Column:
+    """Array of (part, start, end) in bytes. Pieces are matched with the separator behind them, so offsets are running sums
+    of their sizes and the text is read once; parts are the pieces without surrounding white space."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).+?(?:{separator}|\\z)"), F.lit(0))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<part:string,start:int,end:int>>").alias("out"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        bare = F.regexp_replace(piece, r"^\s+", "")
+        part = F.regexp_replace(bare, r"\s+$", "")
+        start = (acc["at"] + F.octet_length(piece) - F.octet_length(bare)).cast("int")
         entry = F.struct(part.alias("part"), start.alias("start"), (start + F.octet_length(part)).cast("int").alias("end"))
-        return F.struct((at + F.length(part)).cast("int").alias("at"), F.concat(acc["out"], F.array(entry)).alias("out"))
+        return F.struct((acc["at"] + F.octet_length(piece)).cast("int").alias("at"), F.when(part == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(entry))).alias("out"))
 
-    return F.aggregate(parts, zero, step, lambda acc: acc["out"])
+    return F.aggregate(pieces, zero, step, lambda acc: acc["out"])
 
 
 def _parts(text: Column, pattern: str) -> Column:
@@ -38,9 +41,9 @@ def hierarchy(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     doc = df.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text).alias("_t")).filter("_t is not null and _t <> ''")
     root = F.concat("doc_id", F.lit(":d:0"))
     top = doc.select(root.alias("id"), "doc_id", F.lit(None).cast("string").alias("parent_id"), F.lit("document").alias("level"), F.col("_t").alias("text"), F.lit(0).alias("start_offset"), F.octet_length("_t").cast("int").alias("end_offset"))
-    para = doc.select("doc_id", root.alias("parent_id"), F.explode(_located(F.col("_t"), _parts(F.col("_t"), PARAGRAPH))).alias("p"))
+    para = doc.select("doc_id", root.alias("parent_id"), F.explode(_located(F.col("_t"), PARAGRAPH)).alias("p"))
     para = para.select(F.concat("doc_id", F.lit(":p:"), "p.start").alias("id"), "doc_id", "parent_id", F.lit("paragraph").alias("level"), F.col("p.part").alias("text"), F.col("p.start").alias("start_offset"), F.col("p.end").alias("end_offset"))
-    sent = para.select("doc_id", F.col("id").alias("parent_id"), F.col("start_offset").alias("_base"), F.explode(_located(F.col("text"), _parts(F.col("text"), SENTENCE))).alias("s"))
+    sent = para.select("doc_id", F.col("id").alias("parent_id"), F.col("start_offset").alias("_base"), F.explode(_located(F.col("text"), SENTENCE)).alias("s"))
     start = F.col("_base") + F.col("s.start")
     sent = sent.select(F.concat("doc_id", F.lit(":s:"), start).alias("id"), "doc_id", "parent_id", F.lit("sentence").alias("level"), F.col("s.part").alias("text"), start.alias("start_offset"), (F.col("_base") + F.col("s.end")).alias("end_offset"))
     return top.unionByName(para).unionByName(sent)

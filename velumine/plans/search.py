@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from velumine.functions import vector as V
 from velumine.operators import indexes, ranking, search
 from velumine.plans.registry import query
+from velumine.session import spread
 from velumine.sources.tables import load
 
 _COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
@@ -204,7 +205,7 @@ _TERM_SPLIT = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^
 @query("terms", f"SELECT doc_id, length({_TERM_SPLIT})::INT AS n_terms, length(list_distinct({_TERM_SPLIT}))::INT AS n_distinct FROM documents")
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ranking.terms_of(F.coalesce("text", F.lit("")))
-    return load(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("n_terms"), F.size(F.array_distinct(t)).alias("n_distinct"))
+    return spread(load(spark, sf_dir, "documents")).select("doc_id", F.size(t).alias("n_terms"), F.size(F.array_distinct(t)).alias("n_distinct"))
 
 
 @query("bm25", f"""WITH w AS (SELECT doc_id, {_TERM_SPLIT} AS t FROM documents),
@@ -213,4 +214,4 @@ s AS (SELECT count(*) AS n, avg(len) AS av, count(*) FILTER (a > 0) AS da, count
 SELECT doc_id, round(ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * len / av)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * len / av)), 6) AS bm25
 FROM c, s WHERE a > 0 OR b > 0""")
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.bm25(load(spark, sf_dir, "documents"), ["crater", "tensor"]).select("doc_id", F.round("bm25", 6).alias("bm25"))
+    return ranking.bm25(spread(load(spark, sf_dir, "documents")), ["crater", "tensor"]).select("doc_id", F.round("bm25", 6).alias("bm25"))

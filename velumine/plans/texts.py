@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from velumine.operators import chunking, retrieval
 from velumine.plans.registry import query
+from velumine.session import spread
 from velumine.sources import readers
 from velumine.sources.tables import load
 
@@ -17,7 +18,7 @@ _SENT = r"list_filter(list_transform(string_split(regexp_replace({t}, '([.!?])\s
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").filter("text is not null")
+    return spread(load(spark, sf_dir, "documents")).filter("text is not null")
 
 
 @query("chunk_paragraphs", f"WITH p AS (SELECT doc_id, list_filter({_PARA}, lambda x: length(x) >= 50) AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, unnest(t) AS text, (generate_subscripts(t, 1) - 1)::INT AS chunk_index FROM p")
@@ -30,7 +31,7 @@ SELECT doc_id::VARCHAR AS doc_id, 'document' AS level, 1::BIGINT AS n, strlen(te
 UNION ALL SELECT doc_id::VARCHAR, 'paragraph', count(*), sum(strlen(x))::BIGINT FROM q GROUP BY 1
 UNION ALL SELECT doc_id::VARCHAR, 'sentence', sum(n)::BIGINT, NULL FROM s GROUP BY 1""")
 def chunk_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunking.hierarchy(load(spark, sf_dir, "documents"))
+    c = chunking.hierarchy(_docs(spark, sf_dir))
     size = F.sum(F.when(F.col("level") != "sentence", F.col("end_offset") - F.col("start_offset")))
     return c.groupBy("doc_id", "level").agg(F.count(F.lit(1)).alias("n"), size.alias("bytes"))
 
@@ -38,7 +39,7 @@ def chunk_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("chunk_offsets")
 def chunk_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All chunks with byte offsets; the tests cut the texts by them."""
-    return chunking.hierarchy(load(spark, sf_dir, "documents")).select("id", "doc_id", "parent_id", "level", "start_offset", "end_offset")
+    return chunking.hierarchy(_docs(spark, sf_dir)).select("id", "doc_id", "parent_id", "level", "start_offset", "end_offset")
 
 
 @query("chunk_fixed", """WITH s AS (SELECT doc_id, text, unnest(range(0, length(text), 450)) AS start FROM documents WHERE length(text) > 0)
