@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import time
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,22 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session: their Python need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_velumine_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="velumine-code-")  # read whenever an executor starts, so it stays to the end
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    source = Path(folder, "velumine")
+    shutil.copytree(Path(__file__).parent, source, ignore=shutil.ignore_patterns("__pycache__"))
+    archive = Path(folder, "velumine-code.zip")
+    with zipfile.PyZipFile(str(archive), "w") as z:
+        z.writepy(str(source))
+    context.addPyFile(str(archive))
+    context._velumine_shipped = True
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder in ``spark.checkpoint.dir``; a temporary one only where the setting is absent (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -42,6 +60,7 @@ class Workspace:
     """Intermediate Parquet tables of one query, which cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        ship(spark)
         self.spark = spark
         self.root = f"{checkpoint_root(spark)}/velumine-{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
@@ -75,5 +94,6 @@ def purge(spark: SparkSession, hours: float = 24.0) -> int:
 
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan at least one partition per core. A no-op for inputs of many files, where a shuffle would be waste."""
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
