@@ -46,6 +46,16 @@ def test_pairs_against_brute_force(spark):
     assert got.pairs().count() == len(want)
 
 
+def test_common_anchors_are_told_apart(spark):
+    rnd = random.Random(2)
+    texts = corpus(6, 30)
+    heading = "".join(rnd.choice("abcdefgh ") for _ in range(120))  # in all of them, and too short to be shared
+    texts = [(i, t if not t else heading + t + heading[:149]) for i, t in texts]
+    want = brute(texts, 150)
+    for hot in (1, 3):
+        assert {(r["doc_a"], r["doc_b"]) for r in shared(spark, texts, hot=hot).pairs().collect()} == want
+
+
 def test_spans_and_share(spark):
     texts = corpus(8, 25)
     got = shared(spark, texts)

@@ -22,6 +22,8 @@ from velumine.session import Workspace, spread
 
 #: Least length of a shared span in code points; K + W - 1 = LEAST.
 LEAST, K = 150, 48
+#: Contents that may be paired by one anchor; those of a more common one are told apart by longer windows first.
+HOT = 256
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SLICE = 1 << 18  # characters hashed at once, so that the arrays stay in the cache
 
@@ -160,6 +162,26 @@ def factors(text: str, reference: str, anchors: list[tuple[int, int]], least: in
     return out
 
 
+def _longer(reach: int):
+    """Windows longer by ``reach`` on either side, with a hash of their text and of the anchor's place in them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            rows = []
+            for cid, at, s, e, text in zip(*(c.to_pylist() for c in batch.columns)):
+                for lo, hi in ((s - reach, e), (s, e + reach)):
+                    if lo >= 0 and hi <= len(text):
+                        h = xxhash.xxh64_intdigest(text[lo:hi].encode("utf-8", "surrogatepass"), seed=at - lo)
+                        rows.append((h - (1 << 64) if h >> 63 else h, cid, at, lo, hi))
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["_h", "_cid", "_at", "_s", "_e"])
+
+    return run
+
+
 class SharedSpans:
     """Shared spans of a table of texts.
 
@@ -167,8 +189,8 @@ class SharedSpans:
     columns are not read. Ties do not arise: every factor of sufficient length is kept.
     """
 
-    def __init__(self, df: DataFrame, workspace: Workspace, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, k: int = K) -> None:
-        self.id_col, self.least = id_col, least
+    def __init__(self, df: DataFrame, workspace: Workspace, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, k: int = K, hot: int = HOT) -> None:
+        self.id_col, self.least, self.hot = id_col, least, hot
         self._texts = spread(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))).filter(F.length("_text") >= least)
         self._texts = self._texts.withColumn("_cid", F.xxhash64("_text"))
         self.work = workspace
@@ -192,12 +214,11 @@ class SharedSpans:
         anchors = self.work.keep(self._anchors(k))
         shared = anchors.groupBy("_h").agg(F.min("_cid").alias("_lo"), F.max("_cid").alias("_hi")).filter("_lo < _hi").select("_h")
         # Copies of one content fall together here, before anything is paired.
-        held = self.work.keep(anchors.join(shared, "_h", "left_semi").distinct())
-        left = held.select("_h", F.col("_cid").alias("_a"), F.col("_at").alias("_i"))
-        right = held.select("_h", F.col("_cid").alias("_b"), F.col("_at").alias("_j"))
-        pairs = left.join(right, "_h").filter("_a < _b").groupBy("_a", "_b").agg(F.collect_set(F.struct("_i", "_j")).alias("_anchors"))
+        held = anchors.join(shared, "_h", "left_semi").distinct()
+        held = self.work.keep(held.select("_h", "_cid", "_at", F.col("_at").alias("_s"), (F.col("_at") + k).cast("int").alias("_e")))
         texts = self._texts.join(held.select("_cid").distinct(), "_cid", "left_semi").select("_cid", "_text").dropDuplicates(["_cid"])
         texts = self.work.keep(texts)
+        pairs = self._paired(held, texts, k).groupBy("_a", "_b").agg(F.collect_set(F.struct("_i", "_j")).alias("_anchors"))
         both = pairs.join(texts.select(F.col("_cid").alias("_a"), F.col("_text").alias("_ta")), "_a").join(texts.select(F.col("_cid").alias("_b"), F.col("_text").alias("_tb")), "_b").select("_a", "_b", "_anchors", "_ta", "_tb")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,6 +232,33 @@ class SharedSpans:
 
         return both.mapInArrow(run, "_a long, _b long, _at_b int, _at_a int, _len int")
 
+    def _paired(self, rows: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+        """(a, b, place in a, place in b) of the contents that hold an anchor in common.
+
+        An anchor in more than ``hot`` contents, as in a common heading, is not paired as it is: a shared span reaches beyond
+        it by half of what is lacking to the least length on one side at least, so the anchor is replaced by the two windows
+        that are longer by as much to the left and to the right. After a few rounds a window has the least length, and what
+        it pairs are results.
+        """
+        out = None
+        while True:
+            hot = rows.groupBy("_h").agg(F.count_distinct("_cid").alias("_n")).filter(F.col("_n") > self.hot).select("_h")
+            more = size < self.least
+            hot = self.work.keep(hot) if more else hot
+            if more and not hot.isEmpty():
+                cold, rows = rows.join(hot, "_h", "left_anti"), rows.join(hot, "_h", "left_semi")
+            else:
+                cold, more = rows, False
+            a = cold.select("_h", F.col("_cid").alias("_a"), F.col("_at").alias("_i"))
+            b = cold.select("_h", F.col("_cid").alias("_b"), F.col("_at").alias("_j"))
+            pairs = a.join(b, "_h").filter("_a < _b").select("_a", "_b", "_i", "_j")
+            out = pairs if out is None else out.unionByName(pairs)
+            if not more:
+                return out
+            reach = -(-(self.least - size) // 2)
+            size += reach
+            rows = self.work.keep(rows.join(texts, "_cid").select("_cid", "_at", "_s", "_e", "_text").mapInArrow(_longer(reach), "_h long, _cid long, _at int, _s int, _e int").distinct())
+
     def pairs(self, first: str = "doc_a", second: str = "doc_b") -> DataFrame:
         """Every pair of records that share a span, the smaller id first."""
         linked = self.matches.select("_a", "_b").distinct()
