@@ -76,9 +76,9 @@ def related(hits: DataFrame, edges: DataFrame, memories: DataFrame, most: int =
 def consolidate(memories: DataFrame, now: Column, least: int = 10, older_hours: int = 24, bullets: int = 20, width: int = 200) -> DataFrame:
     """(session_id, tag, n, importance, summary): old episodic memories of each session with enough of them, by first tag.
 
-    A summary takes the first ``bullets`` memories by time: they are numbered in the group before anything is collected.
+    A summary takes the first ``bullets`` memories by time, picked in salted parts, so that a large session meets nowhere.
     """
-    from pyspark.sql import Window
+    from velumine.operators.relational import top_per_key
 
     old = memories.filter((F.col("type") == "episodic") & (F.coalesce("forgotten", F.lit(0)) == 0) & (F.timestamp_diff("HOUR", F.col("created_at"), now) > older_hours))
     tag = F.coalesce(F.get("tags", F.lit(0)), F.lit("general"))
@@ -86,9 +86,9 @@ def consolidate(memories: DataFrame, now: Column, least: int = 10, older_hours:
     enough = old.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select("session_id")
     old = old.join(enough, "session_id", "left_semi")
     stats = old.groupBy("session_id", "tag").agg(F.count(F.lit(1)).alias("n"), _mean("importance").alias("importance"))
-    first = old.withColumn("_r", F.row_number().over(Window.partitionBy("session_id", "tag").orderBy("created_at", "id"))).filter(F.col("_r") <= bullets)
+    first = top_per_key(old, ["session_id", "tag"], [F.asc("created_at"), F.asc("id")], bullets, salt="id")
     line = F.concat(F.lit("- "), F.left(F.coalesce("content", F.lit("")), F.lit(width)))
-    text = first.groupBy("session_id", "tag").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", line.alias("t")))), lambda x: x["t"]), "\n").alias("summary"))
+    text = first.groupBy("session_id", "tag").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("created_at", "id", line.alias("t")))), lambda x: x["t"]), "\n").alias("summary"))
     return stats.join(text, ["session_id", "tag"])
 
 
