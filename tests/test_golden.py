@@ -276,3 +276,12 @@ def test_purge(spark):
     purge(spark, hours=1)
     assert kept.count() == 3
     assert purge(spark, hours=-1) >= 1
+
+
+def test_asof_over_bins(spark):
+    t = datetime(2025, 1, 1)
+    at = lambda d, h=0: t + timedelta(days=d, hours=h)
+    left = spark.createDataFrame([("k", at(0), 1), ("k", at(5), 2), ("k", at(5, 2), 3), ("x", at(1), 4)], "k string, ts timestamp_ntz, n int")
+    right = spark.createDataFrame([("k", at(1), "a"), ("k", at(1, 1), None), ("k", at(5, 1), "b"), ("k", at(5, 2), "c"), ("k", at(9), "z")], "k string, ts timestamp_ntz, v string")
+    got = {r["n"]: r["v"] for r in relational.asof_join(left, right, "k", "ts", ["v"]).collect()}
+    assert got == {1: None, 2: None, 3: "c", 4: None}

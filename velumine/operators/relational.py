@@ -54,14 +54,26 @@ def range_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_
     return a.join(b, [key, "_bin"]).filter((F.col("_r") >= F.col("_l") - width) & (F.col("_r") < F.col("_l"))).drop("_bin", "_l", "_r")
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, ts: str, values: Sequence[str]) -> DataFrame:
-    """``left`` with the values of the last right row of its key at or before its time: one union and one window, no pairs."""
+def asof_join(left: DataFrame, right: DataFrame, key: str, ts: str, values: Sequence[str], bin_seconds: int = 86_400) -> DataFrame:
+    """``left`` with the values of the last right row of its key at or before its time, nulls included; no pairs are made.
+
+    Both sides are one union, read in order within bins of time, so that a hot key is spread over its bins; what a bin has
+    not seen itself comes from the last right row of the bins before, one row per key and bin. Of right rows at one time the
+    greatest values count.
+    """
     have = [c for c in left.columns if c not in (key, ts)]
-    a = left.select(key, ts, *have, *[F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values], F.lit(1).alias("_side"))
-    b = right.select(key, ts, *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in have], *values, F.lit(0).alias("_side"))
-    w = Window.partitionBy(key).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    filled = a.unionByName(b).select(key, ts, *have, "_side", *[F.last(v, ignorenulls=True).over(w).alias(v) for v in values])
-    return filled.filter("_side = 1").drop("_side")
+    row = F.struct(*values)
+    micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(`{ts}` as timestamp_ntz))")
+    a = left.select(key, ts, F.struct(*[F.col(c) for c in have]).alias("_row"), F.lit(1).alias("_side"))
+    b = right.select(key, ts, row.alias("_value"), F.lit(0).alias("_side"))
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("_bin", F.floor(micros / (bin_seconds * 1_000_000)).cast("long"))
+    w = Window.partitionBy(key, "_bin").orderBy(ts, "_side", "_value").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_seen", F.last("_value", ignorenulls=True).over(w)).filter("_side = 1")
+    bins = both.groupBy(key, "_bin").agg(F.max_by("_value", F.when(F.col("_side") == 0, F.struct(ts, "_value"))).alias("_last"))
+    before = F.last("_last", ignorenulls=True).over(Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+    carried = bins.select(key, "_bin", before.alias("_before"))
+    out = seen.join(carried, [key, "_bin"]).withColumn("_v", F.coalesce("_seen", "_before"))
+    return out.select(key, ts, *[F.col(f"_row.{c}").alias(c) for c in have], *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
