@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from velumine.operators import indexes, relational, search
+from velumine.operators import indexes, ingest, relational, search
 from velumine.sources.tables import load
 
 _SEMANTIC = re.compile(r"^\s*SEMANTIC\s+'((?:[^']|'')*)'\s*(?:WHERE\s+(.*?))?\s*(?:LIMIT\s+(\d+))?\s*;?\s*$", re.I | re.S)
@@ -34,16 +34,8 @@ def parse_semantic(text: str) -> tuple[str, str | None, int | None] | None:
 
 
 def hash_embedding(text: str, dims: int = 64) -> list[float]:
-    """A deterministic embedding for use without a model: hashed word counts at unit length."""
-    import math
-    import zlib
-
-    v = [0.0] * dims
-    for w in re.findall(r"\w+", text.lower()):
-        h = zlib.crc32(w.encode())
-        v[h % dims] += 1.0 if h & 0x80000000 else -1.0
-    n = math.sqrt(sum(x * x for x in v)) or 1.0
-    return [x / n for x in v]
+    """The embedding used without a model: hashed word counts at unit length."""
+    return ingest.hash_vector(text, dims)
 
 
 class Engine:
