@@ -107,6 +107,28 @@ def test_word_clusters(spark):
     assert C.WordClusters(df.limit(0), Workspace(spark, "t3w")).members(3).count() == 0
 
 
+@pytest.mark.parametrize("hot", [2048, 5])
+def test_word_clusters_in_crowded_bands(spark, monkeypatch, hot):
+    """Pairs among many sets that share boilerplate, which is no link, are all found."""
+    monkeypatch.setattr(C, "NEAR", 1)
+    monkeypatch.setattr(C, "HOT", hot, raising=False)
+    rows = []
+    for k in range(400):
+        own = [f"p{k // 2}x{i}" for i in range(4)] + [f"o{k}x{i}" for i in range(11)] if k < 80 else [f"o{k}x{i}" for i in range(15)]
+        rows.append((f"c{k:03d}", " ".join([f"base{i}" for i in range(40)] + own)))
+    got = C.WordClusters(spark.createDataFrame(rows, "_id string, _text string"), Workspace(spark, "t3h")).members(2)
+    assert {(r["item_id"], r["cluster_id"]) for r in got.collect()} == {(f"c{k:03d}", f"c{k // 2 * 2:03d}") for k in range(80)}
+
+
+def test_similar_sets():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 60, int(rng.integers(20, 60)))).astype(np.uint32) for _ in range(150)]
+    links = [(i, j) for i, j in combinations(range(150), 2) if len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j]))]
+    got = C.similar_sets(sets, 0.5, pivots=4, width=16)
+    assert {(min(i, j), max(i, j)) for i, j in got} <= set(links)
+    assert sorted(map(sorted, components(150, got))) == sorted(map(sorted, components(150, links)))
+
+
 def test_neighbours_recall_and_pairs(spark):
     rows = cloud(2)
     x = unit(rows)

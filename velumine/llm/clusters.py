@@ -7,9 +7,10 @@ belong to only if its angle to the centre is at most the threshold's angle and t
 are compared with each other in blocks. Blocks return affinities between labels, not pairs of records, so a cell may hold a
 third of all records.
 
-Word sets. Records of equal sets are one; MinHash bands bring candidates together, neighbours in a sorted band are compared
-exactly. A pair at the threshold shares a band with probability 0.99, at 0.65 with 0.9996; a cluster is lost only if every
-link that holds it together is.
+Word sets. Records of equal sets are one; MinHash bands bring candidates together, and all sets of a band's key are compared
+exactly: pair by pair where they are few, else in blocks that return a spanning forest of what is similar. A pair at the
+threshold shares a band with probability 0.99, at 0.65 with 0.9996; a cluster is lost only if every link that holds it
+together is.
 
 The affinities are row-normalised and several vectors iterated over them, distributed; the least label is carried along in
 the same rounds until it stands, which makes the components exact where k-means on the iterated vectors alone would cut chains
@@ -295,7 +296,9 @@ class VectorClusters:
 # ---------------------------------------------------------------------------------------------------- word sets
 
 _WORDS = re.compile(r"[a-z0-9]+")
-ROWS, BANDS, NEAR = 6, 100, 31
+#: MinHash rows and bands; the distance to which neighbours of a band's key are paired one by one. Keys of more than NEAR + 1
+#: sets are compared in blocks of HOT.
+ROWS, BANDS, NEAR, HOT = 6, 100, 31, 2_048
 
 
 def word_hashes(words: set[str]) -> np.ndarray:
@@ -328,6 +331,55 @@ def band_keys(sets: list[np.ndarray], rows: int = ROWS, bands: int = BANDS, seed
     return (key + np.arange(bands, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
 
 
+def similar_sets(sets: list[np.ndarray], least: float, pivots: int = 64, width: int = 2_048) -> list[tuple[int, int]]:
+    """A spanning forest (i, j) of the graph of all pairs of ``sets`` with a Jaccard similarity of ``least``.
+
+    A few sets are compared with all first. Pairs inside the largest component they make need no comparison; every other
+    pair is compared, by products of the 0/1 matrix of the words that stand in several sets.
+    """
+    n = len(sets)
+    size = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(n), size)
+    _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    use = often[at] > 1
+    row, at = row[use], np.unique(at[use], return_inverse=True)[1]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    up = list(range(n))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out: list[tuple[int, int]] = []
+
+    def compare(these: np.ndarray) -> None:
+        shared = np.zeros((len(these), n), dtype=np.float32)
+        for lo in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+            a, z = np.searchsorted(at, [lo, lo + width])
+            has = np.zeros((n, width), dtype=np.float32)
+            has[row[a:z], at[a:z] - lo] = 1
+            shared += has[these] @ has.T
+        for i in range(0, len(these), 64):
+            part, both = these[i : i + 64], shared[i : i + 64].astype(np.float64)
+            all_ = size[part][:, None] + size[None, :] - both
+            label = np.array([top(x) for x in range(n)])
+            for r, c in np.argwhere((both >= least * all_ - 1e-9) & (label[part][:, None] != label[None, :])).tolist():
+                a, b = top(int(part[r])), top(c)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                    out.append((int(part[r]), c))
+
+    compare(np.unique(np.linspace(0, n - 1, min(n, pivots)).astype(int)))
+    label = np.array([top(x) for x in range(n)])
+    rest = np.flatnonzero(label != np.bincount(label).argmax())
+    if len(rest):
+        compare(rest)
+    return out
+
+
 class WordClusters:
     """Clusters of records whose sets of words are linked by chains of Jaccard similarities of at least ``least``."""
 
@@ -364,11 +416,30 @@ class WordClusters:
                     yield pa.RecordBatch.from_arrays([pa.array(got.reshape(-1).view(np.int64)), pa.array(np.repeat(keys[i : i + 2048], got.shape[1]))], names=["_band", "_key"])
 
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tail_band, tail_key, lead = np.zeros(0, np.int64), np.zeros(0, np.int64), {}
+            tail_band, tail_key = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            last, length, held = None, 0, np.zeros(0, np.int64)  # the run that may go on: band, length, keys while it is short
             for b in batches:
-                band, key_ = np.concatenate([tail_band, b.column(0).to_numpy()]), np.concatenate([tail_key, b.column(1).to_numpy()])
+                band, key_ = b.column(0).to_numpy(), b.column(1).to_numpy()
+                if not len(band):
+                    continue
+                # Runs too long for pairs of neighbours go on whole.
+                first = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+                long = np.diff(np.r_[first, len(band)])
+                total = long.copy()
+                goes_on = last is not None and last == band[0]
+                total[0] += length if goes_on else 0
+                hot = np.flatnonzero(np.repeat(total > NEAR + 1, long))
+                hot_band, hot_key = band[hot], key_[hot]
+                if goes_on and total[0] > NEAR + 1:
+                    hot_band, hot_key = np.r_[np.full(len(held), last), hot_band], np.r_[held, hot_key]
+                before = held if goes_on and len(first) == 1 else np.zeros(0, np.int64)
+                last, length = band[-1], int(total[-1])
+                held = np.r_[before, key_[first[-1] :]] if length <= NEAR + 1 else np.zeros(0, np.int64)
+                if len(hot_key):
+                    yield pa.RecordBatch.from_arrays([pa.array(hot_band), pa.array(hot_key), pa.array(np.ones(len(hot_key), bool))], names=["a", "b", "hot"])
                 old = len(tail_band)
-                x, y = [], []
+                band, key_ = np.concatenate([tail_band, band]), np.concatenate([tail_key, key_])
+                x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for d in range(1, NEAR + 1):
                     same = np.flatnonzero(band[d:] == band[:-d]) if len(band) > d else np.zeros(0, np.int64)
                     same = same[same + d >= old]
@@ -376,17 +447,6 @@ class WordClusters:
                         break
                     x.append(key_[same])
                     y.append(key_[same + d])
-                # The rest of a long run is linked with its first record too.
-                first = np.flatnonzero(np.r_[True, band[1:] != band[:-1]]) if len(band) else np.zeros(0, np.int64)
-                heads = np.repeat(key_[first], np.diff(np.r_[first, len(band)])) if len(band) else key_
-                if len(band) and lead.get("band") == band[0]:
-                    heads[band == band[0]] = lead["key"]
-                far = np.flatnonzero(np.arange(len(band)) - np.repeat(first, np.diff(np.r_[first, len(band)])) > NEAR) if len(band) else first
-                far = far[far >= old]
-                x.append(heads[far])
-                y.append(key_[far])
-                if len(band):
-                    lead = {"band": band[-1], "key": heads[-1]}
                 tail_band, tail_key = band[-NEAR:], key_[-NEAR:]
                 a, c = np.concatenate(x), np.concatenate(y)
                 a, c = np.minimum(a, c), np.maximum(a, c)
@@ -397,10 +457,12 @@ class WordClusters:
                 if len(a):
                     u = np.unique(np.stack([a, c], axis=1), axis=0)
                     u = u[u[:, 0] != u[:, 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1])], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1]), pa.array(np.zeros(len(u), bool))], names=["a", "b", "hot"])
 
         banded = self.sets.mapInArrow(bands, "_band long, _key long")
-        near = banded.repartition("_band").sortWithinPartitions("_band", "_key").mapInArrow(pairs, "a long, b long").distinct()
+        met = self.work.keep(banded.repartition("_band").sortWithinPartitions("_band", "_key").mapInArrow(pairs, "a long, b long, hot boolean"))
+        hot = self._hot(met.filter("hot").select(F.col("a").alias("_band"), F.col("b").alias("_key")))
+        near = met.filter("not hot").select("a", "b").unionByName(hot).repartition("a").distinct()
         of = lambda c, s: self.sets.select(F.col("_key").alias(c), F.col("_set").alias(s))
         both = near.join(of("a", "_sa"), "a").join(of("b", "_sb"), "b").select("a", "b", "_sa", "_sb")
 
@@ -420,6 +482,24 @@ class WordClusters:
 
         return both.mapInArrow(check, "a long, b long, w double")
 
+    def _hot(self, rows: DataFrame) -> DataFrame:
+        """Links among all sets (_band, _key) of the bands' keys that many share, compared in blocks of HOT by HOT."""
+        least = self.least
+        blocks = rows.groupBy("_band").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("_nb"))
+        rows = rows.join(blocks, "_band").withColumn("_mine", F.pmod(F.xxhash64("_key"), "_nb").cast("int"))
+        # Two blocks meet as one group, inside each as well.
+        rows = rows.withColumn("_other", F.explode(F.expr("filter(sequence(0, _nb - 1), x -> x <> _mine or _nb = 1)")))
+        rows = rows.select("_band", "_key", F.least("_mine", "_other").alias("_lo"), F.greatest("_mine", "_other").alias("_hi")).join(self.sets, "_key")
+
+        def meet(group: pa.Table) -> pa.Table:
+            keys = group.column("_key").to_pylist()
+            links = similar_sets([np.frombuffer(s, np.uint32) for s in group.column("_set").to_pylist()], least)
+            a = [min(keys[i], keys[j]) for i, j in links]
+            b = [max(keys[i], keys[j]) for i, j in links]
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        return rows.groupBy("_band", "_lo", "_hi").applyInArrow(meet, "a long, b long")
+
     def members(self, size: int) -> DataFrame:
         """(item_id, cluster_id, size, affinity) of the records in clusters of at least ``size``. A record's affinity is the
         mean similarity of its links; records of one set are linked fully."""
