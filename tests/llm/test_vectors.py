@@ -120,6 +120,16 @@ def test_word_clusters_in_crowded_bands(spark, monkeypatch, hot):
     assert {(r["item_id"], r["cluster_id"]) for r in got.collect()} == {(f"c{k:03d}", f"c{k // 2 * 2:03d}") for k in range(80)}
 
 
+def test_components_of_a_long_chain(spark):
+    """2,000 links in a chain with random labels are one component, found in a number of rounds that grows slowly."""
+    order = [int(x) for x in np.random.default_rng(2).permutation(2001) + 10]
+    edges = spark.createDataFrame([(a, b, 0.7) for a, b in zip(order, order[1:])] + [(1, 2, 0.9)], "a long, b long, w double").coalesce(2)
+    work = Workspace(spark, "t3c")
+    got = {r["node"]: r["component"] for r in C.components(edges, work).collect()}
+    assert got == {1: 1, 2: 1, **{x: 10 for x in order}}
+    assert work._n < 40
+
+
 def test_similar_sets():
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.integers(0, 60, int(rng.integers(20, 60)))).astype(np.uint32) for _ in range(150)]

@@ -40,26 +40,32 @@ BLOCK = 8_192
 # ---------------------------------------------------------------------------------------------------- graph
 
 
-def components(edges: DataFrame, workspace: Workspace, rounds: int = 64, seed: int = 3) -> DataFrame:
+def components(edges: DataFrame, workspace: Workspace, seed: int = 3) -> DataFrame:
     """(node, component, v1, v2) of the nodes of ``edges`` (a, b, w): the least node reachable, and two vectors of the
-    power iteration over the row-normalised affinities with a loop of their own weight at each node."""
+    power iteration over the row-normalised affinities with a loop of their own weight at each node.
+
+    It goes on until no label moves. The node that is a label takes the least label met by the nodes that bear it, so that
+    whole trees move at once and the rounds grow with the logarithm of the nodes, not with the length of a chain.
+    """
     both = edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     both = workspace.keep(both.filter("a <> b").groupBy("a", "b").agg(F.max("w").alias("w")))
     start = lambda k: F.pmod(F.xxhash64("node", F.lit(seed + k)), F.lit(1_000_003)) / 1_000_003.0
     state = workspace.keep(both.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("component"), start(0).alias("v1"), start(1).alias("v2")))
-    for _ in range(rounds):
+    moved = 1
+    while moved:
         near = both.join(state, both["b"] == state["node"]).groupBy("a").agg(
             F.min("component").alias("_m"), F.sum("w").alias("_w"), F.sum(F.col("w") * F.col("v1")).alias("_1"), F.sum(F.col("w") * F.col("v2")).alias("_2")
         )
-        step = state.join(near, state["node"] == near["a"]).select("node", F.col("component").alias("_was"), F.least("component", "_m").alias("component"), *[(0.5 * F.col(f"v{k}") + 0.5 * F.col(f"_{k}") / F.col("_w")).alias(f"v{k}") for k in (1, 2)])
-        # A label is itself a node: jumping to its own label halves the way that is left.
+        step = state.join(near, state["node"] == near["a"]).select("node", F.col("component").alias("_was"), F.least("component", "_m").alias("component"), "_m", *[(0.5 * F.col(f"v{k}") + 0.5 * F.col(f"_{k}") / F.col("_w")).alias(f"v{k}") for k in (1, 2)])
+        # A label is itself a node: it takes the least label its bearers have met.
+        hook = step.groupBy(F.col("_was").alias("_h")).agg(F.min("_m").alias("_least"))
+        step = workspace.keep(step.join(hook, F.col("node") == F.col("_h"), "left").select("node", "_was", F.least("component", "_least").alias("component"), "v1", "v2"))
+        # Jumping to the label's own label halves the way that is left.
         jump = step.select(F.col("node").alias("_k"), F.col("component").alias("_c"))
         step = step.join(jump, F.col("component") == F.col("_k")).select("node", "_was", F.least("component", "_c").alias("component"), "v1", "v2")
         step = workspace.keep(step)
         moved = step.filter("_was <> component").limit(1).count()
         state = step.drop("_was")
-        if not moved:
-            break
     return state
 
 
