@@ -74,3 +74,12 @@ def test_descendants(spark):
     t = f.work.keep(f.trees())
     got = {(r["item_id"], r["descendant_id"], r["distance"]) for r in H.descendants(t, t).collect()}
     assert got == {("a", "b", 1), ("a", "c", 2), ("a", "d", 1), ("b", "c", 1)}
+
+
+def test_descendants_of_roots_are_listed(spark, sf_dir):
+    from velumine.plans import QUERIES
+
+    got = QUERIES["p6_descendants_all"](spark, sf_dir).groupBy("table_name", "item_id").count().collect()
+    want = QUERIES["p6_ranges"](spark, sf_dir).filter("descendants > 0").collect()
+    assert any(r["depth"] == 0 for r in want)
+    assert {(r["table_name"], r["item_id"], r["count"]) for r in got} == {(r["table_name"], r["item_id"], r["descendants"]) for r in want}

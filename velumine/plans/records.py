@@ -103,3 +103,14 @@ def p6_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     forest = _forest(spark, sf_dir)
     trees = forest.work.keep(forest.trees())
     return hierarchy.descendants(trees, trees.filter("depth >= 3"))
+
+
+@query("p6_descendants_all", _TREES + """, d AS (
+  SELECT t, id AS item_id, id AS descendant_id, 0 AS distance FROM w
+  UNION ALL SELECT n.t, d.item_id, n.id, distance + 1 FROM n JOIN d ON n.t = d.t AND n.p = d.descendant_id)
+SELECT t AS table_name, item_id, descendant_id, distance FROM d WHERE distance > 0""")
+def p6_descendants_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All descendants of each record; ``p6_descendants`` has those of records at depth 3 and more only."""
+    forest = _forest(spark, sf_dir)
+    trees = forest.work.keep(forest.trees())
+    return hierarchy.descendants(trees, trees)
