@@ -52,6 +52,16 @@ def test_not_trivial():
     assert not D.trivial(GOOD, "merge_tables")
 
 
+@pytest.mark.parametrize("text", ["Adds one document at a time.", "Writes the documents out when finished.", "Adds a comment to the document.", "Adds the missing description to documents.", "Fill the document up with text."])
+def test_words_of_the_domain_are_not_trivial(text):
+    assert not D.trivial(text, "run")
+
+
+@pytest.mark.parametrize("text", ["Documentation will follow later.", "Description goes here once somebody writes it", "This is a placeholder for now.", "Please add the docs here.", "Comments for this method are missing.", "To be written when done."])
+def test_missing_documentation_is_trivial(text):
+    assert D.trivial(text, "run")
+
+
 def test_sections_are_no_description():
     assert D.description("Short one.\n\nArgs:\n    x: the table to be merged\n", "f", "python") == "Short one."
     assert D.description("@param x the table to be merged", "f", "javascript") == ""

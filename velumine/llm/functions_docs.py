@@ -195,6 +195,14 @@ _FILLER = frozenset(
     "written writing fill filled provide provided supply needed needs need required available here there now function functions method methods "
     "me please someone somebody we you i do does done doing has have had up update updated when time next one day eventually out finish finished complete completed incomplete work progress under construction go goes put proper properly once writes so far good better real until then somewhere anything missing explains gets get written".split()
 )
+#: What says that documentation is missing or to come: by itself, of documentation that is named, or of what is not named.
+_MARKER = re.compile(r"\b(?:todo|tbd|tba|tbc|tk|wip|fixme|xxx|lorem|undocumented|work in progress|under construction|(?:goes?|comes?|follows?) here)\b")
+_ABSENT = frozenset("no not none nothing missing absent empty pending placeholder stub dummy yet still later soon come comes coming follow follows need needs needed required must should will please me somebody someone here eventually until incomplete available".split())
+_UNSAID = frozenset("missing absent pending placeholder stub dummy yet later soon written".split())
+_DOCUMENTATION = frozenset("documentation documentations documented documenting doc docs docstring docstrings".split())
+_PERHAPS = frozenset("comment comments description descriptions describe described explain explained explanation".split())
+#: Nouns of this domain, which documentation may well be about, and verbs that say what a function does.
+_NOUNS, _DOES = frozenset("document documents text".split()), frozenset("adds writes explains gets".split())
 _ARTICLES = frozenset("a an the function functions method methods fn func def this that of it its is to".split())
 
 
@@ -226,13 +234,25 @@ def _name_words(name: str) -> set[str]:
     return {_stem(p) for p in parts} | {_stem("".join(parts)), _stem(name)}
 
 
+def _says_missing(low: list[str]) -> bool:
+    """Whether words only say that documentation is missing or to come: filler, with a marker whose object is documentation."""
+    if low[0] in _DOES or not all(w in _FILLER or len(w) == 1 for w in low):
+        return False
+    if _MARKER.search(" ".join(low)):
+        return True
+    words = set(low)
+    if words & _DOCUMENTATION:
+        return bool(words & _ABSENT)
+    return not words & _NOUNS and bool(words & _UNSAID or (words & _PERHAPS and words & _ABSENT))
+
+
 def trivial(text: str, name: str) -> bool:
     """Whether a description says nothing: fewer than four words, only that it is missing, or only the name again."""
     words = _WORD.findall(text)
     if len(words) < 4:
         return True
     low = [w.lower() for w in words]
-    if all(w in _FILLER or len(w) == 1 for w in low):
+    if _says_missing(low):
         return True
     own = _name_words(name)
     parts = [p for w in words for p in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\dA-Za-z_]+", w)]
