@@ -92,6 +92,15 @@ def test_clean_text_keeps_structure():
     assert M.analyse(None) == (set(), "")
 
 
+def test_head_without_an_end():
+    body = "<h1>Guide</h1><p>All the body text.</p>"
+    for lead in ("<!doctype html><html><head><title>X</title><body>", "<head><meta charset=utf-8><title>X</title>", "<head><title>X</title></head><body>", "<head><style>a {}</style><head><title>X</title></head>"):
+        assert M.analyse(lead + body)[1].split("\n")[::2] == ["# Guide", "All the body text."], lead
+    assert M.analyse("<head><link href=x>Bare text of a chunk")[1] == "Bare text of a chunk"
+    assert M.analyse("<head><title>Text of a cut chunk")[1] == "Text of a cut chunk"
+    assert M.analyse("<head><noscript><p>off</p></noscript><title>X</title></head><p>Body</p>")[1] == "Body"
+
+
 def test_navigation_is_left_out():
     menu = "<div>" + "<a href=/x>m</a> " * 30 + "</div>"
     body = "".join(f"<p>{'This line of the page holds real content. ' * 4}</p>\n" for _ in range(6))

@@ -95,6 +95,10 @@ _SILENT = {"documentclass", "usepackage", "label", "ref", "eqref", "cite", "cite
 _HOLD = re.compile("\x00(\\d+)\x00")
 
 
+#: Elements that stand in a head; any other one, and text outside these, ends it.
+_IN_HEAD = frozenset("html head title meta link base style script noscript template".split())
+
+
 class _Reader(HTMLParser):
     """Turns the parser's events into Markdown-like lines, counting text and tags of each line."""
 
@@ -102,15 +106,33 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
         self.lists: list[list] = []
-        self.skip = self.table = 0
+        self.table = 0
+        self.skip = False
+        self.inside = ""  # the element of the head that is open
+        self.head: list[str] = []  # text of the head, for a head that is cut off
+
+    def _end_head(self) -> None:
+        self.skip, self.inside, self.head = False, "", []
+
+    def close(self) -> None:
+        super().close()
+        if self.skip:
+            self.parts += self.head
+            self._end_head()
 
     def _block(self) -> None:
         self.parts.append("\n")
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.parts.append("\x01")
-        if tag in ("title", "head"):
-            self.skip += tag == "head"
+        if self.skip and tag not in _IN_HEAD and self.inside not in ("noscript", "template"):
+            self._end_head()
+        if tag == "head":
+            self.skip = True
+        elif self.skip and tag in ("title", "style", "script", "noscript", "template"):
+            self.inside = tag
+        elif tag == "title":
+            pass
         elif re.fullmatch("h[1-6]", tag):
             self.parts.append("\n\x03" + "#" * int(tag[1]) + " ")
         elif tag in ("ul", "ol"):
@@ -135,8 +157,10 @@ class _Reader(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.parts.append("\x01")
-        if tag == "head":
-            self.skip = max(0, self.skip - 1)
+        if tag in ("head", "body", "html"):
+            self._end_head()
+        elif self.skip:
+            self.inside = "" if tag == self.inside else self.inside
         elif tag in ("ul", "ol"):
             if self.lists:
                 self.lists.pop()
@@ -152,6 +176,10 @@ class _Reader(HTMLParser):
             self._block()
 
     def handle_data(self, data: str) -> None:
+        if self.skip and not self.inside and not data.isspace():
+            self._end_head()
+        if self.skip and self.inside not in ("style", "script"):
+            self.head.append(data)
         # White space between the tags of a list or a table is no text.
         if not self.skip and not ((self.lists or self.table) and data.isspace()):
             self.parts.append(data)
