@@ -40,6 +40,15 @@ def test_runs_about_the_limit():
             check(lead + "x" * n + " tail", 100, 20)
 
 
+def test_ideographic_sentences_in_a_long_run_are_forced():
+    for mark in "。！？":
+        got = check("漢字の文です" * 4 + mark + ("漢字の文です" * 3 + mark) * 20, 300, 20)
+        assert all(p.boundary >= P.SENTENCE and p.forced for p in got)
+        check(("漢字の文です" * 3 + mark + " ") * 20, 300, 20)
+    got = check("word " * 100 + ("漢字の文です。" * 20) + " word" * 100, 300, 20)
+    assert not got[0].forced and not got[-1].forced
+
+
 def test_cuts_at_paragraphs_first():
     text = ("Sentence one is here. Sentence two is there.\n" * 4 + "\n") * 6
     got = check(text, 400, 40)

@@ -28,6 +28,7 @@ FORCED, WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
 _COARSE = re.compile(r"(?P<p>\s*\n[^\S\n]*\n\s*)|(?P<l>[^\S\n]*(?:\r\n?|\n)\s*)|(?P<s>(?<=[.!?…。！？])[\"'”’»)\]]*\s+|(?<=[。！？]))")
 _CLAUSE = re.compile(r"(?<=[,;:])\s+")
 _WORD = re.compile(r"\s+")
+_RUN = re.compile(r"\S+")
 
 
 class Piece(NamedTuple):
@@ -65,6 +66,17 @@ def _inside(s: str, limit: int) -> list[str]:
     return out
 
 
+def _long_runs(text: str, limit: int) -> list[tuple[int, int]]:
+    """(start, end) in bytes of the runs without white space longer than ``limit`` bytes."""
+    out, at, done = [], 0, 0
+    for m in _RUN.finditer(text):
+        if 4 * (m.end() - m.start()) > limit and (n := _size(m.group())) > limit:
+            at += _size(text[done : m.start()])
+            out.append((at, at + n))
+            at, done = at + n, m.end()
+    return out
+
+
 def _atoms(text: str, limit: int, most: int) -> list[tuple[str, int, int]]:
     """(segment, bytes, strength of the boundary behind it); a segment is within ``limit`` and, if it can be, ``most``."""
     coarse: list[tuple[str, int]] = []
@@ -136,7 +148,10 @@ def split(text: str, limit: int, overlap: int) -> list[Piece]:
             heapq.heappush(heap, (strength[p], size[p] + size[i], p, version[p], version[i]))
     raw = text.encode("utf-8", "surrogatepass")
     out: list[Piece] = []
-    at, i, before = 0, 0, PARAGRAPH
+    runs = _long_runs(text, limit)
+    # A cut between sentences lies inside a run too where no white space follows the mark.
+    inside = lambda cut: any(a < cut < z for a, z in runs)
+    at, i = 0, 0
     while i < n:
         end = at + size[i]
         start = at
@@ -147,8 +162,8 @@ def split(text: str, limit: int, overlap: int) -> list[Piece]:
             m = re.search(rb"\s+(?=\S)", raw[start:at])
             if m:
                 start += m.end()
-        out.append(Piece(start, end, at - start, strength[i] == FORCED or before == FORCED, strength[i], raw[start:end].decode("utf-8", "surrogatepass")))
-        at, before, i = end, strength[i], nxt[i]
+        out.append(Piece(start, end, at - start, inside(at) or inside(end), strength[i], raw[start:end].decode("utf-8", "surrogatepass")))
+        at, i = end, nxt[i]
     return out
 
 
