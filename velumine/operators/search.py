@@ -36,12 +36,14 @@ def knn(df: DataFrame, query: Sequence[float], k: int, *, id_col: str = "id", ve
 def knn_batch(df: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id", vector: str = "embedding", bound: int = 10_000) -> DataFrame:
     """(query_id, id, similarity, rank) for a DataFrame of queries (query_id, query_vector).
 
-    The stated query set is checked to be at most ``bound`` rows and then broadcast against one scan; larger sets are for an index.
+    The query set is broadcast in blocks of about ``bound`` rows, each against one scan.
     """
-    n = queries.limit(bound + 1).count()
-    if n > bound:
-        raise ValueError(f"more than {bound} queries; search with an index")
-    pairs = df.crossJoin(F.broadcast(queries)).filter(F.col(id_col) != F.col("query_id"))
+    blocks = max(1, -(-queries.count() // bound))
+    pairs = None
+    for i in range(blocks):
+        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else queries
+        met = df.crossJoin(F.broadcast(block)).filter(F.col(id_col) != F.col("query_id"))
+        pairs = met if pairs is None else pairs.unionByName(met)
     scored = pairs.select("query_id", F.col(id_col).alias("id"), V.cosine(F.col(vector), F.col("query_vector")).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -58,6 +58,18 @@ def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("similarity", F.round("similarity", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("knn_batch_50", f"""WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id AS id, {_COS} AS sim FROM embeddings e, q WHERE vec_id <> query_id)
+SELECT query_id, id, round(sim, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM s
+QUALIFY rank <= 5""")
+def knn_batch_50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 50, against all."""
+    df = _vectors(spark, sf_dir)
+    queries = df.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    out = search.knn_batch(df, queries, 5, id_col="vec_id")
+    return out.withColumn("similarity", F.round("similarity", 6)).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query("knn_within", f"WITH {_Q} SELECT e.vec_id, round({_COS}, 6) AS similarity FROM embeddings e, q WHERE e.label IN (2, 4) ORDER BY {_COS} DESC, e.vec_id LIMIT 10")
 def knn_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _vectors(spark, sf_dir)

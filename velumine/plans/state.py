@@ -27,16 +27,19 @@ w AS (SELECT q.query, list(e.vec_id ORDER BY e.vec_id) AS expected FROM qs q JOI
 v AS (SELECT x.query, retrieved, rel, expected FROM x JOIN w USING (query))"""
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Searches of twenty stated vectors, each expected to find the vectors of its label."""
+_EVENTS_50 = _EVENTS.replace("vec_id < 20", "vec_id % 50 = 0")
+
+
+def _events(spark: SparkSession, sf_dir: str, asked: str = "vec_id < 20") -> DataFrame:
+    """Searches of the vectors ``asked`` for, twenty stated ones by default, each expected to find the vectors of its label."""
     df = load(spark, sf_dir, "embeddings")
-    qs = df.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    qs = df.filter(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     found = search.knn_batch(df, qs, 10, id_col="vec_id")
     labels = df.select(F.col("vec_id").alias("id"), "label")
     ql = df.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
     rows = found.join(labels, "id").join(ql, "query_id")
     got = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", (F.col("label") == F.col("ql")).cast("double").alias("rel")))).alias("_r"))
-    want = df.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label").join(labels, "label").filter("id <> query_id").groupBy("query_id").agg(F.array_sort(F.collect_list("id")).alias("expected_ids"))
+    want = df.filter(asked).select(F.col("vec_id").alias("query_id"), "label").join(labels, "label").filter("id <> query_id").groupBy("query_id").agg(F.array_sort(F.collect_list("id")).alias("expected_ids"))
     out = got.join(want, "query_id")
     return out.select(F.col("query_id").alias("query"), F.lit("knn").alias("event_type"), F.transform("_r", lambda x: x["id"]).alias("retrieved_ids"), "expected_ids", F.transform("_r", lambda x: x["rel"]).alias("relevance_scores"))
 
@@ -63,6 +66,22 @@ def eval_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.violations(E.report(E.score(_events(spark, sf_dir))), {"precision_5": 0.99, "recall_5": 0.5})
 
 
+@query("eval_metrics_50", f"WITH {_EVENTS_50} SELECT query, {_METRICS} FROM v")
+def eval_metrics_50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.score(_events(spark, sf_dir, "vec_id % 50 = 0")).select("query", "precision_5", "recall_5", "mrr", "ndcg_10")
+
+
+@query("eval_report_50", f"WITH {_EVENTS_50}, m AS (SELECT query, {_METRICS} FROM v) SELECT 'knn' AS event_type, count(*) AS n, round(avg(precision_5), 4) AS precision_5, round(avg(recall_5), 4) AS recall_5, round(avg(mrr), 4) AS mrr, round(avg(ndcg_10), 4) AS ndcg_10 FROM m")
+def eval_report_50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.report(E.score(_events(spark, sf_dir, "vec_id % 50 = 0")))
+
+
+@query("eval_monitor_50", f"""WITH {_EVENTS_50}, m AS (SELECT query, {_METRICS} FROM v), a AS (SELECT round(avg(precision_5), 4) AS p, round(avg(recall_5), 4) AS r FROM m)
+SELECT 'knn' AS event_type, metric, current, threshold FROM (SELECT 'precision_5' AS metric, p AS current, 0.99::DOUBLE AS threshold FROM a UNION ALL SELECT 'recall_5', r, 0.5::DOUBLE FROM a) WHERE current < threshold""")
+def eval_monitor_50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.violations(E.report(E.score(_events(spark, sf_dir, "vec_id % 50 = 0"))), {"precision_5": 0.99, "recall_5": 0.5})
+
+
 @query("eval_latency", """WITH s AS (SELECT event_type, list(value ORDER BY value) AS v FROM events WHERE value IS NOT NULL GROUP BY 1)
 SELECT event_type, v[(round(0.5 * (length(v) - 1)) + 1)::INT] AS p50, v[(round(0.95 * (length(v) - 1)) + 1)::INT] AS p95, v[(round(0.99 * (length(v) - 1)) + 1)::INT] AS p99 FROM s""")
 def eval_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
