@@ -1,10 +1,15 @@
-"""Filling containers of fixed capacity (problem 9).
+"""Filling containers of fixed capacity (problem 9), by bin completion.
 
 Sizes are whole numbers up to the capacity, so the items are known to the planner by their histogram alone: at most
-``capacity`` counters, whatever the number of items. Bin completion plans over that histogram: around the largest size left
-it enumerates undominated fillings, prunes by the least waste still possible, starts from the best-fit filling as incumbent
-and repeats the filling found as often as its counts allow. The plan, a few patterns per size, is broadcast (its size does
-not depend on the data); items are numbered within their size in parallel and look up the container of their number.
+``capacity`` counters, whatever the number of items. Bin completion branches over containers: the next one is filled around
+the largest size left, with each undominated filling in turn, those of least waste first, and a filling is repeated as often
+as its counts allow before fewer repetitions are tried. A branch is cut where its containers and the least number the rest
+needs (``waste_bound``) reach the incumbent, which is the best-fit solution at first and then the best one found; the search
+ends when the incumbent meets the bound of the whole. Where that takes more than ``NODES`` containers or fillings looked at,
+the incumbent stands: that bounds the search, not the fillings that may be chosen.
+
+The plan, a few patterns per size, is broadcast (its size does not depend on the data); items are numbered within their size
+in parallel and look up the container of their number.
 """
 
 from __future__ import annotations
@@ -19,73 +24,190 @@ from pyspark.sql import functions as F
 
 from velumine.session import Workspace
 
-#: Fillings looked at around one largest item before the incumbent is taken.
-NODES = 20_000
+#: Containers tried in a whole plan beyond the first solution, and fillings looked at for one container.
+NODES, FILLINGS = 2_000, 20_000
 #: Items numbered together in one window.
 GROUP = 50_000
 
 
-def complete(sizes: list[int], left: dict[int, int], space: int, nodes: int = NODES) -> list[int]:
-    """The filling of ``space`` with least waste from ``left`` (size: count); ``sizes`` are its keys, falling.
+def waste_bound(left: dict[int, int], capacity: int) -> int:
+    """The least number of containers that ``left`` (size: count) can need.
 
-    Of two fillings where one item of the first could be exchanged for the items of the second, the first dominates:
-    larger items are tried first, so with equal waste the one of fewer, larger items stands.
+    For every threshold t, items above capacity - t stand alone with what is no smaller than t left out, items above half the
+    capacity cannot share a container, and the others fill what room those leave at best.
     """
-    best: list[int] = []
-    gap = space
-    for s in sizes:  # best fit: the incumbent
-        take = min(left[s], gap // s)
-        if take:
-            best += [s] * take
-            gap -= s * take
-    best_gap, seen = gap, 0
-    smallest = next((s for s in reversed(sizes) if left[s]), space + 1)
-    stack: list[tuple[int, int, tuple[int, ...]]] = [(0, space, ())]
-    while stack and best_gap:
-        at, room, chosen = stack.pop()
-        seen += 1
-        if seen > nodes:
-            break
-        if room < best_gap:
-            best, best_gap = list(chosen), room
-            if not room:
-                break
-        if room < smallest:
-            continue
-        children = []
-        used = 0 if not chosen or at >= len(sizes) else sum(1 for c in chosen if c == sizes[at])
-        for k in range(at, len(sizes)):
-            s = sizes[k]
-            if s > room or left[s] - (used if k == at else 0) <= 0:
+    if not left:
+        return 0
+    sizes = np.array(sorted(left), dtype=np.int64)
+    n = np.array([left[s] for s in sizes.tolist()], dtype=np.int64)
+    counts, sums = np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(sizes * n)]
+    t = np.r_[0, sizes[2 * sizes <= capacity]]
+    half = int(np.searchsorted(sizes, capacity // 2 + 1))
+    top = np.maximum(half, np.searchsorted(sizes, capacity - t + 1))
+    low = np.minimum(half, np.searchsorted(sizes, t))
+    alone, large = counts[-1] - counts[top], counts[top] - counts[half]
+    room = large * capacity - (sums[top] - sums[half])
+    rest = sums[half] - sums[low]
+    bound = alone + large + np.maximum(0, -(-(rest - room) // capacity))
+    return max(-(-int(sums[-1]) // capacity), int(bound.max()))
+
+
+def least_waste(sizes: list[int], left: dict[int, int], space: int) -> list[int]:
+    """Bit sets, one per position in ``sizes`` and one behind: bit r is set if items from there on can sum to exactly r."""
+    mask = (1 << (space + 1)) - 1
+    out = [1] * (len(sizes) + 1)
+    for k in range(len(sizes) - 1, -1, -1):
+        s, n, bits, step = sizes[k], min(left[sizes[k]], space // sizes[k]), out[k + 1], 1
+        while n > 0:  # copies by binary splitting
+            step = min(step, n)
+            bits |= (bits << (s * step)) & mask
+            n -= step
+            step *= 2
+        out[k] = bits
+    return out
+
+
+def _best(bits: int, room: int) -> int:
+    """The greatest sum of at most ``room``."""
+    return (bits & ((1 << (room + 1)) - 1)).bit_length() - 1
+
+
+def dominated(chosen: tuple[int, ...], sizes: list[int], left: dict[int, int], room: int) -> bool:
+    """Whether one item could take the place of one or two chosen ones within ``room`` more: the filling with it then
+    dominates, since what it frees fits wherever the item would have stood (Martello and Toth)."""
+    used = {c: chosen.count(c) for c in set(chosen)}
+    groups = {c: c for c in used}
+    groups |= {a + b: a for i, a in enumerate(chosen) for b in chosen[i + 1 :]}
+    for total, least in groups.items():
+        pair = total != least
+        for s in range(total if pair else total + 1, total + room + 1):
+            if left.get(s, 0) - used.get(s, 0) > 0:
+                return True
+    return False
+
+
+def fillings(sizes: list[int], left: dict[int, int], space: int, most: int = FILLINGS) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of ``space`` from ``left`` (size: count), ``sizes`` its keys, falling: least waste first, and of
+    equal waste those of larger items first.
+
+    The bit sets of reachable sums say what waste can be met at all, so only branches that end in a filling of the waste
+    asked for are entered. ``most`` bounds the fillings looked at.
+    """
+    sizes = [s for s in sizes if s <= space and left[s]]
+    reach = least_waste(sizes, left, space)
+    seen, goal = 0, _best(reach[0], space)
+    while goal >= 0:
+        stack: list[tuple[int, int, tuple[int, ...]]] = [(0, goal, ())]
+        while stack:
+            at, need, chosen = stack.pop()
+            if not need:
+                seen += 1
+                if not dominated(chosen, sizes, left, space - goal):
+                    yield chosen
+                if seen >= most:
+                    return
                 continue
-            children.append((k, room - s, (*chosen, s)))
-            if s == room or len(children) >= 24:  # what follows is dominated by it, or reached by other orders
-                break
-        stack.extend(reversed(children))
-    return best
+            if at == len(sizes) or not reach[at] >> need & 1:
+                continue
+            s = sizes[at]
+            for n in range(0, min(left[s], need // s) + 1):  # the most copies are looked at first
+                if reach[at + 1] >> (need - n * s) & 1:
+                    stack.append((at + 1, need - n * s, (*chosen, *(s,) * n)))
+        if not goal:
+            return
+        goal = _best(reach[0], goal - 1)
 
 
-def plan(histogram: dict[int, int], capacity: int, nodes: int = NODES) -> list[tuple[int, tuple[int, ...]]]:
-    """Patterns (times used, sizes in it) that pack every item of ``histogram`` into containers of ``capacity``."""
-    left = {s: n for s, n in histogram.items() if n > 0 and 0 < s <= capacity}
+def _fill(left: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """The solution that takes the first filling each time, as often as its counts allow."""
+    left, out = dict(left), []
     sizes = sorted(left, reverse=True)
-    out: list[tuple[int, tuple[int, ...]]] = []
     while sizes:
         head = sizes[0]
         left[head] -= 1
-        pattern = (head, *complete(sizes, left, capacity - head, nodes))
+        pattern = (head, *next(fillings(sizes, left, capacity - head)))
         left[head] += 1
-        need: dict[int, int] = {}
-        for s in pattern:
-            need[s] = need.get(s, 0) + 1
-        times = min(left[s] // n for s, n in need.items())
-        for s, n in need.items():
-            left[s] -= n * times
+        times = _times(pattern, left)
+        _take(left, pattern, times)
         out.append((times, pattern))
         sizes = [s for s in sizes if left[s]]
     return out
 
 
+def _times(pattern: tuple[int, ...], left: dict[int, int]) -> int:
+    return min(left[s] // pattern.count(s) for s in set(pattern))
+
+
+def _take(left: dict[int, int], pattern: tuple[int, ...], times: int) -> None:
+    for s in set(pattern):
+        left[s] -= pattern.count(s) * times
+
+
+def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """Best fit, falling, over the histogram: the largest size that still fits is added until none does."""
+    left, out = dict(histogram), []
+    sizes = sorted(left, reverse=True)
+    while sizes:
+        room, pattern = capacity, []
+        for s in sizes:
+            n = min(left[s], room // s)
+            pattern += [s] * n
+            room -= n * s
+        times = _times(tuple(pattern), left)
+        _take(left, tuple(pattern), times)
+        out.append((times, tuple(pattern)))
+        sizes = [s for s in sizes if left[s]]
+    return out
+
+
+def plan(histogram: dict[int, int], capacity: int, nodes: int = NODES) -> list[tuple[int, tuple[int, ...]]]:
+    """Patterns (times used, sizes in it) that pack every item of ``histogram`` into containers of ``capacity``."""
+    left = {s: n for s, n in histogram.items() if n > 0 and 0 < s <= capacity}
+    count = lambda p: sum(t for t, _ in p)
+    low = waste_bound(left, capacity)
+    best = min(best_fit(left, capacity), _fill(left, capacity), key=count)
+    seen = 0
+    # Each level of the search is one choice (filling, times) with what is left after it.
+    path: list[tuple[int, tuple[int, ...]]] = []
+
+    def choices(rest: dict[int, int]) -> Iterator[tuple[int, tuple[int, ...]]]:
+        sizes = sorted((s for s in rest if rest[s]), reverse=True)
+        head = sizes[0]
+        rest[head] -= 1
+        found = fillings(sizes, dict(rest), capacity - head)
+        rest[head] += 1
+        for f in found:
+            pattern = (head, *f)
+            for times in range(_times(pattern, rest), 0, -1):
+                yield times, pattern
+
+    stack = [choices(left)] if left and count(best) > low else []
+    used = 0
+    while stack and count(best) > low and seen < nodes:
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            if path:
+                times, pattern = path.pop()
+                _take(left, pattern, -times)
+                used -= times
+            continue
+        seen += 1
+        times, pattern = step
+        _take(left, pattern, times)
+        rest = {s: n for s, n in left.items() if n}
+        if used + times + waste_bound(rest, capacity) < count(best):
+            if not rest:
+                best = [*path, step]
+            else:
+                path.append(step)
+                used += times
+                stack.append(choices(left))
+                continue
+        _take(left, pattern, -times)
+    return best
+
+
 def slots(patterns: list[tuple[int, tuple[int, ...]]]) -> np.ndarray:
     """Rows (size, first rank, copies per container, first container, offset of the first copy), sorted."""
     rows, taken, base = [], {}, 0
