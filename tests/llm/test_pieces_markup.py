@@ -123,3 +123,36 @@ def test_markup_table(spark):
     got = {tuple(r) for r in M.kinds_found(docs, chunks).collect()}
     assert {("documents", "1", "markdown"), ("documents", "3", "html"), ("chunks", "c", "wiki")} <= got and not any(r[1] in "2de" for r in got)
     assert M.kinds_found(docs.limit(0), chunks.limit(0)).count() == 0
+
+
+ARTICLE = "<h1>Guide to things</h1><p>This is a long paragraph of the article, which says a lot about the things that matter.</p><p>Short note.</p><ul><li>red</li><li>blue</li></ul><p>Another paragraph that tells more about it, with a <a href='x'>link</a> in the middle.</p><pre>a &lt; b</pre>"
+MENU = "<ul><li><a href='/'>Home</a></li><li><a href='/b'>About us</a></li><li><a href='/c'>Contact</a></li></ul>"
+FOOTER = "<footer><a>Imprint</a> <a>Privacy</a></footer>"
+CLEAN = "# Guide to things\n\nThis is a long paragraph of the article, which says a lot about the things that matter.\n\nShort note.\n\n- red\n- blue\n\nAnother paragraph that tells more about it, with a link in the middle.\n\n```\na < b\n```"
+
+
+@pytest.mark.parametrize("front", ["", "<!-- " + "x" * 100_000 + " -->"])
+@pytest.mark.parametrize("page", ["<!doctype html><html><head><title>T</title></head><body>{}{}{}</body></html>", "{}<body>{}{}"])
+def test_pages_lose_menus_and_footers_only(front, page):
+    assert M.analyse(front + page.format(MENU, ARTICLE, FOOTER)) == ({"html"}, CLEAN)
+
+
+def test_a_list_of_links_in_a_fragment_stays():
+    assert "- About us" in M.analyse(MENU)[1]
+
+
+def test_what_is_no_element_is_text():
+    for t in ("Vec<String> and a <b and c", "x < 3 <T> R&D </Foo> &nosuch; <! no>", "<a/b/c>"):
+        assert M.analyse(t) == (set(), t)
+    assert M.analyse("Map<String, Foo> is <b>bold</b>") == ({"html"}, "Map<String, Foo> is bold")
+    assert M.analyse("AT&amp;T &#8211; R&D") == ({"html"}, "AT&T – R&D")
+
+
+def test_templates_at_any_depth():
+    deep = "{{a|" * 500 + "}}" * 500
+    assert M.analyse(f"before {deep} after") == ({"wiki"}, "before  after")
+    assert M.analyse("keep {one} and } two")[1] == "keep {one} and } two"
+
+
+def test_tables_stay_whole():
+    assert M.analyse("| a | b |\n|---|---|\n| 1 | 2 |")[1] == "| a | b |\n| 1 | 2 |"

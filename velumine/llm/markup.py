@@ -1,10 +1,16 @@
 """Markup residue in texts (problem 5).
 
 ``analyse`` reads a text once and returns the kinds of markup in it and its clean text. Code (fenced blocks, inline code,
-HTML ``pre``, LaTeX ``verbatim``) is taken out first, since what stands in it is content; HTML is read as the event stream of
-the standard library's parser; then LaTeX, wiki and Markdown constructs are converted in turn. Headings become ``#`` lines,
-lists ``-`` and ``1.`` lines, code fenced blocks, formulas ``$`` spans. In whole HTML pages, lines are then weighed by their
-text-to-tag ratio, smoothed by a Gaussian, and split in two clusters; regions of the low cluster (menus, footers) are left out.
+HTML ``pre``, LaTeX ``verbatim``) is taken out first, since what stands in it is content. HTML is the event stream of the
+standard library's parser: its events of tags, comments, doctype and character references say whether a text has HTML, and
+its data events are the text; what the parser takes for a tag but no element of HTML is text too. Then LaTeX, wiki and
+Markdown constructs are converted in turn. Headings become ``#`` lines, lists ``-`` and ``1.`` lines, code fenced blocks,
+formulas ``$`` spans.
+
+In whole HTML pages (a doctype, ``html`` or ``body`` anywhere) lines are weighed by their text-to-tag ratio, where the text of
+links does not count, smoothed by a Gaussian, and split in two clusters by a threshold. Lines form regions: a list, a table, a
+heading with what follows, a run of other lines. A region of the low cluster that is made of links, or stands in ``nav``,
+``header``, ``footer``, ``aside`` or ``form``, is left out as a whole: menus, also those that are lists, and footers.
 
 Null and empty texts have no kinds and an empty clean text.
 """
@@ -37,9 +43,13 @@ _ELEMENTS = (
     "samp script search section select slot small source span strike strong style sub summary sup svg table tbody td template "
     "textarea tfoot th thead time title tr track tt u ul var video wbr nowiki ref references gallery math"
 )
-_NAMES = "|".join(sorted(_ELEMENTS.split(), key=lambda x: (-len(x), x)))
-_TAG = rf"</?(?:{_NAMES})(?:\s+[^<>\s=/\"']+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s<>\"']+))?)*\s*/?>"
-_HTML = re.compile(rf"<!--.*?(?:-->|\Z)|<!doctype[^>]*>|<!\[CDATA\[.*?\]\]>|{_TAG}", re.I | re.S)
+_NAMES = frozenset(_ELEMENTS.split())
+#: What cannot begin markup: a mark of comparison, or one that nothing closes.
+_BARE = re.compile(r"<(?!(?:/?[A-Za-z]|!--|!\[CDATA\[|![A-Za-z]|\?))|<(?!!--|[^<>]*>|[^<>]*<[^<>]*>[^<>]*[\"'][^<>]*>)")
+#: The shape of a tag, by its raw text: a name, attributes, perhaps a slash.
+_SHAPE = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s+[^<>\s=/\"']+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s<>\"']+))?)*\s*/?>\Z")
+#: Elements whose text is rarely content.
+_ASIDE = frozenset("nav header footer aside form".split())
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 
 # Code of all kinds; the earliest opening wins, so that nothing inside one kind opens another.
@@ -63,7 +73,6 @@ _MATH_ENV = re.compile(r"\\begin\{(equation|align|gather|multline|displaymath|ma
 
 _WIKI_TABLE = re.compile(r"^[ \t]*\{\|.*?(?:^[ \t]*\|\}|\Z)", re.S | re.M)
 _WIKI_ROW = re.compile(r"^[ \t]*(?:\{\|[^\n]*|\|\}|\|-[^\n|]*|\|\+[^\n]*|\|[^\n|]+\|\|[^\n]+|![^\n!]+!![^\n]+)$", re.M)
-_TEMPLATE = re.compile(r"\{\{[^{}]*\}\}")
 _TEMPLATE_OPEN = re.compile(r"\{\{(?=[A-Za-z#:][^{}\n]*(?:\n|\Z|\|))")
 _WIKI_LINK = re.compile(r"\[\[([^\[\]\n|]+)(?:\|([^\[\]\n]*))?\]\]")
 _WIKI_EXTERNAL = re.compile(r"(?<![\]\w\[])\[(?:https?|ftp)://[^\s\]]+(?:[ \t]+([^\]\n]+))?\](?![\[(:])")
@@ -99,17 +108,28 @@ _HOLD = re.compile("\x00(\\d+)\x00")
 _IN_HEAD = frozenset("html head title meta link base style script noscript template".split())
 
 
+# Marks in the reader's output: a tag, an own line, a link's begin and end, a place besides the content and its end.
+_TAG, _OWN, _LINK, _UNLINK, _OFF, _ON = "\x01", "\x03", "\x04", "\x05", "\x06", "\x0e"
+# Marks in its input: an ampersand and a less-than sign that are text.
+_AMPERSAND, _LESS = "\x0f", "\x10"
+_NO_MARKS = dict.fromkeys([0, 1, 2, 3, 4, 5, 6, 14, 15, 16])
+_STRIP = dict.fromkeys(map(ord, _TAG + _LINK + _UNLINK + _OFF + _ON))
+
+
 class _Reader(HTMLParser):
     """Turns the parser's events into Markdown-like lines, counting text and tags of each line."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
+        super().__init__(convert_charrefs=False)
         self.parts: list[str] = []
         self.lists: list[list] = []
         self.table = 0
         self.skip = False
         self.inside = ""  # the element of the head that is open
         self.head: list[str] = []  # text of the head, for a head that is cut off
+        self.found = False  # any markup
+        self.page = False  # a whole page
+        self.raw_end = ""
 
     def _end_head(self) -> None:
         self.skip, self.inside, self.head = False, "", []
@@ -123,8 +143,51 @@ class _Reader(HTMLParser):
     def _block(self) -> None:
         self.parts.append("\n")
 
+    def parse_endtag(self, i: int) -> int:
+        end = self.rawdata.find(">", i)
+        self.raw_end = self.rawdata[i : end + 1]
+        return super().parse_endtag(i)
+
+    def parse_bogus_comment(self, i: int, report: int = 1) -> int:
+        end = self.rawdata.find(">", i + 2)
+        if end < 0:
+            return -1
+        self.handle_data(self.rawdata[i : end + 1])
+        return end + 1
+
+    def handle_comment(self, data: str) -> None:
+        self.found = True
+
+    def handle_decl(self, decl: str) -> None:
+        if decl[:7].lower() == "doctype":
+            self.found = self.page = True
+        else:
+            self.handle_data(f"<!{decl}>")
+
+    def unknown_decl(self, data: str) -> None:
+        self.found = True
+        if data.startswith("CDATA["):
+            self.handle_data(data[6:])
+
+    def handle_entityref(self, name: str) -> None:
+        self.found = True
+        self.handle_data(html.unescape(f"&{name};"))
+
+    def handle_charref(self, name: str) -> None:
+        self.found = True
+        self.handle_data(html.unescape(f"&#{name};"))
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.parts.append("\x01")
+        raw = self.get_starttag_text() or ""
+        if tag not in _NAMES or not _SHAPE.match(raw):
+            self.handle_data(raw)
+            return
+        self.found = True
+        self.page = self.page or tag in ("html", "body")
+        self.parts.append(_TAG)
         if self.skip and tag not in _IN_HEAD and self.inside not in ("noscript", "template"):
             self._end_head()
         if tag == "head":
@@ -133,8 +196,10 @@ class _Reader(HTMLParser):
             self.inside = tag
         elif tag == "title":
             pass
+        elif tag == "a":
+            self.parts.append(_LINK)
         elif re.fullmatch("h[1-6]", tag):
-            self.parts.append("\n\x03" + "#" * int(tag[1]) + " ")
+            self.parts.append("\n" + _OWN + "#" * int(tag[1]) + " ")
         elif tag in ("ul", "ol"):
             self.lists.append([tag, 0])
             self._block()
@@ -142,25 +207,33 @@ class _Reader(HTMLParser):
             self._block()
             if self.lists and self.lists[-1][0] == "ol":
                 self.lists[-1][1] += 1
-                self.parts.append("\x03" + "  " * (len(self.lists) - 1) + f"{self.lists[-1][1]}. ")
+                self.parts.append(_OWN + "  " * (len(self.lists) - 1) + f"{self.lists[-1][1]}. ")
             else:
-                self.parts.append("\x03" + "  " * max(0, len(self.lists) - 1) + "- ")
+                self.parts.append(_OWN + "  " * max(0, len(self.lists) - 1) + "- ")
         elif tag == "table":
             self.table += 1
             self._block()
         elif tag == "tr":
-            self.parts.append("\n\x03")
+            self.parts.append("\n" + _OWN)
         elif tag in ("td", "th"):
             self.parts.append("| ")
-        elif tag in ("p", "div", "br", "section", "article", "header", "footer", "nav", "main", "aside", "blockquote", "hr", "dl", "dt", "dd", "form", "figure", "body"):
+        elif tag in ("p", "div", "br", "section", "article", "main", "blockquote", "hr", "dl", "dt", "dd", "figure", "body", "pre") or tag in _ASIDE:
             self._block()
+            if tag in _ASIDE:
+                self.parts.append(_OFF)
 
     def handle_endtag(self, tag: str) -> None:
-        self.parts.append("\x01")
+        if tag not in _NAMES or not _SHAPE.match(self.raw_end):
+            self.handle_data(self.raw_end)
+            return
+        self.found = True
+        self.parts.append(_TAG)
         if tag in ("head", "body", "html"):
             self._end_head()
         elif self.skip:
             self.inside = "" if tag == self.inside else self.inside
+        elif tag == "a":
+            self.parts.append(_UNLINK)
         elif tag in ("ul", "ol"):
             if self.lists:
                 self.lists.pop()
@@ -172,7 +245,10 @@ class _Reader(HTMLParser):
             self.parts.append("|")
         elif tag in ("td", "th"):
             self.parts.append(" ")
-        elif tag in ("p", "div", "section", "article", "header", "footer", "nav", "blockquote") or re.fullmatch("h[1-6]", tag):
+        elif tag in ("p", "div", "section", "article", "blockquote", "pre") or re.fullmatch("h[1-6]", tag):
+            self._block()
+        elif tag in _ASIDE:
+            self.parts.append(_ON)
             self._block()
 
     def handle_data(self, data: str) -> None:
@@ -185,37 +261,107 @@ class _Reader(HTMLParser):
             self.parts.append(data)
 
 
+def read_html(t: str) -> _Reader:
+    """The reader after the events of ``t``."""
+    t = _ENTITY.sub(lambda m: m.group() if m.group()[1] == "#" or m.group()[1:] in html5 else _AMPERSAND + m.group()[1:], t)
+    t = re.sub(rf"&(?!{_ENTITY.pattern[1:]})", _AMPERSAND, t)
+    reader = _Reader()
+    reader.feed(_BARE.sub(lambda m: _LESS + m.group()[1:], t))
+    reader.close()
+    return reader
+
+
+def _measure(lines: list[str]) -> tuple[list[float], list[int], list[int], list[bool]]:
+    """Of each line: characters outside links per tag, characters, characters in links, and whether it stands aside."""
+    ratios, chars, links, aside = [], [], [], []
+    link = off = 0
+    for x in lines:
+        n = inside = tags = 0
+        was_off = off > 0
+        for part in re.split("([\x01\x04\x05\x06\x0e])", x):
+            if part == _TAG:
+                tags += 1
+            elif part == _LINK:
+                link += 1
+            elif part == _UNLINK:
+                link = max(0, link - 1)
+            elif part == _OFF:
+                off += 1
+                was_off = True
+            elif part == _ON:
+                off = max(0, off - 1)
+            else:
+                size = len(part.strip(" \t\x03"))
+                n += size
+                inside += size if link else 0
+        ratios.append((n - inside) / max(1, tags))
+        chars.append(n)
+        links.append(inside)
+        aside.append(was_off)
+    return ratios, chars, links, aside
+
+
+def _regions(lines: list[str]) -> list[tuple[int, int]]:
+    """(first, behind the last) of the regions of ``lines``: lists, tables and runs of other lines; a heading begins one."""
+
+    def kind(x: str) -> str:
+        plain = x.translate(_STRIP)
+        if not plain.startswith(_OWN):
+            return "" if plain.strip() else " "
+        return "#" if plain[1:2] == "#" else "|" if plain[1:2] == "|" else "-"
+
+    out, start, last = [], 0, ""
+    for i, x in enumerate(lines):
+        k = kind(x)
+        if k == " ":
+            continue
+        new = k == "#" or k != last and not (last == "#" and k)
+        if new and last:
+            out.append((start, i))
+            start = i
+        last = "" if last == "#" and not k else k
+        last = last or "text"
+        if k == "":
+            last = "text" if last in ("", "text") else last
+    return [*out, (start, len(lines))] if lines else []
+
+
 def content_lines(lines: list[str], whole_page: bool, sigma: float = 1.0) -> list[str]:
-    """``lines`` (with ``\\x01`` for each tag) without the regions of low text-to-tag ratio, if it is a whole page.
+    """``lines`` of a reader without the regions of low text-to-tag ratio, if it is a whole page.
 
-    The ratio of characters to tags of each line is smoothed by a Gaussian of ``sigma`` lines; the threshold between the two
-    clusters of log ratios is found by moving it to the mean of the cluster means until it stands. Headings, lists, tables
-    and code belong to the region around them.
+    The ratio of each line is smoothed by a Gaussian of ``sigma`` lines; the threshold between the two clusters of log ratios
+    is found by moving it to the mean of the cluster means until it stands.
     """
+    plain = [x.translate(_STRIP) for x in lines]
     if not whole_page or len(lines) < 4:
-        return [x.replace("\x01", "") for x in lines]
-    ratio = [len(x.replace("\x01", "").strip()) / max(1, x.count("\x01")) for x in lines]
+        return plain
+    ratio, chars, links, aside = _measure(lines)
     width = max(1, math.ceil(3 * sigma))
     kernel = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-width, width + 1)]
     smooth = []
     for i in range(len(ratio)):
-        pairs = [(kernel[d + width], ratio[i + d]) for d in range(-width, width + 1) if 0 <= i + d < len(ratio)]
-        smooth.append(math.log1p(sum(k * r for k, r in pairs) / sum(k for k, _ in pairs)))
-    cut = sum(smooth) / len(smooth)
-    for _ in range(20):
-        low, high = [s for s in smooth if s < cut], [s for s in smooth if s >= cut]
+        pairs = [(kernel[d + width], ratio[i + d]) for d in range(-width, width + 1) if 0 <= i + d < len(ratio) and chars[i + d]]
+        smooth.append(math.log1p(sum(k * r for k, r in pairs) / sum(k for k, _ in pairs)) if pairs else 0.0)
+    told = [s for s, n in zip(smooth, chars) if n]
+    cut = sum(told) / max(1, len(told))
+    for _ in range(100):
+        low, high = [s for s in told if s < cut], [s for s in told if s >= cut]
         if not low or not high:
             break
         new = (sum(low) / len(low) + sum(high) / len(high)) / 2
         if abs(new - cut) < 1e-6:
             break
         cut = new
-    floor = min(cut, math.log1p(10))  # a line of ten characters per tag and more is content in any page
-    out = []
-    for s, x in zip(smooth, lines):
-        plain = x.replace("\x01", "").lstrip("\x03")
-        if s >= floor or plain.lstrip().startswith(("#", "- ", "\x00", "| ")) or re.match(r"\s*\d+\. ", plain):
-            out.append(x.replace("\x01", ""))
+    out: list[str] = []
+    for a, z in _regions(lines):
+        n = sum(chars[a:z])
+        mean = sum(s * c for s, c in zip(smooth[a:z], chars[a:z])) / n if n else 0.0
+        besides = sum(c for c, off in zip(chars[a:z], aside[a:z]) if off)
+        # A list's lines smooth each other, so the region's own ratio counts too.
+        low = mean < cut or 2 * sum(links[a:z]) > n
+        if n and low and (2 * sum(links[a:z]) >= n or 2 * besides >= n):
+            continue
+        out += plain[a:z]
     return out
 
 
@@ -228,7 +374,7 @@ def analyse(text: str | None) -> tuple[set[str], str]:
     if not text:
         return set(), ""
     kinds: set[str] = set()
-    t = text.replace("\r\n", "\n").replace("\r", "\n").replace("\x00", "").replace("\x01", "")
+    t = text.replace("\r\n", "\n").replace("\r", "\n").translate(_NO_MARKS)
     held: list[str] = []
 
     def hold(s: str) -> str:
@@ -240,15 +386,13 @@ def analyse(text: str | None) -> tuple[set[str], str]:
             kinds.add("markdown")
             return hold("```" + (m.group("info") or "").strip() + "\n" + m.group("body").rstrip("\n") + "\n```") + "\n"
         if m.group("pre") is not None:
-            kinds.add("html")
             body = html.unescape(re.sub(r"</?code\b[^>]*>", "", m.group("pbody")))
-            return "\n" + hold("```\n" + body.strip("\n") + "\n```") + "\n"
+            return "<pre>" + hold("```\n" + body.strip("\n") + "\n```") + "</pre>"
         if m.group("verb") is not None:
             kinds.add("latex")
             return "\n" + hold("```\n" + m.group("vbody").strip("\n") + "\n```") + "\n"
         if m.group("script") is not None:
-            kinds.add("html")
-            return ""
+            return "<script></script>"
         kinds.add("markdown")
         return hold(m.group("ibody").strip(" "))
 
@@ -256,10 +400,6 @@ def analyse(text: str | None) -> tuple[set[str], str]:
         t = _CODE.sub(code, t)
     if "<" in t:
         t = _MD_AUTOLINK.sub(lambda m: kinds.add("markdown") or hold(m.group(1)), t)
-    has_entity = "&" in t and any(x.group()[1] == "#" or x.group()[1:] in html5 for x in _ENTITY.finditer(t))
-    has_tag = "<" in t and _HTML.search(t) is not None
-    if has_tag or has_entity:
-        kinds.add("html")
     if "$" in t or "\\" in t:
         def formula(m: re.Match[str]) -> str:
             kinds.add("latex")
@@ -268,25 +408,19 @@ def analyse(text: str | None) -> tuple[set[str], str]:
 
         t = _MATH_ENV.sub(lambda m: kinds.add("latex") or hold("$$" + re.sub(r"\\label\{[^}]*\}", "", m.group("m")).strip() + "$$"), t)
         t = _FORMULA.sub(formula, t)
-    t = t.replace("\x02", "").replace("\x03", "")
-    if has_tag:
-        protected = re.sub(r"<(?!/?[A-Za-z!])", "&lt;", t)
-        reader = _Reader()
-        reader.feed(protected)
-        reader.close()
-        lines = "".join(reader.parts).split("\n")
-        t = "\n".join(content_lines(lines, bool(re.search(r"<(?:html|body)\b|<!doctype", text[:2000], re.I))))
-    elif has_entity:
-        t = html.unescape(t)
+    if "<" in t or "&" in t:
+        reader = read_html(t)
+        if reader.found:
+            kinds.add("html")
+            t = "\n".join(content_lines("".join(reader.parts).split("\n"), reader.page)).replace(_AMPERSAND, "&").replace(_LESS, "<")
     if "\\" in t:
         t = _latex(t, kinds)
     if "[" in t or "{" in t or "''" in t or "==" in t or "|" in t or "=" in t:
         t = _wiki(t, kinds)
     t = _markdown(t, kinds)
-    for _ in range(3):
-        if "\x00" not in t:
-            break
-        t = _HOLD.sub(lambda m: held[int(m.group(1))] if int(m.group(1)) < len(held) else "", t)
+    for i, piece in enumerate(held):  # a piece holds earlier ones only
+        held[i] = _HOLD.sub(lambda m: held[int(m.group(1))] if int(m.group(1)) < i else "", piece)
+    t = _HOLD.sub(lambda m: held[int(m.group(1))] if int(m.group(1)) < len(held) else "", t)
     return kinds, re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", t)).strip()
 
 
@@ -335,6 +469,32 @@ def _latex(t: str, kinds: set[str]) -> str:
     return re.sub(r"(\x03(?:-|\d+\.)) +", r"\1 ", _COMMAND.sub(command, t))
 
 
+def _without_templates(t: str) -> str:
+    """``t`` without its templates, however deep they stand in each other. One pass: a single brace ends what is open."""
+    cuts: list[tuple[int, int]] = []
+    opened: list[int] = []
+    for m in re.finditer(r"\{+|\}+", t):
+        n = m.end() - m.start()
+        if m.group()[0] == "{":
+            if n % 2:
+                opened.clear()
+            opened += range(m.start() + n % 2, m.end(), 2)
+            continue
+        at = m.start()
+        while opened and m.end() - at >= 2:
+            start, at = opened.pop(), at + 2
+            while cuts and cuts[-1][0] >= start:
+                cuts.pop()
+            cuts.append((start, at))
+        if m.end() > at:
+            opened.clear()
+    out, end = [], 0
+    for a, z in cuts:
+        out.append(t[end:a])
+        end = z
+    return "".join([*out, t[end:]])
+
+
 def _wiki(t: str, kinds: set[str]) -> str:
     def mark(value: str) -> str:
         kinds.add("wiki")
@@ -353,11 +513,9 @@ def _wiki(t: str, kinds: set[str]) -> str:
         t = _WIKI_TABLE.sub(table, t)
         t = _WIKI_ROW.sub(lambda m: mark("" if m.group().strip()[:2] in ("{|", "|}", "|-") else m.group().replace("|", "\x02")), t)
     if "{{" in t:
-        for _ in range(4):
-            new = _TEMPLATE.sub(lambda m: mark(""), t)
-            if new == t:
-                break
-            t = new
+        new = _without_templates(t)
+        if new != t:
+            t = mark(new)
         t = _TEMPLATE_OPEN.sub(lambda m: mark(""), t)
     if "[[" in t:
         t = _WIKI_ITEM.sub(lambda m: mark("\x03" + "  " * (len(m.group("m")) - 1) + ("1. " if m.group("m")[-1] == "#" else "- ") + m.group("t")), t)
@@ -387,7 +545,7 @@ def _markdown(t: str, kinds: set[str]) -> str:
         t = _MD_REFLINK.sub(lambda m: mark(m.group(1)), t)
     if "|" in t and (_MD_RULE.search(t) or _MD_ROW.search(t)):
         mark("")
-        t = _MD_RULE.sub("", t)
+        t = re.sub(_MD_RULE.pattern + r"\n?", "", t, flags=re.M)
     t = t.replace("\x02", "|")
     if "---" in t or "===" in t:
         t = _MD_UNDERLINE.sub(lambda m: mark(_heading(1 if m.group("u")[0] == "=" else 2, m.group("t"))), t)
