@@ -92,3 +92,35 @@ def test_table(spark):
     got = {(r["node_id"], r["func_name"]) for r in D.document_pairs(df).collect()}
     assert got >= {("n1", "a"), ("n3", "q"), ("n7", "big")} and not got & {("n2", "a")}
     assert D.document_pairs(df.limit(0)).count() == 0
+
+
+BODIES = {
+    "python": ('class A:\n    def a(self, x=(1,\n        2)):\n        """{}"""\n        s = """\nno end\n"""\n        return {{\n    1: 2}}\n\n    def b(self):\n        return 1\n', "return {\n    1: 2}"),
+    "javascript": ('/** {} */\nfunction a(x = {{}}) {{\n  if (x) {{ return "}}" }} // }}\n  return `}}`;\n}}\nlet b = 1;\n', "return `}`;\n}"),
+    "rust": ('/// {}\nfn a() {{ let s = "}}"; /* }} */ fn i() {{}} last() }}\nfn b() {{}}\n', "last() }"),
+    "go": ('// {}\nfunc a(x interface{{}}) {{\n\tif x == "}}" {{ return }}\n\tlast()\n}}\nfunc b() {{}}\n', "last()\n}"),
+    "elixir": ('@doc "{}"\ndef a(x) do\n  y = fn z -> if z do 1 end end\n  :end == "end"\n  last(y)\nend\n\ndef b(x), do: x\n', "last(y)\nend"),
+}
+
+
+@pytest.mark.parametrize("language", sorted(BODIES))
+def test_code_ends_where_the_body_does(language):
+    source, end = BODIES[language]
+    (name, said, code, _), = D.documented(source.format(GOOD), language)
+    assert name == "a" and said == GOOD and code.endswith(end)
+
+
+@pytest.mark.parametrize("text", ["Documentation for this is on its way", "Someone ought to describe this", "Placeholder until we know what it does", "This docstring will arrive shortly", "Needs to be documented later"])
+def test_other_words_for_missing(text):
+    assert D.trivial(text, "run")
+
+
+def test_inflections_of_the_name():
+    assert D.trivial("Defers the diagram outlier.", "defer_diagram_outlier") and D.trivial("Retries the window rules", "retryWindowRule")
+    assert not D.trivial("Defers the diagram until outlier pages are read", "defer_diagram_outlier")
+
+
+@pytest.mark.parametrize("language", sorted(D.GRAMMARS))
+@pytest.mark.parametrize("mark", ["{", "(", "[", "/*", "fn ", "do ", "def a(", "/** x */ a(", "/// a b c d\nfn a", '@doc "', "func a("])
+def test_deep_and_open_nesting_ends(language, mark):
+    D.documented(mark * 20_000, language)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from velumine.functions.text import key, level
-from velumine.llm.peg import Expr, Rule, act, alt, many, maybe, parse, seq, take, tok
+from velumine.llm.peg import End, Expr, Nested, Rule, act, alt, extent, many, maybe, parse, seq, take, tok
 from velumine.session import spread
 
 EXTENSIONS = {"ex": "elixir", "exs": "elixir", "py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "go": "go", "rs": "rust"}
@@ -45,8 +45,12 @@ class Pair(NamedTuple):
 def _pair(values: list, start: int, end: int) -> list:
     """The last documentation before a definition belongs to it."""
     docs = [v.text for v in values if isinstance(v, Doc)]
-    name = values[-1]
-    return [Pair(name.text, docs[-1], name.at, end)] if docs and isinstance(name, Name) else []
+    name = next((v for v in values if isinstance(v, Name)), None)
+    return [Pair(name.text, docs[-1], name.at, _end(values, end))] if docs and name else []
+
+
+def _end(values: list, end: int) -> int:
+    return max([end, *(v.at for v in values if isinstance(v, End))])
 
 
 def _name(m: re.Match[str]) -> Name:
@@ -71,8 +75,13 @@ def _elixir() -> Expr:
     options = tok(r"^[ \t]*@doc[ \t(]+(?:\[|\w+:)[^\n]*")
     define = take(r"^[ \t]*(?:def|defp|defmacro|defmacrop|defguard|defguardp|defdelegate)[ \t(]+(?P<n>(?!unquote\b)[a-z_]\w*[?!]?)", _name)
     between = alt(doc, off, options, attribute, comment, space)
+    # A body is a line of ``do:``, or goes from ``do`` to its ``end``; ``fn`` and inner blocks have their own.
+    plain = alt(string, comment, tok(r"\?\\?.|:\w+|\w+:(?!:)|\w+(?:\.\w+)*[?!]?"), tok(r"[^\w\"'#~?:]+"), tok(r"(?!\bend\b).", re.S))
+    block = Nested(r"\b(?:do|fn)\b(?!:)", r"\bend\b", plain, open_end=True)
+    header = many(seq(tok(r"(?!\bdo\b(?!:))(?!\n[ \t]*(?:def|@|end\b))"), alt(string, comment, tok(r"\?\\?.|:\w+|\w+:(?!:)|\w+(?:\.\w+)*[?!]?"), tok(r"[^\w\"'#~?:\n]+"), tok(r"(?<=[,\\|>=(\[{])[ \t]*\n|\n(?=[ \t]*(?:when|do:|\|>|,|\)|\||do\b))"), tok(r"[^\n\w]"))))
+    body_end = extent(seq(header, maybe(block)))
     documented = Rule("documented")
-    documented.body = act(seq(alt(doc, off), many(between), define), _pair)
+    documented.body = act(seq(alt(doc, off), many(between), define, body_end), _pair)
     skip = tok(r"(?:[^\"'#~?@\n]|\?\\?.|[~?@](?!\w)|~(?=\W)|@|\n(?![ \t]*@doc)|'(?!''))", re.M)
     words = tok(r"[^\"'#~?@\n]+|\n(?![ \t]*@doc)(?:[^\"'#~?@\n])*")
     return many(alt(documented, string, comment, words, skip, tok(r".", re.S)))
@@ -81,13 +90,15 @@ def _elixir() -> Expr:
 _PY_STRING = r'[rRbBuUfF]{0,2}(?:"""(?:[^"\\]|\\.|"(?!""))*"""|\'\'\'(?:[^\'\\]|\\.|\'(?!\'\'))*\'\'\'|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\')'
 
 
+_INDENT = re.compile(r"[ \t]*")
+_PY_LINE = re.compile(r"(?:\n[ \t]*(?:#[^\n]*)?(?=\n))*\n([ \t]*)(?=[^\s])")
+
+
 def _python() -> Expr:
     string = tok(r"(?<!\w)" + _PY_STRING + "|" + _PY_STRING, re.S)
     comment = tok(r"#[^\n]*")
     plain = tok(r"[^()\[\]{}\"'#]+")
-    bracket = Rule("bracket")
-    inside = many(alt(bracket, string, comment, plain))
-    bracket.body = alt(seq(tok(r"\("), inside, tok(r"\)")), seq(tok(r"\["), inside, tok(r"\]")), seq(tok(r"\{"), inside, tok(r"\}")))
+    bracket = Nested(r"[(\[{]", r"[)\]}]", alt(string, comment, plain, tok(r"[\"'#]")))
     head = take(r"^[ \t]*(?:async[ \t]+)?def[ \t]+(?P<n>[^\W\d]\w*)\s*", _name)
     generic = maybe(seq(tok(r"(?=\[)"), bracket, tok(r"\s*")))
     result = maybe(seq(tok(r"\s*->\s*"), many(alt(bracket, string, tok(r"[^()\[\]{}\"'#:\n]+")))))
@@ -100,9 +111,20 @@ def _python() -> Expr:
     documented = Rule("documented")
 
     def pair(values: list, start: int, end: int) -> list:
-        return [Pair(values[0].text, values[-1].text, values[0].at, end)] if len(values) > 1 else []
+        return [Pair(values[0].text, values[1].text, values[0].at, _end(values, end))]
+
+    inside_line = many(alt(bracket, string, comment, tok(r"\\\\\n|[^()\[\]{}\"'#\n]+"), tok(r"[^\n]")))
 
-    documented.body = act(seq(head, generic, bracket, result, tok(r"\s*:"), trivia, text), pair)
+    def suite(source: str, at: int, memo: dict) -> tuple[int, list] | None:
+        """Lines that are indented deeper than the line of ``def``, in which strings and brackets may go on over lines."""
+        first = source.rfind("\n", 0, at) + 1
+        depth = _INDENT.match(source, first).end() - first
+        end = inside_line(source, at, memo)[0]
+        while (m := _PY_LINE.match(source, end)) and len(m.group(1)) > depth:
+            end = inside_line(source, m.end(), memo)[0]
+        return end, []
+
+    documented.body = act(seq(extent(suite), head, generic, bracket, result, tok(r"\s*:"), trivia, text), lambda v, a, z: pair([x for x in v if not isinstance(x, End)] + [x for x in v if isinstance(x, End)], a, z))
     line = tok(r"\n(?:[ \t]*\n)*(?![ \t]*(?:async[ \t]+)?def\b)[^\"'#\n]*|[^\"'#\n]+")
     return many(alt(documented, string, comment, line, tok(r".", re.S)))
 
@@ -117,17 +139,18 @@ def _javascript() -> Expr:
     line = tok(r"//[^\n]*")
     space = tok(r"\s+")
     doc = take(r"/\*\*(?![*/])(?P<t>.*?)\*/", lambda m: Doc(re.sub(r"^[ \t]*\*+ ?", "", m.group("t"), flags=re.M)), re.S)
-    paren = Rule("paren")
-    paren.body = seq(tok(r"\("), many(alt(paren, string, block, line, tok(r"[^()\"'`/]+"), tok(r"/"))), tok(r"\)"))
+    paren = Nested(r"\(", r"\)", alt(string, block, line, tok(r"[^()\"'`/]+"), tok(r"/")))
     function = take(r"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(?P<n>[\w$]+)(?=\s*[(<])", _name)
     value = take(r"(?:export\s+)?(?:(?:const|let|var|static|readonly)\s+)*(?:[\w$]+\.)*(?P<n>#?" + _JS_WORD + r")\s*[=:]\s*(?:async\s*)?(?=function\b|\(|[\w$]+\s*=>)", _name)
     arrow = alt(tok(r"function\b"), seq(paren, tok(r"\s*(?::[^={]+)?=>")), tok(r"[\w$]+\s*=>"))
     method = take(r"(?:(?:static|async|get|set|public|private|protected|override)\s+(?![(=]))*\*?\s*#?(?P<n>" + _JS_WORD + r")\s*(?=\()", _name)
-    define = alt(function, seq(value, arrow), seq(method, paren, tok(r"\s*(?::[^{;]+)?\{")))
+    braces = Nested(r"\{", r"\}", alt(string, block, line, tok(r"[^{}\"'`/]+"), tok(r"[/\"'`]")), open_end=True)
+    # The body is the first block behind the head, or what an arrow gives up to the end of its line.
+    body = seq(many(alt(paren, string, block, line, tok(r"[^{}()\"'`/;\n]+"), tok(r"(?<=[=>,(|&?:+])\s*\n|\n(?=\s*[{.?:=])"), tok(r"/"))), maybe(braces))
+    define = alt(seq(function, extent(body)), seq(value, arrow, extent(body)), seq(method, extent(body), paren, tok(r"\s*(?::[^{;]+)?\{")))
     documented = Rule("documented")
-    last = lambda v, s, e: _pair([x for x in v], s, e)
     decorator = seq(tok(r"@[\w$.]+"), maybe(paren))
-    documented.body = act(seq(doc, many(alt(space, doc, block, line, decorator)), define), last)
+    documented.body = act(seq(doc, many(alt(space, doc, block, line, decorator)), define), _pair)
     words = tok(r"[^/\"'`]+")
     return many(alt(documented, string, block, line, words, tok(r".", re.S)))
 
@@ -136,19 +159,21 @@ def _rust() -> Expr:
     string = tok(r'b?r(?P<h>#*)".*?"(?P=h)|b?"(?:[^"\\]|\\.)*"|b?\'(?:[^\'\\\n]|\\(?:u\{[^}]*\}|x..|.))\'', re.S)
     doc = take(r"///(?!/)[^\n]*(?:\n[ \t]*///(?!/)[^\n]*)*", lambda m: Doc(re.sub(r"^[ \t]*/// ?", "", m.group(), flags=re.M)))
     line = tok(r"//(?!/(?!/))[^\n]*")
-    block = Rule("block")
-    block.body = seq(tok(r"/\*"), many(alt(block, tok(r"(?:[^*/]|\*(?!/)|/(?!\*))+"))), tok(r"\*/|\Z"))
-    bracket = Rule("bracket")
-    bracket.body = seq(tok(r"\["), many(alt(bracket, string, tok(r"[^\[\]\"]+"))), tok(r"\]"))
+    block = Nested(r"/\*", r"\*/", tok(r"(?:[^*/]|\*(?!/)|/(?!\*))+"), open_end=True)
+    bracket = Nested(r"\[", r"\]", alt(string, tok(r"[^\[\]\"]+"), tok(r"\"")))
     attribute = seq(tok(r"#!?\s*"), bracket)
     define = take(r"(?:pub(?:\s*\([^)]*\))?\s+)?(?:default\s+)?(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?(?:extern\s+(?:\"[^\"]*\"\s+)?)?fn\s+(?:r#)?(?P<n>\w+)", _name)
     documented = Rule("documented")
 
     def join(values: list, start: int, end: int) -> list:
         docs = [v.text for v in values if isinstance(v, Doc)]
-        return [Pair(values[-1].text, "\n".join(docs), values[-1].at, end)]
+        name = next(v for v in values if isinstance(v, Name))
+        return [Pair(name.text, "\n".join(docs), name.at, _end(values, end))]
 
-    documented.body = act(seq(doc, many(alt(tok(r"\s+"), doc, line, block, attribute)), define), join)
+    comment = tok(r"//[^\n]*")
+    braces = Nested(r"\{", r"\}", alt(string, comment, block, tok(r"[^{}\"'/]+"), tok(r"['/\"]")), open_end=True)
+    rest = extent(seq(many(alt(string, comment, block, tok(r"[^{};\"'/]+"), tok(r"['/]"))), maybe(braces)))
+    documented.body = act(seq(doc, many(alt(tok(r"\s+"), doc, line, block, attribute)), define, rest), join)
     words = tok(r"(?:[^/\"'br]|(?<=\w)[br]|[br](?![#\"'r])|'(?=[a-z_]\w*[^'\w]))+")
     return many(alt(documented, string, line, act(doc, _none), block, words, tok(r".", re.S)))
 
@@ -169,7 +194,11 @@ def _go() -> Expr:
     comment = take(r"^(?P<c>(?:[ \t]*(?://[^\n]*|/\*(?:[^*]|\*(?!/))*\*/[ \t]*)\n)+)", strip, re.M | re.S)
     define = take(r"func\s+(?:\([^)]*\)\s*)?(?P<n>[^\W\d]\w*)\s*[(\[]", _name)
     documented = Rule("documented")
-    documented.body = act(seq(comment, tok(r"[ \t]*"), define), _pair)
+    gap = alt(tok(r"//[^\n]*"), tok(r"/\*.*?(?:\*/|\Z)", re.S), string)
+    braces = Nested(r"\{", r"\}", alt(gap, tok(r"[^{}\"'`/]+"), tok(r"['/\"`]")), open_end=True)
+    # ``interface{}`` and ``struct{}`` in a head have braces of their own.
+    rest = extent(seq(many(alt(gap, seq(tok(r"(?:interface|struct)\s*(?=\{)"), braces), tok(r"(?!(?:interface|struct)\s*\{)[^{}\"'`/\n]"), tok(r"(?<=[(,])\s*\n|\n(?=\s*\))"), tok(r"/"))), maybe(braces)))
+    documented.body = act(seq(comment, tok(r"[ \t]*"), define, rest), _pair)
     other = alt(tok(r"//[^\n]*"), tok(r"/\*.*?(?:\*/|\Z)", re.S))
     words = tok(r"[^/\"'`\n]+|\n(?![ \t]*/)")
     return many(alt(documented, string, other, words, tok(r".", re.S)))
@@ -188,21 +217,29 @@ _SECTION = re.compile(
     r"|>>>|iex(?:\(\d+\))?>|```)",
     re.I | re.M,
 )
-_FILLER = frozenset(
-    "a an the this that it its is are be been was were will shall should must to of for in on at by and or as yet still no not none nothing "
-    "todo tbd tba tbc tk wip fixme xxx hack nan na n placeholder stub dummy lorem documentation documentations document documents documented documenting doc docs docstring docstrings "
-    "undocumented comment comments description descriptions describe described explain explanation text missing absent empty pending later soon come comes coming follow follows following added add adds write writes "
-    "written writing fill filled provide provided supply needed needs need required available here there now function functions method methods "
-    "me please someone somebody we you i do does done doing has have had up update updated when time next one day eventually out finish finished complete completed incomplete work progress under construction go goes put proper properly once writes so far good better real until then somewhere anything missing explains gets get written".split()
+#: Words without information of their own: articles, pronouns, auxiliaries, prepositions, conjunctions.
+_CLOSED = frozenset(
+    "a an the this that these those it its they them their there here i me my we us our you your he she one ones some any each every all both "
+    "is are be been being was were am do does did done has have had having can could may might must shall should will would ought "
+    "of to for in on at by with from into onto about above below under over as than then so if or and but nor not no none nothing only just also too very "
+    "somebody someone something anybody anyone anything nobody who whom whose which what when where why how once until till while before after yet still again now "
+    "up out off far good proper properly better real please s t".split()
+)
+#: What speaks of documentation: by its name, by what one does to make it, or by a mark that it is missing.
+_NAMED = frozenset("documentation documentations docs doc docstring docstrings documenting undocumented".split())
+_SAID = frozenset("description descriptions describe describes described comment comments explanation explain explained documented written".split())
+_MARK = frozenset("todo tbd tba tbc tk wip fixme xxx lorem placeholder stub dummy nan".split())
+#: What says that something is absent, unfinished or to come, or is about to be made.
+_STATE = frozenset(
+    "missing absent lacking lacks lack empty blank pending incomplete unfinished available unavailable coming come comes came arrive arrives arrived arriving follow follows following "
+    "later soon shortly eventually someday tomorrow future way time day need needs needed require requires required await awaits awaiting wait waiting "
+    "add added adding write writes written writing fill filled provide provided supply supplied put go goes going get gets finish finished complete completed progress work construction know knows known hack update updated next ipsum dolor "
+    "function functions method methods code text".split()
 )
-#: What says that documentation is missing or to come: by itself, of documentation that is named, or of what is not named.
-_MARKER = re.compile(r"\b(?:todo|tbd|tba|tbc|tk|wip|fixme|xxx|lorem|undocumented|work in progress|under construction|(?:goes?|comes?|follows?) here)\b")
-_ABSENT = frozenset("no not none nothing missing absent empty pending placeholder stub dummy yet still later soon come comes coming follow follows need needs needed required must should will please me somebody someone here eventually until incomplete available".split())
-_UNSAID = frozenset("missing absent pending placeholder stub dummy yet later soon written".split())
-_DOCUMENTATION = frozenset("documentation documentations documented documenting doc docs docstring docstrings".split())
-_PERHAPS = frozenset("comment comments description descriptions describe described explain explained explanation".split())
-#: Nouns of this domain, which documentation may well be about, and verbs that say what a function does.
-_NOUNS, _DOES = frozenset("document documents text".split()), frozenset("adds writes explains gets".split())
+#: What makes documentation that is not named one to come.
+_TO_COME = frozenset("no not none nothing yet here someone somebody anyone please once until should must ought shall will missing absent pending later soon shortly eventually someday tomorrow need needs needed required await awaits awaiting empty available".split())
+#: Verbs that begin a description of what a function does, whatever it does it to.
+_DOES = re.compile(r"(?!(?:needs|lacks|requires|awaits|follows|comes|goes|docs|descriptions|comments|is|was|has|does|this|its|tests)\b)[a-z]{2,}[^\Wsu]s\Z")
 _ARTICLES = frozenset("a an the function functions method methods fn func def this that of it its is to".split())
 
 
@@ -218,32 +255,51 @@ def description(doc: str, name: str, language: str) -> str:
     return text.strip()
 
 
-def _stem(word: str) -> str:
-    w = word.lower()
-    for end, put in (("ies", "y"), ("ied", "y"), ("ying", "y"), ("izing", "ize"), ("ing", ""), ("ed", ""), ("es", ""), ("s", ""), ("er", ""), ("ion", ""), ("e", ""), ("ly", "")):
-        if w.endswith(end) and len(w) - len(end) >= 3:
-            w = w[: len(w) - len(end)] + put
-            break
-    if len(w) > 3 and w[-1] == w[-2] and w[-1] not in "aeiou":
-        w = w[:-1]
-    return w[:-1] if w.endswith(("e", "i", "y")) and len(w) > 3 else w
+_ENDINGS = ("", "s", "es", "ed", "d", "ing", "er", "or", "ers", "ors", "ion", "ions", "ation", "ations", "ment", "ly", "able")
+
+
+def _roots(word: str) -> set[str]:
+    """What ``word`` may be an inflection of."""
+    w, out = word.lower(), set()
+    for end in _ENDINGS:
+        if not w.endswith(end) or len(w) - len(end) < min(3, len(w)):
+            continue
+        root = w[: len(w) - len(end)]
+        out.add(root)
+        if root.endswith("i"):
+            out.add(root[:-1] + "y")
+        if len(root) > 3 and root[-1] == root[-2]:
+            out.add(root[:-1])
+        if len(root) > 3 and root.endswith("e"):
+            out.add(root[:-1])
+    return out
+
+
+def _parts(text: str) -> list[str]:
+    return re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\dA-Za-z_]+", text)
+
 
+def _name_roots(name: str) -> set[str]:
+    parts = _parts(name)
+    return set().union(*map(_roots, parts), _roots("".join(parts)), _roots(name))
 
-def _name_words(name: str) -> set[str]:
-    parts = re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\dA-Za-z_]+", name)
-    return {_stem(p) for p in parts} | {_stem("".join(parts)), _stem(name)}
+
+def information(words: list[str]) -> list[str]:
+    """The words that say more than that a description is there, missing or to come."""
+    return [w for w in words if len(w) > 1 and w not in _CLOSED and w not in _NAMED and w not in _SAID and w not in _MARK and w not in _STATE]
 
 
 def _says_missing(low: list[str]) -> bool:
-    """Whether words only say that documentation is missing or to come: filler, with a marker whose object is documentation."""
-    if low[0] in _DOES or not all(w in _FILLER or len(w) == 1 for w in low):
-        return False
-    if _MARKER.search(" ".join(low)):
-        return True
+    """Whether words only say that documentation is missing or to come: they speak of documentation, or are marked as left
+    out, and say at most one thing besides. A verb at the head says what the function does and has documentation as its
+    object at most."""
     words = set(low)
-    if words & _DOCUMENTATION:
-        return bool(words & _ABSENT)
-    return not words & _NOUNS and bool(words & _UNSAID or (words & _PERHAPS and words & _ABSENT))
+    if _DOES.match(low[0]):
+        return False
+    more = len(information(low))
+    if words & _MARK or words & _NAMED:
+        return more <= 1
+    return more == 0 and bool(words & _SAID) and (bool(words & _TO_COME) or low[:2] == ["to", "be"])
 
 
 def trivial(text: str, name: str) -> bool:
@@ -254,31 +310,14 @@ def trivial(text: str, name: str) -> bool:
     low = [w.lower() for w in words]
     if _says_missing(low):
         return True
-    own = _name_words(name)
-    parts = [p for w in words for p in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\dA-Za-z_]+", w)]
-    return all(p.lower() in _ARTICLES or _stem(p) in own for p in parts)
-
-
-def _code(text: str, start: int) -> str:
-    """The definition from its first line to the last line that is indented deeper or closes it."""
-    begin = text.rfind("\n", 0, start) + 1
-    lines = text[max(begin, start - (start - begin)) :].split("\n")
-    first = lines[0]
-    depth = len(first) - len(first.lstrip())
-    end = 1
-    for k, line in enumerate(lines[1:], 1):
-        bare = line.strip()
-        if not bare:
-            continue
-        if len(line) - len(line.lstrip()) > depth:
-            end = k + 1
-        elif re.match(r"[)\]}]|end\b|else\b|rescue\b|after\b|catch\b", bare):
-            end = k + 1
-            if bare.startswith(("}", "end")):
-                break
-        else:
-            break
-    return textwrap.dedent("\n".join(lines[:end]))
+    own = _name_roots(name)
+    return all(p.lower() in _ARTICLES or not own.isdisjoint(_roots(p)) for w in words for p in _parts(w))
+
+
+def _code(text: str, start: int, end: int) -> str:
+    """The definition from its first line to the end of its body, as the grammar found it."""
+    first = text.rfind("\n", 0, start) + 1
+    return textwrap.dedent(text[first:end]).rstrip()
 
 
 def documented(source: str | None, language: str | None) -> list[tuple[str, str, str, int]]:
@@ -294,7 +333,7 @@ def documented(source: str | None, language: str | None) -> list[tuple[str, str,
             continue
         said = description(pair.doc, pair.name, language)
         if not trivial(said, pair.name):
-            out[pair.name] = (pair.name, said, _code(text, pair.start), pair.start)
+            out[pair.name] = (pair.name, said, _code(text, pair.start, pair.end), pair.start)
     return list(out.values())
 
 

@@ -9,7 +9,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from typing import Any
+from typing import Any, NamedTuple
+
+class End(NamedTuple):
+    """Where a part that was looked at ahead ends."""
+
+    at: int
+
 
 Result = tuple[int, list[Any]] | None
 Expr = Callable[[str, int, dict], Result]
@@ -101,6 +107,15 @@ def ahead(part: Expr) -> Expr:
     return run
 
 
+def extent(part: Expr) -> Expr:
+    """Looks ahead, with the offset where ``part`` ends as the value."""
+    def run(text: str, at: int, memo: dict) -> Result:
+        r = part(text, at, memo)
+        return None if r is None else (at, [End(r[0])])
+
+    return run
+
+
 def act(part: Expr, action: Callable[[list[Any], int, int], list[Any]]) -> Expr:
     """Replaces the values of ``part`` by ``action(values, start, end)``."""
 
@@ -125,6 +140,47 @@ class Rule:
         return r
 
 
+class Nested:
+    """What stands between marks that open and close, however deep: ``inner`` is tried where no mark stands.
+
+    Places of inner pairs are remembered like those of a rule, but found in one loop instead of by recursion. ``open_end``
+    lets the end of the text close all.
+    """
+
+    def __init__(self, opening: str, closing: str, inner: Expr, open_end: bool = False) -> None:
+        self.open, self.close, self.inner, self.open_end = re.compile(opening).match, re.compile(closing).match, inner, open_end
+
+    def __call__(self, text: str, at: int, memo: dict) -> Result:
+        first = (self, at)
+        if first in memo:
+            return memo[first]
+        m = self.open(text, at)
+        if m is None:
+            return None
+        begun, at = [first], m.end()
+        while begun:
+            if m := self.close(text, at):
+                at = m.end()
+                memo[begun.pop()] = (at, _NO)
+            elif m := self.open(text, at):
+                known = memo.get((self, at), self)
+                if known is None:
+                    break
+                if known is not self:
+                    at = known[0]
+                    continue
+                begun.append((self, at))
+                at = m.end()
+            else:
+                r = self.inner(text, at, memo)
+                if r is None or r[0] == at:
+                    break
+                at = r[0]
+        for spot in begun:
+            memo[spot] = (at, _NO) if self.open_end and at >= len(text) else None
+        return memo[first]
+
+
 def parse(grammar: Expr, text: str) -> list[Any]:
     """Values of ``grammar`` from the start of ``text``; what it doesn't consume has none."""
     r = grammar(text, 0, {})
