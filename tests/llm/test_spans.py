@@ -92,4 +92,24 @@ def test_one_doc_only_is_no_case(spark):
 
 def test_factors_follow_their_alignment():
     a, b = "x" * 10 + "HELLO" * 40 + "y", "zz" + "HELLO" * 40 + "!"
-    assert S.factors(a, b, [(10, 2), (15, 7), (20, 2)], 100) == [(10, 2, 200), (20, 2, 190)]
+    block = S.Block([b, "no" * 50], [[(7, 2), (8, 7)], [(9, 3)]])
+    assert block.factors(a, [(7, 10), (8, 15), (7, 20)], 100) == [(0, 10, 2, 200), (0, 20, 2, 190)]
+    assert block.factors(a, [(7, 10)], 100, among={1}) == []
+
+
+def test_blocks_and_tasks_are_split(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_CHARS", 500)
+    monkeypatch.setattr(S, "VISITS", 2)
+    texts = corpus(5, 30)
+    assert {(r["doc_a"], r["doc_b"]) for r in shared(spark, texts).pairs().collect()} == brute(texts, 150)
+
+
+def test_a_passage_in_many_texts_is_shared_without_pairs(spark):
+    """The rows that are compared grow with the texts that hold the passage, not with their pairs."""
+    rnd = random.Random(9)
+    own = lambda: "".join(rnd.choice("abcdefghijkl ") for _ in range(300))
+    passage = own()
+    texts = [(i, own() + passage + own()) for i in range(400)]
+    got = shared(spark, texts, hot=16)
+    assert {0 <= r["shared_chars"] - 300 < 12 for r in got.share().collect()} == {True} and got.share().count() == 400
+    assert got._covered().count() < 400 * 20

@@ -1,16 +1,22 @@
 """Long exact spans shared between records (problem 10), by relative Lempel-Ziv parsing.
 
-Every shared span of at least ``K + W - 1`` characters contains a k-gram that both texts select by winnowing (the least hash
-of a window of ``W`` k-grams), at the same place in the span. These anchors index the corpus: a text is factored only against
-the reference texts that hold one of its anchors, which finds the same long factors as factoring it against every block.
-At an anchor that no earlier factor of the same alignment covers, the longest match with the reference is taken in both
-directions, so factors end at their true boundaries; factors of the least length and more are shared spans.
+Contents form reference blocks of bounded size, each with an index of k-grams: those that winnowing selects (the least hash of
+a window of ``W`` k-grams), since every shared span of at least ``K + W - 1`` characters holds one that both texts select, at
+the same place in the span. A text is factored against every block that indexes one of its k-grams; against the others no
+factor can be long, so they are not visited. The parse goes over the text from left to right: at a place that the block
+indexes it takes the longest factor of each reference, checks it to the left beyond its boundary, so that factors end where
+the texts part, and goes on behind it for that reference and alignment. A parse that kept the longest factor of the whole
+block only would lose the other references. Factors of the least length and more are shared spans.
+
+What part of a record is shared (``spans``, ``share``) needs no pairs: the contexts of an indexed k-gram are compared by all
+their windows of the least length at once, and a window of it that more than one content holds is shared by all of them.
 
 Texts that are equal as a whole count once in the search, by their 64-bit hash, and are told apart again in the results.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +30,8 @@ from velumine.session import Workspace, spread
 LEAST, K = 150, 48
 #: Contents that may be paired by one anchor; those of a more common one are told apart by longer windows first.
 HOT = 256
+#: Characters of a reference block, and texts parsed against a block in one task.
+BLOCK_CHARS, VISITS = 4_000_000, 2_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SLICE = 1 << 18  # characters hashed at once, so that the arrays stay in the cache
 
@@ -143,22 +151,76 @@ def _left(a: str, b: str, i: int, j: int) -> int:
     return n
 
 
-def factors(text: str, reference: str, anchors: list[tuple[int, int]], least: int = LEAST) -> list[tuple[int, int, int]]:
-    """(start in text, start in reference, length) of the factors of at least ``least`` characters.
+class Block:
+    """Reference texts with an index of their k-grams."""
 
-    ``anchors`` are places (text, reference) of equal k-grams. A hash that stands for two k-grams gives a short factor,
-    which is dropped.
-    """
+    def __init__(self, texts: list[str], anchors: list[list[tuple[int, int]]]) -> None:
+        """``anchors`` has (hash, place) of the indexed k-grams of each text."""
+        self.texts = texts
+        rows = sorted((h, r, at) for r, found in enumerate(anchors) for h, at in found)
+        self.hashes = np.array([h for h, _, _ in rows], dtype=np.int64)
+        self.places = [(r, at) for _, r, at in rows]
+
+    def factors(self, text: str, anchors: list[tuple[int, int]], least: int = LEAST, among: set[int] | None = None) -> list[tuple[int, int, int, int]]:
+        """(reference, start in text, start in reference, length) of the factors of at least ``least`` characters.
+
+        A hash that stands for two k-grams gives a short factor, which is dropped.
+        """
+        out: list[tuple[int, int, int, int]] = []
+        parsed: dict[tuple[int, int], int] = {}  # end of the last factor by reference and alignment
+        anchors = sorted(anchors, key=lambda x: x[1])
+        asked = np.array([h for h, _ in anchors], dtype=np.int64)
+        first, last = np.searchsorted(self.hashes, asked, side="left"), np.searchsorted(self.hashes, asked, side="right")
+        for k in np.flatnonzero(last > first).tolist():
+            i = anchors[k][1]
+            for r, j in self.places[first[k] : last[k]]:
+                if among is not None and r not in among or i < parsed.get((r, i - j), 0):
+                    continue
+                right = _right(text, self.texts[r], i, j)
+                parsed[r, i - j] = i + max(right, 1)
+                left = _left(text, self.texts[r], i, j)
+                if left + right >= least:
+                    out.append((r, i - left, j - left, left + right))
+        return out
+
+
+def common_windows(cids: np.ndarray, starts: np.ndarray, contexts: list[str], least: int = LEAST) -> list[tuple[int, int, int]]:
+    """(content, start, end) of the regions of ``contexts`` made of windows of ``least`` characters that more than one
+    content holds. ``starts`` are the contexts' places in their contents."""
+    lens = np.array([len(x) for x in contexts], dtype=np.int64)
+    codes = np.frombuffer("".join(contexts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    if not len(codes):
+        return []
+    ends = np.cumsum(lens)
+    row = np.repeat(np.arange(len(contexts)), lens)
+    at = np.arange(len(codes))
+    at = at[ends[row] - at >= least]
+    hashes = kgram_hashes(codes, least)[at]
+    order = np.lexsort((cids[row[at]], hashes))
+    at, hashes = at[order], hashes[order]
+    new = np.r_[True, hashes[1:] != hashes[:-1]] if len(at) else np.zeros(0, bool)
+    group = np.cumsum(new) - 1
+    first = at[new]
+    # Equal hashes of different windows do not count.
+    same = np.ones(len(at), dtype=bool)
+    for i in range(0, len(at), 1 << 14):
+        part = slice(i, i + (1 << 14))
+        span = np.arange(least)[None, :]
+        same[part] = (codes[at[part, None] + span] == codes[first[group[part], None] + span]).all(1)
+    at, group = at[same], group[same]
+    of = cids[row[at]]
+    low, high = np.full(len(first), np.iinfo(np.int64).max), np.full(len(first), np.iinfo(np.int64).min)
+    np.minimum.at(low, group, of)
+    np.maximum.at(high, group, of)
+    hit = at[low[group] < high[group]]
+    r = row[hit]
+    place = starts[r] + hit - (ends[r] - lens[r])
     out: list[tuple[int, int, int]] = []
-    covered: dict[int, int] = {}  # end of the last factor by alignment
-    for i, j in sorted(set(anchors)):
-        if i < covered.get(i - j, 0):
-            continue
-        right = _right(text, reference, i, j)
-        covered[i - j] = i + max(right, 1)
-        left = _left(text, reference, i, j)
-        if left + right >= least:
-            out.append((i - left, j - left, left + right))
+    for c, x in sorted(zip(cids[r].tolist(), place.tolist())):
+        if out and out[-1][0] == c and x <= out[-1][2]:
+            out[-1] = (c, out[-1][1], max(out[-1][2], x + least))
+        else:
+            out.append((c, x, x + least))
     return out
 
 
@@ -196,7 +258,7 @@ class SharedSpans:
         self.work = workspace
         #: One row per record: its id, content and length.
         self.members = workspace.keep(self._texts.select("_id", "_cid", F.length("_text").alias("_len")).dropDuplicates(["_id"]))
-        self.matches = workspace.keep(self._matches(k))
+        self._index(k)
 
     def _anchors(self, k: int) -> DataFrame:
         least = self.least
@@ -208,60 +270,93 @@ class SharedSpans:
 
         return self._texts.select("_cid", "_text").mapInArrow(run, "_h long, _cid long, _at int")
 
-    def _matches(self, k: int) -> DataFrame:
-        """(a, b, start in a, start in b, length) of the shared spans of each pair of different contents, a < b."""
-        least = self.least
+    def _index(self, k: int) -> None:
+        """``index``: (_h, _cid, _at, _s, _e, _whole) of the k-grams that several contents hold; ``parts``: every content that
+        has one, with its text and its k-grams. ``_whole`` marks windows [_s, _e) of the least length.
+
+        A k-gram in more than ``hot`` contents, as in a common heading, is not indexed as it is: a shared span reaches beyond
+        it by half of what is lacking to the least length on one side at least, so it is replaced by the two windows that are
+        longer by as much to the left and to the right. After a few rounds a window has the least length, and what holds it
+        are results.
+        """
         anchors = self.work.keep(self._anchors(k))
         shared = anchors.groupBy("_h").agg(F.min("_cid").alias("_lo"), F.max("_cid").alias("_hi")).filter("_lo < _hi").select("_h")
-        # Copies of one content fall together here, before anything is paired.
-        held = anchors.join(shared, "_h", "left_semi").distinct()
-        held = self.work.keep(held.select("_h", "_cid", "_at", F.col("_at").alias("_s"), (F.col("_at") + k).cast("int").alias("_e")))
-        texts = self._texts.join(held.select("_cid").distinct(), "_cid", "left_semi").select("_cid", "_text").dropDuplicates(["_cid"])
+        # Copies of one content fall together here, before anything is compared.
+        rows = self.work.keep(anchors.join(shared, "_h", "left_semi").distinct().select("_h", "_cid", "_at", F.col("_at").alias("_s"), (F.col("_at") + k).cast("int").alias("_e")))
+        texts = self._texts.join(rows.select("_cid").distinct(), "_cid", "left_semi").select("_cid", "_text").dropDuplicates(["_cid"])
         texts = self.work.keep(texts)
-        pairs = self._paired(held, texts, k).groupBy("_a", "_b").agg(F.collect_set(F.struct("_i", "_j")).alias("_anchors"))
-        both = pairs.join(texts.select(F.col("_cid").alias("_a"), F.col("_text").alias("_ta")), "_a").join(texts.select(F.col("_cid").alias("_b"), F.col("_text").alias("_tb")), "_b").select("_a", "_b", "_anchors", "_ta", "_tb")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows: list[tuple[int, int, int, int, int]] = []
-                for a, b, anchor, ta, tb in zip(*(c.to_pylist() for c in batch.columns)):
-                    rows += [(a, b, *f) for f in factors(tb, ta, [(x["_j"], x["_i"]) for x in anchor], least)]
-                cols = list(zip(*rows)) if rows else [[]] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["_a", "_b", "_at_b", "_at_a", "_len"])
-
-        return both.mapInArrow(run, "_a long, _b long, _at_b int, _at_a int, _len int")
-
-    def _paired(self, rows: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-        """(a, b, place in a, place in b) of the contents that hold an anchor in common.
-
-        An anchor in more than ``hot`` contents, as in a common heading, is not paired as it is: a shared span reaches beyond
-        it by half of what is lacking to the least length on one side at least, so the anchor is replaced by the two windows
-        that are longer by as much to the left and to the right. After a few rounds a window has the least length, and what
-        it pairs are results.
-        """
-        out = None
+        size, out = k, None
         while True:
-            hot = rows.groupBy("_h").agg(F.count_distinct("_cid").alias("_n")).filter(F.col("_n") > self.hot).select("_h")
-            more = size < self.least
-            hot = self.work.keep(hot) if more else hot
-            if more and not hot.isEmpty():
-                cold, rows = rows.join(hot, "_h", "left_anti"), rows.join(hot, "_h", "left_semi")
-            else:
-                cold, more = rows, False
-            a = cold.select("_h", F.col("_cid").alias("_a"), F.col("_at").alias("_i"))
-            b = cold.select("_h", F.col("_cid").alias("_b"), F.col("_at").alias("_j"))
-            pairs = a.join(b, "_h").filter("_a < _b").select("_a", "_b", "_i", "_j")
-            out = pairs if out is None else out.unionByName(pairs)
-            if not more:
-                return out
+            many = rows.groupBy("_h").agg(F.min("_cid").alias("_lo"), F.max("_cid").alias("_hi"), F.count_distinct("_cid").alias("_n")).filter("_lo < _hi").select("_h", "_n")
+            whole = size >= self.least
+            counted = rows.join(many, "_h")
+            hot = None if whole else self.work.keep(many.filter(F.col("_n") > self.hot).select("_h"))
+            cold = counted if whole else counted.filter(F.col("_n") <= self.hot)
+            cold = cold.select("_h", "_cid", "_at", "_s", "_e", F.lit(whole).alias("_whole"))
+            out = cold if out is None else out.unionByName(cold)
+            if whole or hot.isEmpty():
+                break
             reach = -(-(self.least - size) // 2)
             size += reach
-            rows = self.work.keep(rows.join(texts, "_cid").select("_cid", "_at", "_s", "_e", "_text").mapInArrow(_longer(reach), "_h long, _cid long, _at int, _s int, _e int").distinct())
+            longer = rows.join(hot, "_h", "left_semi").join(texts, "_cid").select("_cid", "_at", "_s", "_e", "_text")
+            rows = self.work.keep(longer.mapInArrow(_longer(reach), "_h long, _cid long, _at int, _s int, _e int").distinct())
+        self.index = self.work.keep(out)
+        own = self.index.groupBy("_cid").agg(F.collect_set(F.struct("_h", "_at")).alias("_found"))
+        self.parts = self.work.keep(texts.join(own, "_cid").select("_cid", "_text", "_found"))
+
+    def _matches(self) -> DataFrame:
+        """(a, b, start in b, start in a, length) of the shared spans of each pair of different contents, a < b: each content
+        is parsed against the blocks, for the references of lesser number."""
+        least = self.least
+        chars = self.parts.agg(F.sum(F.length("_text"))).first()[0] or 0
+        blocks = max(self.work.spark.sparkContext.defaultParallelism, -(-chars // BLOCK_CHARS))
+        block = F.pmod(F.xxhash64("_cid"), F.lit(blocks)).cast("int")
+        held = self.index.select("_h", block.alias("_b"), "_cid").groupBy("_h", "_b").agg(F.min("_cid").alias("_least"))
+        visits = self.work.keep(self.index.select("_h", "_cid").join(held, "_h").filter("_least < _cid").select("_cid", "_b").distinct())
+        tasks = visits.groupBy("_b").agg(F.ceil(F.count(F.lit(1)) / VISITS).cast("int").alias("_n"))
+        going = visits.join(tasks, "_b").select("_cid", "_b", F.pmod(F.xxhash64("_cid", F.lit(3)), F.col("_n")).cast("int").alias("_t")).join(self.parts, "_cid")
+        names = {"_b": "_rb", "_t": "_rt", "_cid": "_rcid", "_text": "_rtext", "_found": "_rfound"}  # apart from the visitors' columns
+        there = self.parts.withColumn("_b", block).join(tasks, "_b").withColumn("_t", F.explode(F.expr("sequence(0, _n - 1)")))
+        there = there.select(*[F.col(c).alias(n) for c, n in names.items()])
+
+        def parse(visitors: pa.Table, references: pa.Table) -> pa.Table:
+            rows: list[tuple[int, int, int, int, int]] = []
+            if len(visitors) and len(references):
+                pairs = lambda column: [[(x["_h"], x["_at"]) for x in found] for found in column.to_pylist()]
+                cids = references.column("_rcid").to_pylist()
+                reference = Block(references.column("_rtext").to_pylist(), pairs(references.column("_rfound")))
+                order = np.argsort(cids).tolist()
+                ranked = [cids[k] for k in order]
+                for b, text, found in zip(visitors.column("_cid").to_pylist(), visitors.column("_text").to_pylist(), pairs(visitors.column("_found"))):
+                    lesser = set(order[: bisect_left(ranked, b)])
+                    rows += [(cids[r], b, i, j, n) for r, i, j, n in reference.factors(text, found, least, lesser)]
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            return pa.table({name: pa.array(c, t) for name, c, t in zip(("_a", "_b", "_at_b", "_at_a", "_len"), cols, kinds)})
+
+        left = going.select("_b", "_t", "_cid", "_text", "_found").groupBy("_b", "_t")
+        right = there.groupBy("_rb", "_rt")
+        return left.cogroup(right).applyInArrow(parse, "_a long, _b long, _at_b int, _at_a int, _len int")
+
+    def _covered(self) -> DataFrame:
+        """(_cid, _s, _e) of regions of contents that others hold, of at least the least length; they may overlap."""
+        least = self.least
+        near = self.index.filter("not _whole").select("_h", "_cid", F.greatest(F.lit(0), F.col("_e") - least).alias("_from"), (F.col("_s") + least).alias("_to"))
+        contexts = near.join(self.parts.select("_cid", "_text"), "_cid").select("_h", "_cid", "_from", F.expr("substring(_text, _from + 1, _to - _from)").alias("_x"))
+        rows = near.count()
+        groups = max(self.work.spark.sparkContext.defaultParallelism, -(-rows // 5_000))
+
+        def compare(t: pa.Table) -> pa.Table:
+            got = common_windows(t.column("_cid").to_numpy(), t.column("_from").to_numpy(), t.column("_x").to_pylist(), least)
+            cols = list(zip(*got)) if got else [[]] * 3
+            return pa.table({"_cid": pa.array(cols[0], pa.int64()), "_s": pa.array(cols[1], pa.int32()), "_e": pa.array(cols[2], pa.int32())})
+
+        found = contexts.withColumn("_g", F.pmod("_h", F.lit(groups))).groupBy("_g").applyInArrow(compare, "_cid long, _s int, _e int")
+        return found.unionByName(self.index.filter("_whole").select("_cid", "_s", "_e"))
 
     def pairs(self, first: str = "doc_a", second: str = "doc_b") -> DataFrame:
         """Every pair of records that share a span, the smaller id first."""
-        linked = self.matches.select("_a", "_b").distinct()
+        linked = self._matches().select("_a", "_b").distinct()
         of = lambda c, x: self.members.select(F.col("_cid").alias(c), F.col("_id").alias(x))
         across = linked.join(of("_a", "_x"), "_a").join(of("_b", "_y"), "_b")
         copies = of("_a", "_x").join(of("_a", "_y"), "_a").filter("_x < _y")
@@ -272,10 +367,8 @@ class SharedSpans:
         """(id, start, end) of the maximal shared regions of each record: overlapping spans are one region."""
         from pyspark.sql import Window
 
-        sides = self.matches.select(F.col("_a").alias("_cid"), F.col("_at_a").alias("_s"), (F.col("_at_a") + F.col("_len")).alias("_e"))
-        sides = sides.unionByName(self.matches.select(F.col("_b").alias("_cid"), F.col("_at_b").alias("_s"), (F.col("_at_b") + F.col("_len")).alias("_e")))
         whole = self.members.groupBy("_cid").agg(F.count(F.lit(1)).alias("_n"), F.max("_len").alias("_e")).filter("_n > 1").select("_cid", F.lit(0).alias("_s"), "_e")
-        every = sides.unionByName(whole).distinct()
+        every = self._covered().unionByName(whole).distinct()
         order = Window.partitionBy("_cid").orderBy("_s", "_e")
         before = F.max("_e").over(order.rowsBetween(Window.unboundedPreceding, -1))
         fresh = every.withColumn("_new", F.when(before >= F.col("_s"), 0).otherwise(1))
