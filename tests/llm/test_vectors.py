@@ -123,11 +123,56 @@ def test_word_clusters_in_crowded_bands(spark, monkeypatch, hot):
 def test_components_of_a_long_chain(spark):
     """2,000 links in a chain with random labels are one component, found in a number of rounds that grows slowly."""
     order = [int(x) for x in np.random.default_rng(2).permutation(2001) + 10]
-    edges = spark.createDataFrame([(a, b, 0.7) for a, b in zip(order, order[1:])] + [(1, 2, 0.9)], "a long, b long, w double").coalesce(2)
+    edges = spark.createDataFrame([(0, a, b, 0.7) for a, b in zip(order, order[1:])] + [(0, 1, 2, 0.9), (1, 10, 11, 0.8)], "t int, a long, b long, w double").coalesce(2)
     work = Workspace(spark, "t3c")
-    got = {r["node"]: r["component"] for r in C.components(edges, work).collect()}
-    assert got == {1: 1, 2: 1, **{x: 10 for x in order}}
+    got = {(r["t"], r["node"]): r["component"] for r in C.components(edges, work).collect()}
+    want = {(0, 1): 1, (0, 2): 1, (1, 10): 10, (1, 11): 10, **{(0, x): 10 for x in order}}
+    assert got == want
     assert work._n < 40
+    found = C.Clusters(edges, work)
+    assert {(r["t"], r["node"]): r["component"] for r in found.nodes.collect()} == want
+    assert {r["node"] for r in found.nodes.filter("not repaired and t = 0").collect()} == {1, 2}
+
+
+def test_clusters_of_the_embedding_stand(spark):
+    """Most clusters need no repair: 300 of random sizes, stars and cliques, large ones among them."""
+    rng = np.random.default_rng(4)
+    edges, first = [], 0
+    for k in range(300):
+        n = int(rng.integers(2, 40)) if k % 50 else 400
+        pairs = [(i, j) for i in range(n) for j in range(i)] if k % 3 and n < 100 else [(0, j) for j in range(1, n)]
+        edges += [(0, first + i, first + j, float(rng.uniform(0.6, 1))) for i, j in pairs]
+        first += n
+    work = Workspace(spark, "t3e")
+    found = C.Clusters(spark.createDataFrame(edges, "t int, a long, b long, w double"), work)
+    up = components(first, [(a, b) for _, a, b, _ in edges])
+    assert {r["node"]: r["component"] for r in found.nodes.collect()} == {x: min(g) for g in up for x in g}
+    counts = found.repairs().first()
+    assert counts["clusters"] >= 300 and counts["failed"] <= 60
+
+
+def test_records_without_a_cell(spark):
+    """Small clusters that no sample shows are found by the lists' bounds."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(40):
+        c = rng.normal(size=64)
+        rows += [(f"s{k:02d}{i}", [float(x) for x in c + rng.normal(size=64) * 0.5]) for i in range(12)]
+    x = unit(rows)
+    want = {(rows[i][0], rows[min(g)][0]) for g in components(len(rows), np.argwhere(np.triu(x @ x.T >= 0.7, 1))) if len(g) >= 10 for i in g}
+    work = Workspace(spark, "t3l")
+    c = C.VectorClusters(V.usable(frame(spark, rows), work, F.col("id"), "embedding"), work, sample_size=30)
+    assert c.n_loose > 300
+    assert {(r["item_id"], r["cluster_id"]) for r in c.members(10).collect()} == want
+
+
+def test_sketches_tell_chance_pairs_apart():
+    rng = np.random.default_rng(3)
+    base = rng.choice(1 << 30, 75, replace=False).astype(np.uint32)
+    near = [np.unique(np.concatenate([base[:60], rng.choice(1 << 30, 20).astype(np.uint32)])) for _ in range(300)]  # 0.6 with each other
+    far = [np.unique(rng.choice(1 << 30, 80).astype(np.uint32)) for _ in range(300)]
+    agree = lambda s: C.SKETCH - np.bitwise_count(s[:1] ^ s[1:]).sum(1, dtype=np.int64)
+    assert (agree(C.sketches(near)) >= C.AGREE).all() and (agree(C.sketches(far)) < C.AGREE).all()
 
 
 def test_similar_sets():

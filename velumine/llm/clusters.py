@@ -1,21 +1,26 @@
-"""Similarity clusters (problem 3): sparse affinities, power iteration, exact components, typical members.
-
-Vectors. Cells are the dense regions of a bounded sample. Two vectors within half the threshold's angle of a cell's centre are
-similar by the triangle inequality, and so is a vector with a member of the cell it was compared with: such records share the
-cell's label, with no pair written. What is left to compare follows exactly from angles: a record visits a cell it does not
-belong to only if its angle to the centre is at most the threshold's angle and the cell's radius, and records without a cell
-are compared with each other in blocks. Blocks return affinities between labels, not pairs of records, so a cell may hold a
-third of all records.
-
-Word sets. Records of equal sets are one; MinHash bands bring candidates together, and all sets of a band's key are compared
-exactly: pair by pair where they are few, else in blocks that return a spanning forest of what is similar. A pair at the
-threshold shares a band with probability 0.99, at 0.65 with 0.9996; a cluster is lost only if every link that holds it
+"""Similarity clusters (problem 3): sparse affinities, power iteration, k-means of the embedding, exact repair, typical members.
+
+Affinities, vectors. Cells are the dense regions of a bounded sample, found again among the records that no cell holds as long
+as that labels many. Two vectors within half the threshold's angle of a cell's centre are similar by the triangle inequality,
+and so is a vector with a member of the cell it was compared with: such records share the cell's label, with no pair written.
+What is left to compare follows exactly from angles: a record visits a cell it does not belong to only if its angle to the
+centre is at most the threshold's angle and the cell's radius. Records without a cell stand in inverted lists and visit each
+other's lists by the same bound. Blocks return affinities between labels, not pairs of records, so a cell may hold a third of
+all records.
+
+Affinities, word sets. Records of equal sets are one; MinHash bands bring candidates together, and all sets of a band's key are
+compared exactly: pair by pair where they are few, else in blocks that return a spanning forest of what is similar. A pair at
+the threshold shares a band with probability 0.99, at 0.65 with 0.9996; a cluster is lost only if every link that holds it
 together is.
 
-The affinities are row-normalised and several vectors iterated over them, distributed; the least label is carried along in
-the same rounds until it stands, which makes the components exact where k-means on the iterated vectors alone would cut chains
-or join neighbours. k-means on the vectors is kept as a column and decides no row. Members are ranked by their affinity inside
-the cluster: vectors by its leading vector, word sets by the mean similarity of their links.
+Clusters. The affinities get a loop at each node and are row-normalised, and several vectors are iterated over them,
+distributed, with the least label met so far (``power_iteration``). Where the iteration has settled, a vector is constant on a
+cluster and differs between clusters. k-means clusters this embedding, with a centre for every occupied cell of a grid over it, so
+that centres are as many as the data need. A cluster of the embedding stands if an exact check finds it connected (its nodes
+have met one label, which is one of them) and closed (no link leaves it). Those that fail, as long chains do, whose iteration
+has not settled, are put together from the labels met, each of which is connected, by the links between them. ``repairs``
+counts them. Members are ranked by their affinity inside the cluster: vectors by its leading vector, word sets by the mean
+similarity of their links.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velumine.llm import vectors as V
@@ -41,56 +46,100 @@ BLOCK = 8_192
 # ---------------------------------------------------------------------------------------------------- graph
 
 
-def components(edges: DataFrame, workspace: Workspace, seed: int = 3) -> DataFrame:
-    """(node, component, v1, v2) of the nodes of ``edges`` (a, b, w): the least node reachable, and two vectors of the
-    power iteration over the row-normalised affinities with a loop of their own weight at each node.
+def components(edges: DataFrame, workspace: Workspace) -> DataFrame:
+    """(t, node, component) of the nodes of ``edges`` (t, a, b): the least node reachable, for each graph ``t`` by itself.
 
     It goes on until no label moves. The node that is a label takes the least label met by the nodes that bear it, so that
     whole trees move at once and the rounds grow with the logarithm of the nodes, not with the length of a chain.
     """
-    both = edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-    both = workspace.keep(both.filter("a <> b").groupBy("a", "b").agg(F.max("w").alias("w")))
-    start = lambda k: F.pmod(F.xxhash64("node", F.lit(seed + k)), F.lit(1_000_003)) / 1_000_003.0
-    state = workspace.keep(both.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("component"), start(0).alias("v1"), start(1).alias("v2")))
+    both = edges.select("t", "a", "b").unionByName(edges.select("t", F.col("b").alias("a"), F.col("a").alias("b")))
+    both = workspace.keep(both.filter("a <> b").distinct())
+    state = workspace.keep(both.select("t", F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
     moved = 1
     while moved:
-        near = both.join(state, both["b"] == state["node"]).groupBy("a").agg(
-            F.min("component").alias("_m"), F.sum("w").alias("_w"), F.sum(F.col("w") * F.col("v1")).alias("_1"), F.sum(F.col("w") * F.col("v2")).alias("_2")
-        )
-        step = state.join(near, state["node"] == near["a"]).select("node", F.col("component").alias("_was"), F.least("component", "_m").alias("component"), "_m", *[(0.5 * F.col(f"v{k}") + 0.5 * F.col(f"_{k}") / F.col("_w")).alias(f"v{k}") for k in (1, 2)])
+        near = both.join(state.withColumnRenamed("node", "b"), ["t", "b"]).groupBy("t", F.col("a").alias("node")).agg(F.min("component").alias("_m"))
+        step = state.join(near, ["t", "node"]).select("t", "node", F.col("component").alias("_was"), F.least("component", "_m").alias("component"), "_m")
         # A label is itself a node: it takes the least label its bearers have met.
-        hook = step.groupBy(F.col("_was").alias("_h")).agg(F.min("_m").alias("_least"))
-        step = workspace.keep(step.join(hook, F.col("node") == F.col("_h"), "left").select("node", "_was", F.least("component", "_least").alias("component"), "v1", "v2"))
+        hook = step.groupBy("t", F.col("_was").alias("node")).agg(F.min("_m").alias("_least"))
+        step = workspace.keep(step.join(hook, ["t", "node"], "left").select("t", "node", "_was", F.least("component", "_least").alias("component")))
         # Jumping to the label's own label halves the way that is left.
-        jump = step.select(F.col("node").alias("_k"), F.col("component").alias("_c"))
-        step = step.join(jump, F.col("component") == F.col("_k")).select("node", "_was", F.least("component", "_c").alias("component"), "v1", "v2")
-        step = workspace.keep(step)
+        jump = step.select("t", F.col("node").alias("component"), F.col("component").alias("_c"))
+        step = workspace.keep(step.join(jump, ["t", "component"]).select("t", "node", "_was", F.least("component", "_c").alias("component")))
         moved = step.filter("_was <> component").limit(1).count()
         state = step.drop("_was")
     return state
 
 
-def spectral_parts(state: DataFrame, parts: int = 32, sample_size: int = 5_000, rounds: int = 12) -> DataFrame:
-    """``state`` with ``part``: k-means on the iterated vectors, fitted on a bounded sample of the nodes, given to all."""
-    got = state.select("v1", "v2", F.xxhash64("node").alias("_o")).orderBy("_o").limit(sample_size).toArrow()
-    x = np.stack([got.column(c).to_numpy() for c in ("v1", "v2")], axis=1)
-    if not len(x):
-        return state.withColumn("part", F.lit(0))
-    c = x[np.linspace(0, len(x) - 1, min(parts, len(x))).astype(int)]
-    for _ in range(rounds):
-        of = ((x[:, None, :] - c[None, :, :]) ** 2).sum(2).argmin(1)
-        c = np.array([x[of == k].mean(0) if (of == k).any() else c[k] for k in range(len(c))])
-    away = F.array(*[F.struct(((F.col("v1") - float(a)) * (F.col("v1") - float(a)) + (F.col("v2") - float(b)) * (F.col("v2") - float(b))).alias("d"), F.lit(k).alias("k")) for k, (a, b) in enumerate(c)])
-    return state.withColumn("part", F.array_min(away)["k"])
-
+#: Rounds and vectors of the power iteration; a node's loop as a part of its links' weight, which keeps stars from swinging;
+#: width of the grid over the embedding.
+ROUNDS, VECTORS, LOOP, WIDTH = 6, 4, 0.5, 0.02
 
-def checked_clusters(edges: DataFrame, workspace: Workspace) -> DataFrame:
-    """(node, component, part): the parts that k-means makes of the power iteration's vectors, and the exact check of them.
 
-    A part that holds several components is divided along them, a component in several parts is put together again: the
-    component decides, the part describes.
-    """
-    return spectral_parts(components(edges, workspace)).select("node", "component", "part")
+def power_iteration(edges: DataFrame, workspace: Workspace, rounds: int = ROUNDS, vectors: int = VECTORS) -> tuple[DataFrame, DataFrame]:
+    """(t, node, label, e1 ...) of the nodes of ``edges`` (t, a, b, w): the least label met in so many rounds and the logarithms
+    of the iterated vectors. Also the graph iterated over: links both ways, and a loop at each node."""
+    both = edges.select("t", "a", "b", "w").unionByName(edges.select("t", F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    both = both.filter("a <> b").groupBy("t", "a", "b").agg(F.max("w").alias("w"))
+    loops = both.groupBy("t", "a").agg((F.sum("w") * LOOP).alias("w")).select("t", "a", F.col("a").alias("b"), "w")
+    both = workspace.keep(both.unionByName(loops))
+    names = [f"v{k}" for k in range(1, vectors + 1)]
+    start = lambda k: 0.1 - F.log((F.pmod(F.xxhash64("t", "node", F.lit(k)), F.lit(999_983)) + 1) / 999_983.0)
+    state = both.filter("a = b").select("t", F.col("a").alias("node")).select("t", "node", F.col("node").alias("label"), *[start(k).alias(n) for k, n in enumerate(names)])
+    for _ in range(rounds):
+        met = both.join(state.withColumnRenamed("node", "b"), ["t", "b"])
+        total = F.sum("w")
+        state = workspace.keep(met.groupBy("t", F.col("a").alias("node")).agg(F.min("label").alias("label"), *[(F.sum(F.col("w") * F.col(n)) / total).alias(n) for n in names]))
+    return state.select("t", "node", "label", *[F.log(n).alias(n.replace("v", "e")) for n in names]), both
+
+
+def embedding_clusters(state: DataFrame, workspace: Workspace, width: float = WIDTH) -> DataFrame:
+    """(t, node, label, part): k-means of the embedding. Its centres are the means of the occupied cells of a grid, those within
+    a cell's width of each other as one; a node goes to the nearest centre in its own and the neighbouring cells. Neighbours
+    are found by the first three coordinates."""
+    names = [c for c in state.columns if c.startswith("e")]
+    cells = [f"g{n}" for n in names]
+    on = ["t", *cells[:3]]
+    nodes = state.select("*", *[F.floor(F.col(n) / width + 0.5).alias(c) for n, c in zip(names, cells)])
+    centres = workspace.keep(nodes.groupBy("t", *cells).agg(*[F.avg(n).alias(f"c{n}") for n in names]).withColumn("part", F.xxhash64("t", *cells)))
+    around = centres.drop(*cells[3:])
+    for c in cells[:3]:  # each centre is known in its cell and the cells around
+        around = around.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
+    apart = lambda a, b: sum((F.col(f"{a}{n}") - F.col(f"{b}{n}")) * (F.col(f"{a}{n}") - F.col(f"{b}{n}")) for n in names)
+    here = centres.select(*on, F.col("part").alias("_of"), *[F.col(f"c{n}").alias(f"h{n}") for n in names])
+    one = here.join(around, on).filter(apart("h", "c") < width * width).groupBy("_of").agg(F.min("part").alias("_one"))
+    near = nodes.join(around, on).groupBy("t", "node", "label").agg(F.min(F.struct(apart("", "c").alias("d"), F.col("part").alias("_of"))).alias("_b"))
+    return workspace.keep(near.select("t", "node", "label", F.col("_b._of").alias("_of")).join(one, "_of").select("t", "node", "label", F.col("_one").alias("part")))
+
+
+class Clusters:
+    """The clusters of one or more graphs ``t`` of affinities."""
+
+    def __init__(self, edges: DataFrame, workspace: Workspace, rounds: int = ROUNDS) -> None:
+        state, both = power_iteration(edges, workspace, rounds)
+        parts = embedding_clusters(state, workspace)
+        end = lambda c: parts.select("t", F.col("node").alias(c), F.col("label").alias(f"_l{c}"), F.col("part").alias(f"_p{c}"))
+        links = both.filter("a < b").select("t", "a", "b").join(end("a"), ["t", "a"]).join(end("b"), ["t", "b"])
+        open_ = workspace.keep(links.filter("_la <> _lb or _pa <> _pb").select("t", "_la", "_lb", "_pa", "_pb").distinct())
+        # Connected: one label, which is a node of the part.
+        own = parts.filter("node = label").select("t", "label", F.col("part").alias("_own"))
+        seen = parts.groupBy("t", "part").agg(F.min("label").alias("label"), F.max("label").alias("_high"))
+        split = seen.join(own, ["t", "label"], "left").filter("label <> _high or _own is null or _own <> part").select("t", "part")
+        leaks = open_.filter("_pa <> _pb")
+        bad = split.unionByName(leaks.select("t", F.col("_pa").alias("part"))).unionByName(leaks.select("t", F.col("_pb").alias("part"))).distinct()
+        #: (t, part): clusters of the embedding that the exact check does not let stand.
+        self.failed = workspace.keep(bad)
+        self._parts = parts
+        joins = components(open_.filter("_la <> _lb").select("t", F.col("_la").alias("a"), F.col("_lb").alias("b")), workspace)
+        repaired = joins.select("t", F.col("node").alias("label"), "component")
+        marked = parts.join(self.failed.withColumn("repaired", F.lit(True)), ["t", "part"], "left")
+        #: (t, node, component, repaired): a cluster of the embedding bears the label that all its nodes have met.
+        self.nodes = marked.join(repaired, ["t", "label"], "left").select("t", "node", F.coalesce("component", "label").alias("component"), F.coalesce("repaired", F.lit(False)).alias("repaired"))
+
+    def repairs(self) -> DataFrame:
+        """(t, clusters, failed): clusters of the embedding and those of them that were repaired."""
+        failed = self.failed.groupBy("t").agg(F.count(F.lit(1)).alias("_f"))
+        every = self._parts.groupBy("t").agg(F.count_distinct("part").alias("clusters"))
+        return every.join(failed, "t", "left").select("t", "clusters", F.coalesce("_f", F.lit(0)).alias("failed"))
 
 
 def _forest(hit: np.ndarray, score: np.ndarray) -> list[tuple[int, int, float]]:
@@ -151,12 +200,32 @@ class VectorClusters:
     """Clusters of records whose vectors are linked by chains of cosines of at least ``least``."""
 
     def __init__(self, rows: DataFrame, workspace: Workspace, least: float = 0.7, dim: int = 64, sample_size: int = SAMPLE) -> None:
-        self.work, self.least, self.dim = workspace, least, dim
-        spark = rows.sparkSession
-        total = rows.count()
-        centres, marks = find_cells(V.sample(rows, total, sample_size, dim), least)
-        shared = spark.sparkContext.broadcast((centres, marks))
-        inner = math.sqrt((1 + least) / 2) + 1e-5
+        self.work, self.least, self.dim, self.sample_size = workspace, least, dim, sample_size
+        loose, total = rows.select("_rid", "_id", "_v"), rows.count()
+        self.centres = np.zeros((0, dim), dtype=np.float32)
+        done: list[DataFrame] = []
+        while True:
+            centres, marks = find_cells(V.sample(loose, total, sample_size, dim), least)
+            labelled = workspace.keep(self._labelled(loose, centres, marks, len(self.centres)))
+            self.centres = np.concatenate([self.centres, centres])
+            loose, left = labelled.filter("_cell < 0").select("_rid", "_id", "_v"), labelled.filter("_cell < 0").count()
+            done.append(labelled.filter("_cell >= 0"))
+            # Another level costs a pass over the records without a cell; it stops where that labels few of them.
+            if not len(centres) or not left or total - left < total / 10:
+                break
+            total = left
+        self.n_cells, self.n_loose = len(self.centres), left
+        cells = done[0]
+        for d in done[1:]:
+            cells = cells.unionByName(d)
+        #: (_rid, _id, _v, _cell, _cos): the cell is -1 for records without one.
+        self.rows = cells.unionByName(labelled.filter("_cell < 0"))
+        self.edges = workspace.keep(self._cell_links(cells).unionByName(self._loose_links(loose)))
+
+    def _labelled(self, rows: DataFrame, centres: np.ndarray, marks: list[np.ndarray], first: int) -> DataFrame:
+        """``rows`` with the cell, counted from ``first``, and the cosine to its centre."""
+        shared = rows.sparkSession.sparkContext.broadcast((centres, marks))
+        least, dim, inner = self.least, self.dim, math.sqrt((1 + self.least) / 2) + 1e-5
 
         def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c, landmarks = shared.value
@@ -169,26 +238,49 @@ class VectorClusters:
                         of = np.flatnonzero(at == k)
                         mine = best[of] >= inner
                         mine[~mine] = (x[of[~mine]] @ landmarks[k].T >= least + 1e-6).any(1)
-                        cell[of[mine]], cos[of[mine]] = k, best[of[mine]]
+                        cell[of[mine]], cos[of[mine]] = first + k, best[of[mine]]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(cell), pa.array(cos)], names=["_rid", "_id", "_v", "_cell", "_cos"])
 
-        #: (_rid, _id, _v, _cell, _cos): the cell is -1 for records without one.
-        self.rows = workspace.keep(rows.select("_rid", "_id", "_v").mapInArrow(label, "_rid long, _id string, _v binary, _cell int, _cos float"))
-        stats = {r["_cell"]: (r["n"], r["low"]) for r in self.rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.min("_cos").alias("low")).collect()}  # one row per cell
-        self.n_loose = stats.pop(-1, (0, 0.0))[0]
-        self.edges = workspace.keep(self._visits(centres, stats).unionByName(self._loose()))
+        return rows.mapInArrow(label, "_rid long, _id string, _v binary, _cell int, _cos float")
 
-    def _visits(self, centres: np.ndarray, stats: dict[int, tuple[int, float]]) -> DataFrame:
-        """Affinities between labels: of records and the cells they may reach. A label is a cell's number or the record's,
+    def _cell_links(self, cells: DataFrame) -> DataFrame:
+        """Affinities between the labels of records and the cells they may reach. A label is a cell's number or the record's,
         counted after the cells."""
-        spark, least, dim = self.rows.sparkSession, self.least, self.dim
-        k = len(centres)
-        # The least cosine to a centre at which a member of the cell can be in reach.
-        reach = np.full(k, 2.0)
-        parts = np.ones(k, dtype=np.int64)
-        for c, (n, low) in stats.items():
-            reach[c] = math.cos(min(math.pi, math.acos(least) + math.acos(max(-1.0, min(1.0, low - 1e-5))))) - 1e-5
-            parts[c] = max(1, -(-n // BLOCK))
+        there = cells.select("_rid", "_v", "_cell", "_cos", F.col("_cell").cast("long").alias("_label"))
+        going = self.rows.select("_rid", "_v", "_cell", self._label().alias("_label"))
+        return self._met(going, there, self.centres, own=False)
+
+    def _loose_links(self, loose: DataFrame) -> DataFrame:
+        """Affinities among records without a cell: each stands in the inverted list of its nearest centroid and visits the
+        lists it may reach."""
+        dim, sample = self.dim, V.sample(loose, self.n_loose, self.sample_size, self.dim)
+        lists = V.spherical_kmeans(sample, int(max(1, min(len(sample) // 8, 4 * self.n_loose // BLOCK))))
+        shared = loose.sparkSession.sparkContext.broadcast(lists)
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at, cos = V.nearest(V.unpack(b.column(1), dim), shared.value) if len(shared.value) else (np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.float32))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at.astype(np.int32)), pa.array(cos)], names=["_rid", "_v", "_cell", "_cos"])
+
+        rows = loose.select("_rid", "_v").mapInArrow(place, "_rid long, _v binary, _cell int, _cos float")
+        rows = self.work.keep(rows.withColumn("_label", F.col("_rid") + self.n_cells))
+        return self._met(rows.drop("_cos"), rows, lists, own=True)
+
+    def _label(self) -> Column:
+        return F.when(F.col("_cell") >= 0, F.col("_cell").cast("long")).otherwise(F.col("_rid") + self.n_cells)
+
+    def _met(self, going: DataFrame, there: DataFrame, centres: np.ndarray, own: bool) -> DataFrame:
+        """(a, b, w) among the labels of visitors and residents of similar vectors, a spanning forest of those of a block.
+
+        Of two places the one of the lesser number visits; ``own`` lets the residents of one place meet each other too.
+        """
+        spark, least, dim, k = there.sparkSession, self.least, self.dim, len(centres)
+        stats = there.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.min("_cos").alias("low")).collect()  # one row per centre
+        # The least cosine to a centre at which one of its residents can be in reach.
+        reach, parts = np.full(k, 2.0), np.ones(k, dtype=np.int64)
+        for r in stats:
+            reach[r["_cell"]] = math.cos(min(math.pi, math.acos(least) + math.acos(max(-1.0, min(1.0, r["low"] - 1e-5))))) - 1e-5
+            parts[r["_cell"]] = max(1, -(-r["n"] // BLOCK))
         shared = spark.sparkContext.broadcast((centres, reach, parts))
 
         def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,80 +288,61 @@ class VectorClusters:
             for b in batches:
                 if not len(c):
                     continue
-                x, rid, own = V.unpack(b.column(1), dim), b.column(0).to_numpy(), b.column(2).to_numpy()
-                s = x @ c.T
-                go = s >= floor[None, :]
-                go &= np.arange(len(c))[None, :] > own[:, None]  # of two cells, the one of the lesser number visits
+                x, rid, mine, label = V.unpack(b.column(1), dim), b.column(0).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy()
+                go = x @ c.T >= floor[None, :]
+                order = np.arange(len(c))[None, :] - mine[:, None]
+                go &= order >= 0 if own else order > 0
                 i, cell = np.nonzero(go)
                 n = n_parts[cell]
                 i, cell, first = np.repeat(i, n), np.repeat(cell, n), np.repeat(np.cumsum(n) - n, n)
-                tag = np.where(own[i] >= 0, own[i], rid[i] + len(c))
                 names = ["_label", "_v", "_cell", "_part", "_vb"]
-                yield pa.RecordBatch.from_arrays([pa.array(tag.astype(np.int64)), b.column(1).take(pa.array(i)), pa.array(cell.astype(np.int32)), pa.array((np.arange(len(i)) - first).astype(np.int32)), pa.array((rid[i] % 4096).astype(np.int32))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(label[i]), b.column(1).take(pa.array(i)), pa.array(cell.astype(np.int32)), pa.array((np.arange(len(i)) - first).astype(np.int32)), pa.array((rid[i] % 4096).astype(np.int32))], names=names)
 
-        going = self.work.keep(self.rows.select("_rid", "_v", "_cell").mapInArrow(visit, "_label long, _v binary, _cell int, _part int, _vb int"))
-        blocks = going.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / F.max(F.col("_part") + 1) / BLOCK).cast("int").alias("_nb"))
-        going = going.join(blocks, "_cell").withColumn("_vb", F.pmod("_vb", "_nb"))
-        there = self.rows.filter("_cell >= 0").join(blocks, "_cell")
+        visits = self.work.keep(going.select("_rid", "_v", "_cell", "_label").mapInArrow(visit, "_label long, _v binary, _cell int, _part int, _vb int"))
+        blocks = visits.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / F.max(F.col("_part") + 1) / BLOCK).cast("int").alias("_nb"))
+        visits = visits.join(blocks, "_cell").withColumn("_vb", F.pmod("_vb", "_nb"))
         many = F.array(*[F.lit(int(p)) for p in parts]) if k else F.array(F.lit(1))
-        there = there.withColumn("_part", F.pmod(F.xxhash64("_rid"), F.get(many, F.col("_cell"))).cast("int")).withColumn("_vb", F.explode(F.expr("sequence(0, _nb - 1)")))
+        residents = there.join(blocks, "_cell").withColumn("_part", F.pmod(F.xxhash64("_rid"), F.get(many, F.col("_cell"))).cast("int")).withColumn("_vb", F.explode(F.expr("sequence(0, _nb - 1)")))
+        names = {"_label": "_rl", "_v": "_rv", "_cell": "_rc", "_part": "_rp", "_vb": "_rb"}  # apart from the visitors' columns
+        residents = residents.select(*[F.col(c).alias(n) for c, n in names.items()])
 
         def meet(visitors: pa.Table, residents: pa.Table) -> pa.Table:
-            a, w, cell = [], [], -1
+            out: list[tuple[int, int, float]] = []
             if len(visitors) and len(residents):
-                x, y, tag = V.unpack(visitors.column("_v"), dim), V.unpack(residents.column("_v"), dim), visitors.column("_label").to_numpy()
-                cell = residents.column("_cell")[0].as_py()
+                x, y = V.unpack(visitors.column("_v"), dim), V.unpack(residents.column("_rv"), dim)
+                tag, other = visitors.column("_label").to_numpy(), residents.column("_rl").to_numpy()
+                alike = bool((other == other[0]).all())
                 for i in range(0, len(x), 256):
-                    best = (x[i : i + 256] @ y.T).max(1)
-                    hit = np.flatnonzero(best >= least)
-                    a += tag[i + hit].tolist()
-                    w += best[hit].tolist()
-            return pa.table({"a": pa.array([cell] * len(a), pa.int64()), "b": pa.array(a, pa.int64()), "w": pa.array(w, pa.float64())})
-
-        by = ["_cell", "_part", "_vb"]
-        found = going.groupBy(*by).cogroup(there.select("_v", *by).groupBy(*by)).applyInArrow(meet, "a long, b long, w double")
-        self.n_cells = k
-        return found.groupBy("a", "b").agg(F.max("w").alias("w"))
-
-    def _loose(self) -> DataFrame:
-        """Affinities among records without a cell, compared in blocks; a block returns a spanning forest."""
-        least, dim, k = self.least, self.dim, self.n_cells
-        blocks = max(1, -(-self.n_loose // BLOCK))
-        loose = self.rows.filter("_cell < 0").select((F.col("_rid") + k).alias("_label"), "_v", F.pmod(F.xxhash64("_rid", F.lit(5)), F.lit(blocks)).cast("int").alias("_mine"))
-        loose = loose.withColumn("_other", F.explode(F.expr(f"sequence(0, {blocks - 1})")))
-        loose = loose.select("_label", "_v", "_mine", F.least("_mine", "_other").alias("_lo"), F.greatest("_mine", "_other").alias("_hi"))
-
-        def meet(rows: pa.Table) -> pa.Table:
-            x, tag, mine = V.unpack(rows.column("_v"), dim), rows.column("_label").to_numpy(), rows.column("_mine").to_numpy()
-            lo, hi = rows.column("_lo")[0].as_py(), rows.column("_hi")[0].as_py()
-            left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
-            out: list[tuple[int, int, float]] = []
-            for i in range(0, len(left), 256):
-                s = x[left[i : i + 256]] @ x[right].T
-                hit = s >= least
-                hit &= tag[left[i : i + 256], None] != tag[None, right]
-                if hit.any():
-                    r, c = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
-                    out += [(int(tag[left[i + r[a]]]), int(tag[right[c[b]]]), w) for a, b, w in _forest(hit[np.ix_(r, c)], s[np.ix_(r, c)])]
+                    s, mine = x[i : i + 256] @ y.T, tag[i : i + 256]
+                    if alike:
+                        best = s.max(1)
+                        out += [(int(other[0]), int(mine[j]), float(best[j])) for j in np.flatnonzero(best >= least)]
+                        continue
+                    hit = (s >= least) & (mine[:, None] != other[None, :])
+                    if hit.any():
+                        r, c = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
+                        out += [(int(mine[r[a]]), int(other[c[b]]), w) for a, b, w in _forest(hit[np.ix_(r, c)], s[np.ix_(r, c)])]
             cols = list(zip(*out)) if out else [[], [], []]
             return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64()), "w": pa.array(cols[2], pa.float64())})
 
-        return loose.groupBy("_lo", "_hi").applyInArrow(meet, "a long, b long, w double")
+        found = visits.groupBy("_cell", "_part", "_vb").cogroup(residents.groupBy("_rc", "_rp", "_rb")).applyInArrow(meet, "a long, b long, w double")
+        return found.groupBy("a", "b").agg(F.max("w").alias("w"))
 
-    def members(self, size: int) -> DataFrame:
-        """(_rid, item_id, cluster, cluster_id, size, part, _v) of the records in clusters of at least ``size``."""
-        linked = checked_clusters(self.edges, self.work).select(F.col("node").alias("_label"), "component", "part")
-        label = F.when(F.col("_cell") >= 0, F.col("_cell").cast("long")).otherwise(F.col("_rid") + self.n_cells)
-        rows = self.rows.withColumn("_label", label).join(linked, "_label", "left").withColumn("cluster", F.coalesce("component", "_label"))
+    def members(self, size: int, found: DataFrame | None = None) -> DataFrame:
+        """(_rid, item_id, cluster, cluster_id, size, repaired, _v) of the records in clusters of at least ``size``. ``found``
+        has the clusters (node, component, repaired) where several graphs were clustered at once."""
+        found = Clusters(self.edges.withColumn("t", F.lit(0)), self.work).nodes if found is None else found
+        linked = found.select(F.col("node").alias("_label"), "component", "repaired")
+        rows = self.rows.withColumn("_label", self._label()).join(linked, "_label", "left").withColumn("cluster", F.coalesce("component", "_label"))
         known = rows.groupBy("cluster").agg(F.min("_id").alias("cluster_id"), F.count(F.lit(1)).alias("size")).filter(F.col("size") >= size)
-        return rows.join(known, "cluster").select("_rid", F.col("_id").alias("item_id"), "cluster", "cluster_id", "size", F.coalesce("part", F.lit(-1)).alias("part"), "_v")
+        return rows.join(known, "cluster").select("_rid", F.col("_id").alias("item_id"), "cluster", "cluster_id", "size", F.coalesce("repaired", F.lit(False)).alias("repaired"), "_v")
 
     def affinity(self, members: DataFrame, rounds: int = 2) -> DataFrame:
         """(item_id, cluster_id, size, affinity): the weight of each member in the leading vector of its cluster's affinity
         matrix, by power iteration. The product of the matrix with a vector is two passes over the members through one sum
         of ``dim`` numbers per cluster, since affinities are products of vectors; its first round gives the degrees."""
         dim = self.dim
-        members = self.work.keep(members.drop("part").withColumn("weight", F.lit(1.0)))
+        members = self.work.keep(members.drop("repaired").withColumn("weight", F.lit(1.0)))
         for _ in range(rounds):
             def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held: dict[str, np.ndarray] = {}
@@ -338,6 +411,29 @@ def band_keys(sets: list[np.ndarray], rows: int = ROWS, bands: int = BANDS, seed
     return (key + np.arange(bands, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
 
 
+#: Bits of a sketch of a set, and the bits in which the sketches of a pair at the threshold of 0.6 agree less than by chance:
+#: five standard deviations below their mean, which one such pair in three million falls short of.
+SKETCH, AGREE = 256, 173
+
+
+def sketches(sets: list[np.ndarray], seed: int = 23) -> np.ndarray:
+    """(sets, SKETCH / 8) bytes: the lowest bit of the least of each of SKETCH hashes. Two sketches agree in a bit with
+    probability (1 + similarity) / 2."""
+    rng = np.random.default_rng(seed)
+    mul = (rng.integers(1, 1 << 62, SKETCH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+    add = rng.integers(0, 1 << 62, SKETCH, dtype=np.uint64)
+    flat = np.concatenate(sets)
+    words, at = np.unique(flat, return_inverse=True)
+    perm = ((words.astype(np.uint64)[:, None] * mul[None, :] + add[None, :]) >> np.uint64(32)).astype(np.uint32)
+    starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
+    low = np.empty((len(sets), SKETCH), dtype=np.uint32)
+    for i in range(0, len(sets), 256):
+        end = starts[i + 256] if i + 256 < len(sets) else len(flat)
+        low[i : i + 256] = np.minimum.reduceat(perm[at[starts[i] : end]], starts[i : i + 256] - starts[i], axis=0)
+    low ^= low >> np.uint32(15)
+    return np.packbits((low & 1).astype(bool), axis=1)
+
+
 def similar_sets(sets: list[np.ndarray], least: float, pivots: int = 64, width: int = 2_048) -> list[tuple[int, int]]:
     """A spanning forest (i, j) of the graph of all pairs of ``sets`` with a Jaccard similarity of ``least``.
 
@@ -470,8 +566,26 @@ class WordClusters:
         met = self.work.keep(banded.repartition("_band").sortWithinPartitions("_band", "_key").mapInArrow(pairs, "a long, b long, hot boolean"))
         hot = self._hot(met.filter("hot").select(F.col("a").alias("_band"), F.col("b").alias("_key")))
         near = met.filter("not hot").select("a", "b").unionByName(hot).repartition("a").distinct()
-        of = lambda c, s: self.sets.select(F.col("_key").alias(c), F.col("_set").alias(s))
-        both = near.join(of("a", "_sa"), "a").join(of("b", "_sb"), "b").select("a", "b", "_sa", "_sb")
+        def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                raw = b.column(1).to_pylist()
+                for i in range(0, len(raw), 2048):
+                    part = sketches([np.frombuffer(s, dtype=np.uint32) for s in raw[i : i + 2048]])
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(part)), V.pack(part)], names=["_key", "_sk"])
+
+        def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x, y = (V.unpack_bytes(b.column(i), SKETCH // 8) for i in (2, 3))
+                same = SKETCH - np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+                take = pa.array(np.flatnonzero(same >= AGREE))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take)], names=["a", "b"])
+
+        # Most candidates meet by chance; sketches of a few bytes drop them before the sets themselves travel.
+        short = self.work.keep(self.sets.mapInArrow(sketch, "_key long, _sk binary"))
+        by = lambda df, c, s: df.select(F.col("_key").alias(c), F.col(s).alias(f"{s}_{c}"))
+        drawn = near.join(by(short, "a", "_sk"), "a").join(by(short, "b", "_sk"), "b").select("a", "b", "_sk_a", "_sk_b")
+        close = self.work.keep(drawn.mapInArrow(agree, "a long, b long"))
+        both = close.join(by(self.sets, "a", "_set"), "a").join(by(self.sets, "b", "_set"), "b").select("a", "b", "_set_a", "_set_b")
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -507,10 +621,11 @@ class WordClusters:
 
         return rows.groupBy("_band", "_lo", "_hi").applyInArrow(meet, "a long, b long")
 
-    def members(self, size: int) -> DataFrame:
+    def members(self, size: int, found: DataFrame | None = None) -> DataFrame:
         """(item_id, cluster_id, size, affinity) of the records in clusters of at least ``size``. A record's affinity is the
-        mean similarity of its links; records of one set are linked fully."""
-        found = checked_clusters(self.edges, self.work).select(F.col("node").alias("_key"), "component")
+        mean similarity of its links; records of one set are linked fully. ``found`` as for vectors."""
+        found = Clusters(self.edges.withColumn("t", F.lit(0)), self.work).nodes if found is None else found
+        found = found.select(F.col("node").alias("_key"), "component")
         both = self.edges.select(F.col("a").alias("_key"), "w").unionByName(self.edges.select(F.col("b").alias("_key"), "w"))
         weight = both.groupBy("_key").agg(F.avg("w").alias("_w"))
         rows = self.rows.select("_id", "_key").join(found, "_key", "left").withColumn("cluster", F.coalesce("component", "_key"))

@@ -37,21 +37,34 @@ def _chunk_clusters(spark: SparkSession, sf_dir: str, work: Workspace) -> cluste
     return clusters.WordClusters(paragraphs.select(key("id").alias("_id"), F.col("text").alias("_text")), work, CHUNK_CLUSTER[0])
 
 
+def _clustered(spark: SparkSession, sf_dir: str, work: Workspace) -> tuple[clusters.VectorClusters, clusters.WordClusters, clusters.Clusters]:
+    """Nodes and chunks, and the clusters of both: two graphs that go through the same rounds."""
+    nodes, chunks = _node_clusters(spark, sf_dir, work), _chunk_clusters(spark, sf_dir, work)
+    edges = nodes.edges.withColumn("t", F.lit(0)).unionByName(chunks.edges.withColumn("t", F.lit(1)))
+    return nodes, chunks, clusters.Clusters(edges, work)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work = Workspace(spark, "p3")
-    nodes = _node_clusters(spark, sf_dir, work).members(NODE_CLUSTER[1]).select(F.lit("nodes").alias("table_name"), "item_id", "cluster_id")
-    chunks = _chunk_clusters(spark, sf_dir, work).members(CHUNK_CLUSTER[1]).select(F.lit("chunks").alias("table_name"), "item_id", "cluster_id")
+    nodes, chunks, found = _clustered(spark, sf_dir, Workspace(spark, "p3"))
+    nodes = nodes.members(NODE_CLUSTER[1], found.nodes.filter("t = 0")).select(F.lit("nodes").alias("table_name"), "item_id", "cluster_id")
+    chunks = chunks.members(CHUNK_CLUSTER[1], found.nodes.filter("t = 1")).select(F.lit("chunks").alias("table_name"), "item_id", "cluster_id")
     return nodes.unionByName(chunks)
 
 
 def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work = Workspace(spark, "p3c")
-    nodes = _node_clusters(spark, sf_dir, work)
-    nodes = clusters.describe(nodes.affinity(nodes.members(NODE_CLUSTER[1])))
-    chunks = clusters.describe(_chunk_clusters(spark, sf_dir, work).members(CHUNK_CLUSTER[1]))
+    """Every cluster with its size and most typical members."""
+    nodes, chunks, found = _clustered(spark, sf_dir, Workspace(spark, "p3c"))
+    nodes = clusters.describe(nodes.affinity(nodes.members(NODE_CLUSTER[1], found.nodes.filter("t = 0"))))
+    chunks = clusters.describe(chunks.members(CHUNK_CLUSTER[1], found.nodes.filter("t = 1")))
     return nodes.withColumn("table_name", F.lit("nodes")).unionByName(chunks.withColumn("table_name", F.lit("chunks")))
 
 
+def p3_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many clusters of the embedding the exact check let stand, and how many it repaired."""
+    found = _clustered(spark, sf_dir, Workspace(spark, "p3r"))[2].repairs()
+    return found.select(F.when(F.col("t") == 0, "nodes").otherwise("chunks").alias("table_name"), "clusters", "failed")
+
+
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.pieces(load(spark, sf_dir, "documents"), load(spark, sf_dir, "chunks"))
 
@@ -125,7 +138,7 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.SharedSpans(load(spark, sf_dir, "documents"), Workspace(spark, "p10")).share()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_clean": p5_clean, "p7_found": p7_found, "p7_knn": p7_knn, "p8_ids": p8_ids, "p9_pack": p9_pack, "p10_found": p10_found, "p10_share": p10_share}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p3_clusters": p3_clusters, "p3_repairs": p3_repairs, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_clean": p5_clean, "p7_found": p7_found, "p7_knn": p7_knn, "p8_ids": p8_ids, "p9_pack": p9_pack, "p10_found": p10_found, "p10_share": p10_share}
 
 _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+"
 _RUN = f"list_max(list_transform(regexp_split_to_array(text, '{_SPACE}'), lambda w: strlen(w)))"
