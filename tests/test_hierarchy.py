@@ -83,3 +83,13 @@ def test_descendants_of_roots_are_listed(spark, sf_dir):
     want = QUERIES["p6_ranges"](spark, sf_dir).filter("descendants > 0").collect()
     assert any(r["depth"] == 0 for r in want)
     assert {(r["table_name"], r["item_id"], r["count"]) for r in got} == {(r["table_name"], r["item_id"], r["descendants"]) for r in want}
+
+
+def test_a_long_chain_takes_few_rounds(spark):
+    """3,000 records below each other and a parent of 3,000 children, numbered by doubling."""
+    rows = [(f"c{i:04d}", f"c{i - 1:04d}" if i else None) for i in range(3000)] + [(f"k{i:04d}", "c0000") for i in range(3000)]
+    work = Workspace(spark, "t6l")
+    f = H.Forest(H.links(spark.createDataFrame(rows, "id string, parent_id string"), "t"), work, 100)
+    got = {r["item_id"]: (r["depth"], r["lft"], r["rgt"], len(r["path"])) for r in f.trees().filter("item_id in ('c0000', 'c0001', 'c2999', 'k0000', 'k2999')").collect()}
+    assert got == {"c0000": (0, 1, 12000, 5), "c0001": (1, 2, 5999, 11), "c2999": (2999, 3000, 3001, 17999), "k0000": (1, 6000, 6001, 11), "k2999": (1, 11998, 11999, 11)}
+    assert work._n < 50

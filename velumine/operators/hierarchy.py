@@ -1,11 +1,14 @@
 """Parent-child links to full hierarchies (problem 6).
 
-1. Depths and roots come from pointer doubling: as many rounds as the logarithm of the greatest depth. A round in which no
-   record reaches its root leaves only records on or below a cycle.
-2. Trees are numbered as nested sets: subtree sizes upward, then preorder ranges of siblings by prefix sums downward. Trees of
-   up to ``tree_rows`` records are numbered many to a task, level by level in arrays; larger ones, however large, by one
-   distributed round per level each way, so that no task holds a whole large tree.
-3. Records on or below a cycle get the least id on it, by doubling over the unprocessed records alone.
+1. Records are numbered as they are written, and parents are found by their keys in full, so no hash is trusted.
+2. Pointers are doubled until no record reaches a root any more, which brings the records of a tree together: as many rounds as
+   the logarithm of the greatest depth.
+3. Trees are numbered as nested sets: subtree sizes upward, then preorder ranges of siblings by prefix sums downward, which
+   give depths, roots and paths on the way. Trees of up to ``tree_rows`` records are numbered many to a task, level by level
+   in arrays. Larger ones are walked around as one list (into a record, through its children, out of it), whose places and
+   depths are sums over the rest of the list; these are taken by doubling too, so that rounds grow with the logarithm of the
+   records, no task holds a whole large tree, and a parent may have any number of children.
+4. Records left without a range are on or below a cycle. They get the least id on it, by doubling among themselves alone.
 
 A record's ancestors and descendants then follow from ranges: d is below a if they have one root and lft(a) < lft(d) < rgt(a).
 
@@ -40,26 +43,21 @@ class Forest:
 
     def __init__(self, rows: DataFrame, workspace: Workspace, tree_rows: int = TREE_ROWS) -> None:
         self.work, self.tree_rows = workspace, tree_rows
-        h = lambda c: F.xxhash64("table_name", c)
-        base = rows.withColumn("_h", h("item_id")).withColumn("_q", F.when(F.col("parent_id").isNotNull(), h("parent_id")))
-        base = workspace.keep(base)
-        total = base.agg(F.count(F.lit(1)), F.count_distinct("_h")).first()
-        if total[0] != total[1]:
-            raise ValueError("two ids have one 64-bit hash")
-        there = base.select(F.col("_h").alias("_q"), F.lit(True).alias("_there"))
-        #: (table_name, item_id, _h, _p): _p is null for roots.
-        self.nodes = workspace.keep(base.join(there, "_q", "left").select("table_name", "item_id", "_h", F.when(F.col("_there"), F.col("_q")).alias("_p")))
+        base = workspace.keep(rows.withColumn("_h", F.monotonically_increasing_id()))
+        above = base.select("table_name", F.col("item_id").alias("parent_id"), F.col("_h").alias("_p"))
+        #: (table_name, item_id, _h, _p): the record's number and its parent's, which is null for roots.
+        self.nodes = workspace.keep(base.join(above, ["table_name", "parent_id"], "left").select("table_name", "item_id", "_h", "_p"))
         self._settle()
 
     def _settle(self) -> None:
-        """Doubles pointers until no more records reach a root: (_h, _root, _d) of those that do, and the rest."""
-        done = self.nodes.filter("_p is null").select("_h", F.col("_h").alias("_a"), F.lit(0).cast("int").alias("_d"))
-        active = self.work.keep(self.nodes.filter("_p is not null").select("_h", F.col("_p").alias("_a"), F.lit(1).cast("int").alias("_d")))
+        """Doubles pointers until no more records reach a root: (_h, _root) of those that do, and the rest."""
+        done = self.nodes.filter("_p is null").select("_h", F.col("_h").alias("_a"))
+        active = self.nodes.filter("_p is not null").select("_h", F.col("_p").alias("_a"))
         left = active.count()
         while left:
-            every = done.select(F.col("_h").alias("_k"), F.col("_a").alias("_a2"), F.col("_d").alias("_d2"), F.lit(True).alias("_end"))
-            every = every.unionByName(active.select(F.col("_h").alias("_k"), F.col("_a").alias("_a2"), F.col("_d").alias("_d2"), F.lit(False).alias("_end")))
-            step = active.join(every, active["_a"] == every["_k"]).select("_h", F.col("_a2").alias("_a"), (F.col("_d") + F.col("_d2")).cast("int").alias("_d"), "_end")
+            every = done.select(F.col("_h").alias("_k"), F.col("_a").alias("_a2"), F.lit(True).alias("_end"))
+            every = every.unionByName(active.select(F.col("_h").alias("_k"), F.col("_a").alias("_a2"), F.lit(False).alias("_end")))
+            step = active.join(every, active["_a"] == every["_k"]).select("_h", F.col("_a2").alias("_a"), "_end")
             step = self.work.keep(step)
             now = step.filter("not _end").count()
             done = done.unionByName(step.filter("_end").drop("_end"))
@@ -67,7 +65,7 @@ class Forest:
             if now == left:
                 break
             left = now
-        self.settled = done.select("_h", F.col("_a").alias("_root"), "_d")
+        self.settled = done.select("_h", F.col("_a").alias("_root"))
         self.cyclic, self.n_cyclic = active.select("_h"), left
 
     def cycles(self) -> DataFrame:
@@ -92,63 +90,75 @@ class Forest:
         limit, total = self.tree_rows, rows.count()
         buckets = max(rows.sparkSession.sparkContext.defaultParallelism, -(-total // limit))
         small = rows.filter(F.col("_n") <= limit).withColumn("_b", F.pmod(F.xxhash64("_root"), F.lit(buckets)))
-        out = small.select("_b", "table_name", "item_id", "_h", "_p", "_root", "_d").groupBy("_b").applyInArrow(_number, _TREE)
+        out = small.select("_b", "table_name", "item_id", "_h", "_p").groupBy("_b").applyInArrow(_number, _TREE)
         large = rows.filter(F.col("_n") > limit)
-        deepest = large.agg(F.max("_d")).first()[0]
-        return out if deepest is None else out.unionByName(self._number_large(large, deepest))
+        return out if large.isEmpty() else out.unionByName(self._number_large(large))
 
-    def _number_large(self, rows: DataFrame, deepest: int) -> DataFrame:
+    def _number_large(self, rows: DataFrame) -> DataFrame:
         keep = self.work.keep
-        sizes = keep(rows.filter(F.col("_d") == deepest).select("_h", "_p", F.lit(1).cast("long").alias("_s")))
-        levels = {deepest: sizes}
-        for d in range(deepest - 1, -1, -1):
-            sums = levels[d + 1].groupBy("_p").agg(F.sum("_s").alias("_c")).withColumnRenamed("_p", "_k")
-            here = rows.filter(F.col("_d") == d).select("_h", "_p")
-            levels[d] = keep(here.join(sums, here["_h"] == sums["_k"], "left").select("_h", "_p", (F.lit(1) + F.coalesce("_c", F.lit(0))).cast("long").alias("_s")))
-        names = rows.select("_h", "item_id")
-        top = levels[0].join(names, "_h").select("_h", "_s", F.lit(1).cast("long").alias("_l"), F.col("item_id").alias("_path"))
-        placed = [keep(top)]
-        for d in range(1, deepest + 1):
-            # Siblings are numbered in parts of the range of their ids: a parent may have any number of children.
-            kids = keep(levels[d].join(names, "_h").repartitionByRange("_p", "item_id").withColumn("_part", F.spark_partition_id()))
-            within = Window.partitionBy("_p", "_part").orderBy("item_id").rowsBetween(Window.unboundedPreceding, -1)
-            parts = kids.groupBy("_p", "_part").agg(F.sum("_s").alias("_ps"))
-            before = Window.partitionBy("_p").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-            starts = parts.select("_p", "_part", F.coalesce(F.sum("_ps").over(before), F.lit(0)).alias("_start"))
-            kids = kids.withColumn("_off", F.coalesce(F.sum("_s").over(within), F.lit(0))).join(starts, ["_p", "_part"])
-            above = placed[-1].select(F.col("_h").alias("_p"), F.col("_l").alias("_pl"), F.col("_path").alias("_pp"))
-            step = kids.join(above, "_p").select("_h", "_s", (F.col("_pl") + 1 + 2 * (F.col("_start") + F.col("_off"))).cast("long").alias("_l"), F.concat_ws("/", "_pp", "item_id").alias("_path"))
-            placed.append(keep(step))
-        numbered = placed[0]
-        for p in placed[1:]:
-            numbered = numbered.unionByName(p)
-        roots = rows.filter(F.col("_d") == 0).select(F.col("_h").alias("_root"), F.col("item_id").alias("root_id"))
-        full = rows.select("table_name", "item_id", "_h", "_root", "_d").join(numbered, "_h").join(roots, "_root")
-        return full.select("table_name", "item_id", "root_id", F.col("_d").alias("depth"), F.col("_path").alias("path"), F.col("_l").alias("lft"), (F.col("_l") + 2 * F.col("_s") - 1).alias("rgt"), (F.col("_s") - 1).alias("descendants"))
+        # Siblings are ordered in parts of the range of their ids; the last of a part is followed by the first of the next.
+        kids = keep(rows.filter("_p is not null").select("_h", "_p", "item_id").repartitionByRange("_p", "item_id").withColumn("_part", F.spark_partition_id()))
+        heads = kids.groupBy("_p", "_part").agg(F.min_by("_h", "item_id").alias("_head"))
+        heads = heads.withColumn("_then", F.lead("_head").over(Window.partitionBy("_p").orderBy("_part")))
+        after = F.lead("_h").over(Window.partitionBy("_p", "_part").orderBy("item_id"))
+        siblings = kids.withColumn("_after", after).join(heads, ["_p", "_part"]).select("_h", F.coalesce("_after", "_then").alias("_after"))
+        eldest = heads.groupBy(F.col("_p").alias("_h")).agg(F.min_by("_head", "_part").alias("_first"))
+        into, out = lambda c: F.col(c) * 2, lambda c: F.col(c) * 2 + 1  # noqa: E731  elements of the list
+        walk = rows.select("_h", "_p").join(siblings, "_h", "left").join(eldest, "_h", "left")
+        enter = walk.select(into("_h").alias("_e"), F.coalesce(into("_first"), out("_h")).alias("_to"), F.lit(1).cast("long").alias("_s"))
+        leave = walk.select(out("_h").alias("_e"), F.coalesce(into("_after"), out("_p")).alias("_to"), F.lit(-1).cast("long").alias("_s"))
+        # (_e, _to, _c, _s): the place behind what has been summed, how many elements that was, and their steps down less up.
+        going = keep(enter.unionByName(leave).withColumn("_c", F.lit(1).cast("long")))
+        while not going.filter("_to is not null").isEmpty():
+            next_ = going.select(F.col("_e").alias("_to"), F.col("_to").alias("_to2"), F.col("_c").alias("_c2"), F.col("_s").alias("_s2"))
+            ahead, there = going.filter("_to is not null"), going.filter("_to is null")
+            ahead = ahead.join(next_, "_to").select("_e", F.col("_to2").alias("_to"), (F.col("_c") + F.col("_c2")).alias("_c"), (F.col("_s") + F.col("_s2")).alias("_s"))
+            going = keep(ahead.unionByName(there.select("_e", "_to", "_c", "_s")))
+        ends = going.select(F.floor(F.col("_e") / 2).alias("_h"), F.when(F.col("_e") % 2 == 0, F.col("_c")).alias("_ci"), F.when(F.col("_e") % 2 == 1, F.col("_c")).alias("_co"), F.when(F.col("_e") % 2 == 0, -F.col("_s")).alias("_d"))
+        ends = ends.groupBy("_h").agg(F.max("_ci").alias("_ci"), F.max("_co").alias("_co"), F.max("_d").cast("int").alias("depth"))
+        # Paths by doubling as well: the ids from below the pointer to the record.
+        path = keep(rows.select("_h", F.col("_p").alias("_a"), F.col("item_id").alias("path")))
+        while not path.filter("_a is not null").isEmpty():
+            above = path.select(F.col("_h").alias("_a"), F.col("_a").alias("_a2"), F.col("path").alias("_above"))
+            more = path.filter("_a is not null").join(above, "_a").select("_h", F.col("_a2").alias("_a"), F.concat_ws("/", "_above", "path").alias("path"))
+            path = keep(more.unionByName(path.filter("_a is null")))
+        roots = rows.filter("_p is null").select("_root", F.col("item_id").alias("root_id"))
+        full = rows.join(ends, "_h").join(path.select("_h", "path"), "_h").join(roots, "_root")
+        whole = F.col("_n") * 2
+        full = full.withColumn("lft", whole - F.col("_ci") + 1).withColumn("rgt", whole - F.col("_co") + 1)
+        return full.select("table_name", "item_id", "root_id", "depth", "path", "lft", "rgt", F.expr("(rgt - lft - 1) div 2").alias("descendants"))
 
 
 def _number(rows: pa.Table) -> pa.Table:
-    """Nested-set numbers and paths of whole trees, level by level."""
+    """Nested-set numbers, depths and paths of whole trees, level by level."""
     ids = rows.column("item_id").to_pylist()
-    h, depth = rows.column("_h").to_numpy(), rows.column("_d").to_numpy()
+    h = rows.column("_h").to_numpy()
     n = len(h)
-    by_hash = np.argsort(h, kind="stable")
-    p = rows.column("_p").fill_null(0).to_numpy()
-    parent = by_hash[np.clip(np.searchsorted(h[by_hash], p), 0, max(0, n - 1))]
+    by_number = np.argsort(h, kind="stable")
+    p = rows.column("_p").fill_null(-1).to_numpy()
+    parent = np.where(p >= 0, by_number[np.clip(np.searchsorted(h[by_number], p), 0, max(0, n - 1))], -1)
     # Siblings in order of their ids.
     rank = np.empty(n, dtype=np.int64)
     rank[sorted(range(n), key=ids.__getitem__)] = np.arange(n)
-    order = np.lexsort((rank, parent, depth))
-    starts = np.searchsorted(depth[order], np.arange(int(depth.max(initial=0)) + 2))
+    order = np.lexsort((rank, parent))
+    first, last = np.searchsorted(parent[order], np.arange(-1, n)), np.searchsorted(parent[order], np.arange(-1, n), side="right")
+    levels = [order[first[0] : last[0]]]  # the roots; each level is the children of the one before
+    depth = np.zeros(n, dtype=np.int64)
+    while True:
+        a, z = first[levels[-1] + 1], last[levels[-1] + 1]
+        total = int((z - a).sum())
+        if not total:
+            break
+        spots = np.repeat(a - np.r_[0, np.cumsum(z - a)[:-1]], z - a) + np.arange(total)
+        depth[order[spots]] = len(levels)
+        levels.append(order[spots])
     size = np.ones(n, dtype=np.int64)
-    for d in range(len(starts) - 2, 0, -1):
-        level = order[starts[d] : starts[d + 1]]
+    for level in reversed(levels[1:]):
         np.add.at(size, parent[level], size[level])
     lft = np.ones(n, dtype=np.int64)
     root = np.arange(n)
     path: list[str] = list(ids)
-    for d in range(1, len(starts) - 1):
-        level = order[starts[d] : starts[d + 1]]
+    for level in levels[1:]:
         above = parent[level]
         total = np.cumsum(size[level]) - size[level]
         first = np.flatnonzero(np.r_[True, above[1:] != above[:-1]])

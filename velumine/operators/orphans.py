@@ -23,7 +23,7 @@ from velumine.functions.times import micros, micros_of_text
 from velumine.session import Workspace
 
 #: Parents in a range and references in a block, about.
-RANGE_ROWS, BLOCK_ROWS = 20_000, 50_000
+RANGE_ROWS, BLOCK_ROWS = 5_000, 20_000
 _ALWAYS = -(1 << 62)
 
 

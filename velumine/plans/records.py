@@ -90,7 +90,12 @@ def p6_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _forest(spark, sf_dir).trees().select("table_name", "item_id", "root_id", "depth", "path")
 
 
-@query("p6_ranges")
+@query("p6_ranges", _TREES + """, v AS (
+  SELECT t, id, id AS root_id, 0 AS depth, id AS path, [id] AS chain FROM n WHERE p IS NULL
+  UNION ALL SELECT n.t, n.id, v.root_id, v.depth + 1, v.path || '/' || n.id, list_append(v.chain, n.id) FROM n JOIN v ON n.t = v.t AND n.p = v.id),
+z AS (SELECT t, id, count(*) AS size FROM (SELECT t, unnest(chain) AS id FROM v) GROUP BY ALL),
+q AS (SELECT v.*, size, 2 * row_number() OVER (PARTITION BY t, root_id ORDER BY chain) - depth - 1 AS lft FROM v JOIN z USING (t, id))
+SELECT t AS table_name, id AS item_id, root_id, depth, path, lft, lft + 2 * size - 1 AS rgt, size - 1 AS descendants FROM q""")
 def p6_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _forest(spark, sf_dir).trees()
 
