@@ -35,12 +35,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velumine.llm import vectors as V
+from velumine.operators.relational import top_per_key
 from velumine.session import Workspace, spread
 
 #: Vectors the cells are found in, the least size of a cell there, and landmarks kept of each.
 SAMPLE, CELL, LANDMARKS = 8_000, 4, 64
 #: Rows of a block on either side of a comparison.
 BLOCK = 8_192
+#: Residents of a cell farthest from its centre, which records are compared with on the spot: a few far ones do not widen the
+#: reach of all others.
+RIM = 32
 
 
 # ---------------------------------------------------------------------------------------------------- graph
@@ -275,34 +279,59 @@ class VectorClusters:
         Of two places the one of the lesser number visits; ``own`` lets the residents of one place meet each other too.
         """
         spark, least, dim, k = there.sparkSession, self.least, self.dim, len(centres)
-        stats = there.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.min("_cos").alias("low")).collect()  # one row per centre
-        # The least cosine to a centre at which one of its residents can be in reach.
+        count = there.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per centre
+        far = top_per_key(there.select("_cell", "_rid", "_cos"), ["_cell"], [F.asc("_cos"), F.asc("_rid")], RIM + 1, salt="_rid", parts=4)
+        far = there.join(F.broadcast(self.work.keep(far.select("_rid"))), "_rid", "left_semi").select("_cell", "_rid", "_label", "_cos", "_v").toArrow()  # RIM + 1 rows of a centre
+        # The least cosine to a centre at which a resident that is not of its rim can be in reach.
         reach, parts = np.full(k, 2.0), np.ones(k, dtype=np.int64)
-        for r in stats:
-            reach[r["_cell"]] = math.cos(min(math.pi, math.acos(least) + math.acos(max(-1.0, min(1.0, r["low"] - 1e-5))))) - 1e-5
-            parts[r["_cell"]] = max(1, -(-r["n"] // BLOCK))
-        shared = spark.sparkContext.broadcast((centres, reach, parts))
+        rim: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros((0, dim), np.float32), np.zeros(0, np.int64)) for _ in range(k)]
+        where, cos, tags, rids = (far.column(c).to_numpy() for c in ("_cell", "_cos", "_label", "_rid"))
+        vectors, inner = V.unpack(far.column("_v"), dim), np.full(k, -1.0)
+        for r in count:
+            c, mine = r["_cell"], np.flatnonzero(where == r["_cell"])
+            mine = mine[np.lexsort((rids[mine], cos[mine]))]
+            rim[c] = vectors[mine[:RIM]], tags[mine[:RIM]]
+            if r["n"] > RIM:
+                inner[c] = cos[mine[RIM]]
+                reach[c] = math.cos(min(math.pi, math.acos(least) + math.acos(max(-1.0, min(1.0, inner[c] - 1e-5))))) - 1e-5
+            parts[c] = max(1, -(-r["n"] // BLOCK))
+        shared = spark.sparkContext.broadcast((centres, reach, parts, rim))
 
         def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            c, floor, n_parts = shared.value
+            c, floor, n_parts, far_ones = shared.value
+            names = ["_label", "_other", "_v", "_w", "_cell", "_part", "_vb"]
             for b in batches:
                 if not len(c):
                     continue
                 x, rid, mine, label = V.unpack(b.column(1), dim), b.column(0).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy()
-                go = x @ c.T >= floor[None, :]
+                s = x @ c.T
                 order = np.arange(len(c))[None, :] - mine[:, None]
-                go &= order >= 0 if own else order > 0
-                i, cell = np.nonzero(go)
+                may = order >= 0 if own else order > 0
+                # Far residents are met here: (visitor's label, theirs, cosine).
+                links = []
+                for k_, (y, tag) in enumerate(far_ones):
+                    if len(y):
+                        at, j = np.nonzero((x @ y.T >= least) & may[:, k_, None] & (label[:, None] != tag[None, :]))
+                        links.append(np.stack([label[at], tag[j]], 1))
+                links = np.unique(np.concatenate(links), axis=0) if links else np.zeros((0, 2), np.int64)
+                n = len(links)
+                yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1]), pa.nulls(n, pa.binary()), pa.array(np.full(n, least)), *[pa.nulls(n, pa.int32())] * 3], names=names)
+                i, cell = np.nonzero(may & (s >= floor[None, :]))
+                angle = s[i, cell].astype(np.float64)
                 n = n_parts[cell]
+                angle = np.repeat(angle, n)
                 i, cell, first = np.repeat(i, n), np.repeat(cell, n), np.repeat(np.cumsum(n) - n, n)
-                names = ["_label", "_v", "_cell", "_part", "_vb"]
-                yield pa.RecordBatch.from_arrays([pa.array(label[i]), b.column(1).take(pa.array(i)), pa.array(cell.astype(np.int32)), pa.array((np.arange(len(i)) - first).astype(np.int32)), pa.array((rid[i] % 4096).astype(np.int32))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(label[i]), pa.nulls(len(i), pa.int64()), b.column(1).take(pa.array(i)), pa.array(angle), pa.array(cell.astype(np.int32)), pa.array((np.arange(len(i)) - first).astype(np.int32)), pa.array((rid[i] % 4096).astype(np.int32))], names=names)
 
-        visits = self.work.keep(going.select("_rid", "_v", "_cell", "_label").mapInArrow(visit, "_label long, _v binary, _cell int, _part int, _vb int"))
-        blocks = visits.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / F.max(F.col("_part") + 1) / BLOCK).cast("int").alias("_nb"))
-        visits = visits.join(blocks, "_cell").withColumn("_vb", F.pmod("_vb", "_nb"))
+        gone = self.work.keep(going.select("_rid", "_v", "_cell", "_label").mapInArrow(visit, "_label long, _other long, _v binary, _w double, _cell int, _part int, _vb int"))
+        links = gone.filter("_other is not null").select(F.col("_label").alias("a"), F.col("_other").alias("b"), "_w")
+        visits = gone.filter("_other is null")
+        blocks = visits.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / F.max(F.col("_part") + 1) / BLOCK).cast("int").alias("_nb"), F.max("_w").alias("_near"))
+        visits = visits.join(blocks.drop("_near"), "_cell").withColumn("_vb", F.pmod("_vb", "_nb"))
         many = F.array(*[F.lit(int(p)) for p in parts]) if k else F.array(F.lit(1))
-        residents = there.join(blocks, "_cell").withColumn("_part", F.pmod(F.xxhash64("_rid"), F.get(many, F.col("_cell"))).cast("int")).withColumn("_vb", F.explode(F.expr("sequence(0, _nb - 1)")))
+        # Residents nearer to the centre than the nearest visitor can reach stay at home.
+        homely = F.acos(F.least(F.lit(1.0), F.col("_cos").cast("double"))) + 1e-4 + math.acos(least) >= F.acos(F.least(F.lit(1.0), F.col("_near")))
+        residents = there.join(blocks, "_cell").filter(homely).withColumn("_part", F.pmod(F.xxhash64("_rid"), F.get(many, F.col("_cell"))).cast("int")).withColumn("_vb", F.explode(F.expr("sequence(0, _nb - 1)")))
         names = {"_label": "_rl", "_v": "_rv", "_cell": "_rc", "_part": "_rp", "_vb": "_rb"}  # apart from the visitors' columns
         residents = residents.select(*[F.col(c).alias(n) for c, n in names.items()])
 
@@ -325,8 +354,9 @@ class VectorClusters:
             cols = list(zip(*out)) if out else [[], [], []]
             return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64()), "w": pa.array(cols[2], pa.float64())})
 
+        visits = visits.select("_label", "_v", "_cell", "_part", "_vb")
         found = visits.groupBy("_cell", "_part", "_vb").cogroup(residents.groupBy("_rc", "_rp", "_rb")).applyInArrow(meet, "a long, b long, w double")
-        return found.groupBy("a", "b").agg(F.max("w").alias("w"))
+        return found.unionByName(links.withColumnRenamed("_w", "w")).groupBy("a", "b").agg(F.max("w").alias("w"))
 
     def members(self, size: int, found: DataFrame | None = None) -> DataFrame:
         """(_rid, item_id, cluster, cluster_id, size, repaired, _v) of the records in clusters of at least ``size``. ``found``
@@ -500,11 +530,13 @@ class WordClusters:
                         sets.append(word_hashes(words).tobytes())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(sets, pa.binary())], names=["_id", "_set"])
 
-        rows = spread(df.select("_id", "_text").filter("_text is not null and _id is not null")).mapInArrow(read, "_id string, _set binary").dropDuplicates(["_id"])
-        #: (_id, _set, _key): the key stands for the set; its lowest byte is the set's size, up to 255.
+        rows = spread(df.select("_id", "_text").filter("_text is not null and _id is not null")).mapInArrow(read, "_id string, _set binary")
         size = F.least(F.lit(255), F.octet_length("_set") / 4).cast("long")
-        self.rows = workspace.keep(rows.withColumn("_key", F.shiftleft(F.shiftright(F.xxhash64("_set"), 8), 8) + size))
-        self.sets = workspace.keep(self.rows.select("_key", "_set").dropDuplicates(["_key"]))
+        rows = workspace.keep(rows.withColumn("_key", F.shiftleft(F.shiftright(F.xxhash64("_set"), 8), 8) + size))
+        #: (_id, _key): the key stands for the set; its lowest byte is the set's size, up to 255. Of the rows of an id the
+        #: least key counts.
+        self.rows = workspace.keep(rows.groupBy("_id").agg(F.min("_key").alias("_key")))
+        self.sets = workspace.keep(rows.select("_key", "_set").dropDuplicates(["_key"]).join(self.rows.select("_key").distinct(), "_key", "left_semi"))
         self.edges = workspace.keep(self._edges())
 
     def _edges(self) -> DataFrame:
