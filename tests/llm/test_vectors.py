@@ -190,7 +190,8 @@ def test_neighbours_recall_and_pairs(spark):
     s = x @ x.T
     np.fill_diagonal(s, -2)
     small = K.Settings(sample=300, list_rows=20, group_rows=80, part_rows=60, query_rows=100)
-    for settings in (K.Settings(), small):
+    deep = K.Settings(sample=200, list_rows=4, words=6, group_rows=40, part_rows=60, query_rows=100)  # three levels of lists
+    for settings in (K.Settings(), small, deep):
         index = K.VectorIndex(frame(spark, rows + DIRTY + rows[:4]), Workspace(spark, "t7"), F.col("id"), "embedding", settings=settings)
         found = index.named(index.neighbours(index.rows, 10)).collect()
         got = {}
@@ -241,3 +242,54 @@ def test_many_copies(spark):
     for i, (name, _) in enumerate(rows):
         assert len({n for n, _ in got[name]}) == 10
         assert sorted(round(v, 5) for _, v in got[name]) == pytest.approx(sorted(np.sort(s[i])[-10:]), abs=2e-3)
+
+
+def test_lists_grow_with_the_collection():
+    """Ten times the vectors, on one sample size: ten times the lists and groups, and as many vectors in a visited group."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(200, 16))
+    make = lambda n: V_unit(centres[rng.integers(0, 200, n)] + rng.normal(size=(n, 16)) * 0.4)
+    seen = []
+    for n in (20_000, 200_000):
+        x = make(n)
+        lists = K.Lists(x[:2_000], n // 50, 128, n // 500)
+        at, centroid, group = lists.place(x)
+        assert np.allclose(lists.centroids(at), centroid, atol=1e-5)
+        row, g = lists.probe(x[:500], 16, 0.35, 48 / n)
+        seen.append((math_prod(len(c) for c in lists.levels), lists.n_groups, np.bincount(group, minlength=lists.n_groups)[g].sum() / 500))
+        assert (np.bincount(row, minlength=500) > 0).all()
+    (l0, g0, v0), (l1, g1, v1) = seen
+    assert l0 >= 400 and l1 >= 4_000 and g1 >= 5 * g0
+    assert v1 < 3 * v0
+
+
+def test_recall_with_production_settings(spark):
+    """At least 50 lists, the settings that the queries use, against brute force."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(300, 64))
+    x = (centres[rng.integers(0, 300, 16_000)] + rng.normal(size=(16_000, 64)) * 0.5).astype(np.float32)
+    df = spark.createDataFrame([(f"v{i:05d}", r.tolist()) for i, r in enumerate(x)], "id string, embedding array<float>").repartition(8)
+    index = K.VectorIndex(df, Workspace(spark, "t7r"), F.col("id"), "embedding")
+    assert len(index.lists.levels[0]) >= 50
+    asked = index.rows.filter("_id like '%00'")
+    got = {}
+    for r in index.named(index.neighbours(asked, 10)).collect():
+        got.setdefault(r["id"], set()).add(r["neighbour_id"])
+    u = V_unit(x)
+    hits = 0
+    for i in range(0, 16_000, 100):
+        s = u @ u[i]
+        s[i] = -2
+        hits += len({f"v{j:05d}" for j in np.argsort(-s)[:10]} & got[f"v{i:05d}"])
+    assert len(got) == 160 and hits / 1600 >= 0.9
+
+
+def V_unit(x):
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def math_prod(values):
+    out = 1
+    for v in values:
+        out *= v
+    return out

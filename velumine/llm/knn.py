@@ -1,11 +1,13 @@
 """Most similar vectors for every vector (problem 7): an inverted file with product-quantised residuals and exact reranking.
 
-Coarse centroids and codebooks are fitted on a bounded sample of vectors; every vector is indexed. Near lists form groups of
-bounded size, the unit of work; a group that holds more is salted into parts. A query goes to the groups of the lists it
-probes. There, approximate similarities are its asymmetric distance tables against the codes: the sums over all code places
-are taken as one product of the query with the decoded residuals, plus its product with the coarse centroid, which are the
-same numbers. The best of them are reranked by the exact vectors. Groups of queries are cut into blocks too, so that neither
-side of a task grows with the data.
+Coarse centroids and codebooks are fitted on a bounded sample of vectors; every vector is indexed. Where a sample can't give as
+many centroids as the collection needs lists, the residuals are quantised again, by words that all lists share, so that the
+number of lists grows with the collection without an end (``Lists``). Near lists form groups of bounded size, the unit of
+work; a group that holds more is salted into parts. A query goes to the groups of the lists it probes. There, approximate
+similarities are its asymmetric distance tables against the codes: the sums over all code places are taken as one product of
+the query with the decoded residuals, plus its product with the coarse centroid, which are the same numbers. The best of them
+are reranked by the exact vectors. Groups of queries are cut into blocks too, so that neither side of a task grows with the
+data.
 
 Recall is measured by the tests against brute force. Ties are broken by id. Null, short, zero and non-finite vectors are not
 indexed and ask nothing. A collection of one vector gives no neighbours.
@@ -30,21 +32,123 @@ from velumine.session import Workspace
 class Settings:
     """``sample`` bounds the vectors that models are fitted on; a list has about ``list_rows`` vectors; a query probes up to
     ``probes`` lists whose centroid is within ``margin`` of the nearest one's cosine; ``rerank`` candidates of a group part
-    are compared exactly."""
+    are compared exactly. ``words`` bounds the centroids of one level of the lists, not the lists."""
 
     dim: int = 64
     sample: int = 30_000
     list_rows: int = 300
-    most_lists: int = 2048
+    words: int = 2048
     group_rows: int = 8_000
-    part_rows: int = 16_000
-    query_rows: int = 60_000
+    part_rows: int = 8_000
+    query_rows: int = 16_000
     probes: int = 96
     margin: float = 0.35
     places: int = 32
     rerank: int = 48
 
 
+class Lists:
+    """Inverted lists: a vector's list is the nearest coarse centroid, the nearest word to what that leaves, and so on, for as
+    many levels as it takes to have about ``want`` lists. Lists of one group share the groups of their centroids and words."""
+
+    def __init__(self, x: np.ndarray, want: int, words: int, groups: int) -> None:
+        self.levels: list[np.ndarray] = []
+        self.group_of: list[np.ndarray] = []  # group of each word, by level
+        self.share: list[np.ndarray] = []  # part of the sample with each word, by level
+        rest, lists, most = x, 1, max(1, min(words, len(x) // 4))
+        while len(x) and (not self.levels or lists < want):
+            k = int(min(most, max(1, -(-want // lists))))
+            c = V.spherical_kmeans(rest, k) if not self.levels else V.codebooks(rest, 1, words=k)[0]
+            at = V.nearest(rest, c)[0] if not self.levels else V.quantise_part(rest, c)
+            g = int(min(len(c), max(1, -(-groups // self.n_groups))))
+            heads = V.spherical_kmeans(c, g) if not self.levels else V.codebooks(c, 1, words=g)[0]
+            self.group_of.append(V.nearest(c, heads)[0] if not self.levels else V.quantise_part(c, heads))
+            self.share.append(np.bincount(at, minlength=len(c)) / max(1, len(at)))
+            self.levels.append(c)
+            rest, lists = rest - c[at], lists * len(c)
+            if len(c) < 2:
+                break
+
+    @property
+    def n_groups(self) -> int:
+        return math.prod(int(g.max()) + 1 for g in self.group_of)
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(list, centroid, group) of each vector."""
+        at, group, centroid = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64), np.zeros_like(x)
+        for n, (c, g) in enumerate(zip(self.levels, self.group_of)):
+            i = V.nearest(x, c)[0] if not n else V.quantise_part(x - centroid, c)
+            at, group, centroid = at * len(c) + i, group * (int(g.max()) + 1) + g[i], centroid + c[i]
+        return at, centroid, group
+
+    def centroids(self, at: np.ndarray) -> np.ndarray:
+        """The centroids of lists."""
+        out = np.zeros((len(at), self.levels[0].shape[1] if self.levels else 0), np.float32)
+        for c in reversed(self.levels):
+            at, i = at // len(c), at % len(c)
+            out += c[i]
+        return out
+
+    def probe(self, x: np.ndarray, probes: int, margin: float, enough: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, group) of the groups each row of ``x`` visits: those of up to ``probes`` best lists within ``margin`` of the
+        best, and of more where those hold fewer than a part ``enough`` of all."""
+        c, g, share = self.levels[0], self.group_of[0], self.share[0]
+        s = x @ c.T
+        few = min(len(c), probes)
+        at = np.argpartition(s, -few, axis=1)[:, -few:] if few < len(c) else np.tile(np.arange(len(c)), (len(x), 1))
+        short = np.flatnonzero(share[at].sum(1) < enough)  # rows whose best lists hold too little go through all
+        row = np.r_[np.repeat(np.arange(len(x)), few), np.repeat(short, len(c))]
+        at = np.r_[at.reshape(-1), np.tile(np.arange(len(c)), len(short))]
+        once = np.ones(len(row), bool)
+        once[: len(x) * few] = ~np.isin(row[: len(x) * few], short)
+        row, at = row[once], at[once]
+        row, group, size, score = _best_of(row, g[at], share[at], s[row, at], len(x), probes, margin, enough)
+        for c, g, share in zip(self.levels[1:], self.group_of[1:], self.share[1:]):
+            t = x @ c.T
+            n = len(c)
+            score = (score[:, None] + t[row]).reshape(-1)
+            group = (group[:, None] * (int(g.max()) + 1) + g[None, :]).reshape(-1)
+            size = (size[:, None] * share[None, :]).reshape(-1)
+            row = np.repeat(row, n)
+            row, group, size, score = _best_of(row, group, size, score, len(x), probes, margin, enough)
+        pairs = np.unique(row * np.int64(self.n_groups) + group)
+        return pairs // self.n_groups, pairs % self.n_groups
+
+    def shares(self, group: np.ndarray) -> np.ndarray:
+        """The part of all vectors that groups hold, by the sample."""
+        out = np.ones(len(group))
+        for g, share in zip(reversed(self.group_of), reversed(self.share)):
+            n = int(g.max()) + 1
+            out *= np.bincount(g, weights=share, minlength=n)[group % n]
+            group = group // n
+        return out
+
+
+def _best_of(row: np.ndarray, group: np.ndarray, size: np.ndarray, score: np.ndarray, rows: int, probes: int, margin: float, enough: float) -> tuple[np.ndarray, ...]:
+    """The lists that rows go to, of candidates (row, group, size, score) that stand by row."""
+    order = np.lexsort((-score, row))
+    row, group, size, score = row[order], group[order], size[order], score[order]
+    first = np.searchsorted(row, np.arange(rows))
+    rank = np.arange(len(row)) - first[row]
+    sums = np.cumsum(size)
+    before = sums - size - (sums[first] - size[first])[row]
+    keep = (rank < probes) & (score >= score[first][row] - margin) | (before < enough)
+    return row[keep], group[keep], size[keep], score[keep]
+
+
+@dataclass(frozen=True)
+class _Cut:
+    """How groups are cut: parts of the stored vectors and blocks of the queries."""
+
+    total: int
+    part_rows: int
+    query_rows: int
+
+    def of(self, group: np.ndarray, lists: Lists) -> tuple[np.ndarray, np.ndarray]:
+        rows = lists.shares(group) * self.total
+        return np.maximum(1, np.ceil(rows / self.part_rows)).astype(np.int64), np.maximum(1, np.ceil(rows / self.query_rows)).astype(np.int64)
+
+
 class VectorIndex:
     """An index over one collection; ``scope`` keeps vectors of different scopes apart."""
 
@@ -63,66 +167,50 @@ class VectorIndex:
         self.distinct = self.rows.join(copies, "_rid", "left_anti")
         self.total = self.distinct.count()
         x = V.sample(self.distinct, self.total, settings.sample, settings.dim)
-        lists = int(min(settings.most_lists, max(1, self.total // settings.list_rows)))
-        self.lists = V.spherical_kmeans(x, lists)
-        of = V.nearest(x, self.lists)[0] if len(x) else np.zeros(0, np.int64)
-        self.books = V.codebooks(x - self.lists[of], settings.places) if len(x) else np.zeros((settings.places, 1, settings.dim // settings.places), np.float32)
-        # Near lists share a group.
-        heads = V.spherical_kmeans(self.lists, max(1, math.ceil(self.total / settings.group_rows))) if len(x) else self.lists
-        self.group = V.nearest(self.lists, heads)[0] if len(x) else np.zeros(0, np.int64)
-        #: Vectors of the sample in each list.
-        self.sizes = np.bincount(of, minlength=len(self.lists)).astype(np.float32)
-        share = np.bincount(self.group[of], minlength=len(heads)) / max(1, len(of)) * self.total
-        self.parts = np.maximum(1, np.ceil(share / settings.part_rows)).astype(np.int64)
-        self.blocks = np.maximum(1, np.ceil(share / settings.query_rows)).astype(np.int64)
+        self.lists = Lists(x, max(1, self.total // settings.list_rows), settings.words, max(1, math.ceil(self.total / settings.group_rows)))
+        empty = np.zeros((settings.places, 1, settings.dim // settings.places), np.float32)
+        self.books = V.codebooks(x - self.lists.place(x)[1], settings.places) if len(x) else empty
 
     def _stored(self) -> DataFrame:
         """Every vector with its group, part, list and codes, once for each block of the group's queries."""
-        lists, books, group, parts, blocks, dim = (self.spark.sparkContext.broadcast(x) for x in (self.lists, self.books, self.group, self.parts, self.blocks, self.s.dim))
+        lists, books = self.spark.sparkContext.broadcast(self.lists), self.spark.sparkContext.broadcast(self.books)
+        dim, cut = self.s.dim, _Cut(self.total, self.s.part_rows, self.s.query_rows)
 
         def run(batches):
             for b in batches:
-                x = V.unpack(b.column(2), dim.value)
-                of = V.nearest(x, lists.value)[0]
-                codes = V.quantise(x - lists.value[of], books.value)
-                g = group.value[of]
+                x = V.unpack(b.column(2), dim)
+                of, centroid, g = lists.value.place(x)
+                codes = V.quantise(x - centroid, books.value)
                 rid = b.column(0).to_numpy()
-                part = (rid * np.int64(0x9E3779B1) >> 7) % parts.value[g]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(of.astype(np.int32)), V.pack(codes), pa.array(g.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(blocks.value[g].astype(np.int32))], names=["_rid", "_scope", "_v", "_list", "_codes", "_g", "_part", "_nb"])
+                parts, blocks = cut.of(g, lists.value)
+                part = (rid * np.int64(0x9E3779B1) >> 7) % parts
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(of), V.pack(codes), pa.array(g), pa.array(part.astype(np.int32)), pa.array(blocks.astype(np.int32))], names=["_rid", "_scope", "_v", "_list", "_codes", "_g", "_part", "_nb"])
 
-        rows = self.distinct.select("_rid", "_scope", "_v").mapInArrow(run, "_rid long, _scope string, _v binary, _list int, _codes binary, _g int, _part int, _nb int")
+        rows = self.distinct.select("_rid", "_scope", "_v").mapInArrow(run, "_rid long, _scope string, _v binary, _list long, _codes binary, _g long, _part int, _nb int")
         return rows.withColumn("_qb", F.explode(F.expr("sequence(0, _nb - 1)"))).drop("_nb")
 
     def _asked(self, queries: DataFrame) -> DataFrame:
         """Every query in each group part that it visits."""
-        lists, group, parts, blocks, sizes = (self.spark.sparkContext.broadcast(x) for x in (self.lists, self.group, self.parts, self.blocks, self.sizes))
-        dim, probes, margin, enough = self.s.dim, self.s.probes, self.s.margin, self.s.rerank
+        lists = self.spark.sparkContext.broadcast(self.lists)
+        dim, probes, margin, cut = self.s.dim, self.s.probes, self.s.margin, _Cut(self.total, self.s.part_rows, self.s.query_rows)
+        enough = self.s.rerank / max(1, self.total)
 
         def run(batches):
             for b in batches:
                 x = V.unpack(b.column(2), dim)
                 rid = b.column(0).to_numpy()
-                for i in range(0, len(x), 4096):
-                    s = x[i : i + 4096] @ lists.value.T
-                    floor = s.max(1) - margin
-                    if s.shape[1] > probes:
-                        floor = np.maximum(floor, np.partition(s, -probes, axis=1)[:, -probes])
-                    go = s >= floor[:, None]
-                    # A query among small lists goes on to the next ones until they hold enough vectors.
-                    for few in np.flatnonzero(go @ sizes.value < enough):
-                        order = np.argsort(-s[few])
-                        go[few, order[: np.searchsorted(np.cumsum(sizes.value[order]), enough) + 1]] = True
-                    q, l = np.nonzero(go)
-                    pairs = np.unique(q * np.int64(len(parts.value)) + group.value[l])
-                    q, g = pairs // len(parts.value), pairs % len(parts.value)
-                    n = parts.value[g]
-                    q, g, first = np.repeat(q, n), np.repeat(g, n), np.repeat(np.cumsum(n) - n, n)
+                if not lists.value.levels:
+                    continue
+                for i in range(0, len(x), 1024):
+                    q, g = lists.value.probe(x[i : i + 1024], probes, margin, enough)
+                    n, blocks = cut.of(g, lists.value)
+                    q, g, blocks, first = np.repeat(q, n), np.repeat(g, n), np.repeat(blocks, n), np.repeat(np.cumsum(n) - n, n)
                     part = np.arange(len(q)) - first
                     take = pa.array(q + i)
-                    block = (rid[q + i] * np.int64(0x85EBCA6B) >> 9) % blocks.value[g]
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(g.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(block.astype(np.int32))], names=["_rid", "_scope", "_v", "_g", "_part", "_qb"])
+                    block = (rid[q + i] * np.int64(0x85EBCA6B) >> 9) % blocks
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), b.column(2).take(take), pa.array(g), pa.array(part.astype(np.int32)), pa.array(block.astype(np.int32))], names=["_rid", "_scope", "_v", "_g", "_part", "_qb"])
 
-        return queries.select("_rid", "_scope", "_v").mapInArrow(run, "_rid long, _scope string, _v binary, _g int, _part int, _qb int")
+        return queries.select("_rid", "_scope", "_v").mapInArrow(run, "_rid long, _scope string, _v binary, _g long, _part int, _qb int")
 
     def neighbours(self, queries: DataFrame, k: int = 10, floor: float | None = None) -> DataFrame:
         """(_rid, _other, _sim): the ``k`` most similar other records of each query row, of at least ``floor``.
@@ -154,7 +242,7 @@ class VectorIndex:
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             if len(x):
                 codes = V.unpack_bytes(stored.column("_codes"), books.value.shape[0])
-                approx = np.ascontiguousarray((lists.value[stored.column("_list").to_numpy()] + V.decode(codes, books.value)).T)
+                approx = np.ascontiguousarray((lists.value.centroids(stored.column("_list").to_numpy()) + V.decode(codes, books.value)).T)
                 # A product differs from its approximation by at most the length of what quantisation left out.
                 near = low - np.linalg.norm(x - approx.T, axis=1).astype(np.float32) - 1e-5
                 for i in range(0, len(q), 512):
