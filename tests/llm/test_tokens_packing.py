@@ -39,6 +39,22 @@ def test_offsets_cover_the_text():
         assert b"".join(raw[a:b] for _, a, b in spans) == raw
 
 
+def test_characters_of_bytes():
+    import numpy as np
+
+    text = "aé漢😀e\u0301"
+    raw = text.encode()
+    for a in range(len(raw)):
+        for z in range(a + 1, len(raw) + 1):
+            touched = [i for i in range(len(text)) if len(text[:i].encode()) < z and len(text[: i + 1].encode()) > a]
+            first, last = T.char_offsets(text, np.array([a]), np.array([z]))
+            assert (first[0], last[0]) == (touched[0], touched[-1] + 1)
+
+
+def test_added_tokens_are_decoded():
+    assert T.decode_ids([50256]) == "<|endoftext|>"
+
+
 def test_table(spark):
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(TEXTS)], "doc_id long, text string, ids string")
     got = {r["doc_id"]: r["ids"] for r in T.encode(df).collect()}

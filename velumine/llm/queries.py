@@ -74,6 +74,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forced.select("table_name", "item_id", F.when(F.col("_f"), "forced").otherwise("natural").alias("kind"))
 
 
+def p4_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(table_name, item_id, bytes, fits): what the pieces of each item cover without their overlaps, and whether all are within
+    the limit and repeat at most the overlap."""
+    rows = p4_pieces(spark, sf_dir)
+    most = F.when(F.col("table_name") == "documents", 6000).otherwise(1200)
+    size = F.col("end_offset") - F.col("start_offset")
+    held = (size <= most) & (F.octet_length("text") == size) & (F.col("overlap") <= 200)
+    return rows.groupBy("table_name", "item_id").agg(F.sum(size - F.col("overlap")).alias("bytes"), F.min(held).alias("fits"))
+
+
 def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.analyse_tables(load(spark, sf_dir, "documents"), load(spark, sf_dir, "chunks"))
 
@@ -124,6 +134,21 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(load(spark, sf_dir, "documents"))
 
 
+def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, chars): the text that comes back from the ids of each document, by its length and digest."""
+    back = tokens.decode(tokens.encode(load(spark, sf_dir, "documents")))
+    return back.select("doc_id", F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
+
+
+def p8_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, bytes, chars, gaps): where the last token of each document ends; tokens that do not begin where the one before
+    ends would be gaps."""
+    rows = tokens.encode_with_offsets(load(spark, sf_dir, "documents"))
+    size = F.col("end_byte") - F.col("start_byte")
+    out = rows.groupBy("doc_id").agg(F.max("end_byte").cast("long").alias("bytes"), F.max("end_char").cast("long").alias("chars"), (F.max("end_byte") - F.sum(size)).cast("long").alias("gaps"))
+    return out
+
+
 def p9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "p9")
     sizes = work.keep(tokens.count_tokens(load(spark, sf_dir, "documents")))
@@ -138,7 +163,7 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.SharedSpans(load(spark, sf_dir, "documents"), Workspace(spark, "p10")).share()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p3_clusters": p3_clusters, "p3_repairs": p3_repairs, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_clean": p5_clean, "p7_found": p7_found, "p7_knn": p7_knn, "p8_ids": p8_ids, "p9_pack": p9_pack, "p10_found": p10_found, "p10_share": p10_share}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p3_clusters": p3_clusters, "p3_repairs": p3_repairs, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_cover": p4_cover, "p5_found": p5_found, "p5_clean": p5_clean, "p7_found": p7_found, "p7_knn": p7_knn, "p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p8_offsets": p8_offsets, "p9_pack": p9_pack, "p10_found": p10_found, "p10_share": p10_share}
 
 _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+"
 _RUN = f"list_max(list_transform(regexp_split_to_array(text, '{_SPACE}'), lambda w: strlen(w)))"
@@ -177,4 +202,18 @@ s AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1), k AS (SELECT g.* FROM g J
 SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM k a JOIN k b USING (h) WHERE a.doc_id < b.doc_id
 """
 
-ORACLES: dict[str, str] = {"p3_found": P3_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL, "p10_found": P10_SQL}
+P10_SHARE_SQL = """
+WITH g AS (SELECT doc_id, i, hash(substring(text, i::BIGINT, 150)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 148)) AS i FROM documents WHERE length(text) >= 150)),
+s AS (SELECT h FROM g GROUP BY h HAVING count(DISTINCT doc_id) > 1), k AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM g WHERE h IN (SELECT h FROM s)),
+c AS (SELECT doc_id, count(*) FILTER (b IS NULL OR i > b + 150)::INT AS n_spans, sum(CASE WHEN b IS NULL THEN 150 ELSE least(150, i - b) END)::INT AS shared_chars FROM k GROUP BY 1)
+SELECT doc_id, n_spans, shared_chars, round(shared_chars / length(text)::DOUBLE, 6) AS share FROM c JOIN documents USING (doc_id)
+"""
+
+P4_COVER_SQL = """
+SELECT 'documents' AS table_name, CAST(doc_id AS VARCHAR) AS item_id, strlen(text)::BIGINT AS bytes, true AS fits FROM documents WHERE strlen(text) > 6000
+UNION ALL SELECT 'chunks', trim(id), max(strlen(text))::BIGINT, true FROM chunks WHERE strlen(text) > 1200 AND lower(trim(level)) IN ('paragraph', 'sentence') GROUP BY 2
+"""
+P8_ROUND_SQL = "SELECT doc_id, length(coalesce(text, '')) AS chars, md5(coalesce(text, '')) AS digest FROM documents"
+P8_OFFSETS_SQL = "SELECT doc_id, strlen(text)::BIGINT AS bytes, length(text) AS chars, 0::BIGINT AS gaps FROM documents WHERE text <> ''"
+
+ORACLES: dict[str, str] = {"p4_cover": P4_COVER_SQL, "p8_round_trip": P8_ROUND_SQL, "p8_offsets": P8_OFFSETS_SQL, "p10_share": P10_SHARE_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL, "p10_found": P10_SQL}
