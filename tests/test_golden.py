@@ -154,7 +154,7 @@ def test_indexes_find_the_planted(spark, name):
     rnd = random.Random(1)
     rows = [(i, [rnd.gauss(0, 1) for _ in range(16)]) for i in range(60)]
     rows.append((99, [x + 0.01 for x in rows[5][1]]))
-    options = {"ivf": {"n_lists": 4, "n_probe": 3}, "hnsw": {"n_lists": 4, "n_probe": 3}, "pq": {"m": 4, "k_sub": 16}}.get(name, {})
+    options = {"ivf": {"n_lists": 4, "n_probe": 3}, "hnsw": {"m": 4, "part_rows": 30}, "pq": {"m": 4, "k_sub": 16}}.get(name, {})
     index = indexes.create(name, dims=16, **options).fit(spark.createDataFrame(rows, "id long, embedding array<double>"))
     assert 99 in {r["id"] for r in index.search(rows[5][1], 3).collect()}
     assert index.delete(spark.createDataFrame([(99,)], "id long")).stats().first()["vectors"] == 60 if name in ("exact", "binary") else True
@@ -196,7 +196,7 @@ def test_prompts(spark):
 def test_pipeline(spark):
     df = spark.createDataFrame([(1, 0.9, "a"), (1, 0.9, "a"), (2, 0.4, "a"), (3, 0.7, "b")], "id long, similarity double, type string").withColumn("importance", F.lit(1.0))
     p = state.Pipeline("p", [("filter", {"min_relevance": 0.5}), ("deduplicate", {}), ("rank", {}), ("sort", {})])
-    assert [r["id"] for r in p.run(df).collect()] == [1, 3] and p.run(df, dry=True).count() == 0 and p.redefine(p.steps).version == 2
+    assert [r["id"] for r in p.run(df).collect()] == [1, 3] and p.run(df, dry=True).count() == 4 and p.redefine(p.steps).version == 2
     with pytest.raises(ValueError):
         state.Pipeline("p", [("none", {})])
 
@@ -207,7 +207,10 @@ def test_handles(spark):
     assert stub.startswith("res: Array(42)") and len(stub) <= 120
     assert [r["n"] for r in h.expand("res", 10, 5).collect()] == [10, 11, 12, 13, 14] and h.count("res") == 42
     h.store("other", spark.range(3), ["id"])
-    assert h.names() == ["other"] and h.search("OTH") == ["other"] and h.delete("other")
+    assert h.names() == ["other"] and [r["name"] for r in h.search("OTH").collect()] == ["other"] and h.delete("other") and not h.delete("other")
+    again = state.Handles(spark, h.root)
+    again.store("late", spark.range(1), ["id"], ttl_seconds=5, created_at=datetime(2020, 1, 1))
+    assert again.names() == [] and state.Handles(spark, h.root).search("late", now=datetime(2020, 1, 1)).count() == 1
 
 
 def test_triggers_bound(spark):

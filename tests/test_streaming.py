@@ -76,3 +76,17 @@ def test_expiring_cache(spark, events, tmp_path):
     want = {str(r["user_id"]): r["n"] for r in static.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert {k: v for k, v in n.items() if k != "-1"} == want
     assert got.filter("expired").select("key").distinct().count() == len(want)
+
+
+def test_refresh_of_centroids_and_ranks(spark, tmp_path):
+    from velumine.operators.search import centroids
+
+    vectors = spark.createDataFrame([(i, [float(i), float(-i)], i % 2) for i in range(12)], "id long, embedding array<double>, label int")
+    vectors.repartition(3).write.parquet(str(tmp_path / "v"))
+    stream = spark.readStream.schema(vectors.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "v"))
+    T.refresh_centroids(stream, "label", str(tmp_path / "c"), str(tmp_path / "k")).awaitTermination()
+    got = {r["label"]: (r["centroid"], r["n"]) for r in T.centroids_of(spark, str(tmp_path / "c"), "label").collect()}
+    want = {r["label"]: (r["centroid"], r["n"]) for r in centroids(vectors, "label").collect()}
+    assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0]) for k in want)
+    T.refresh_pagerank(stream, lambda: vectors.select("id"), str(tmp_path / "r"), str(tmp_path / "k2")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "r")).count() >= 12

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 PATTERNS = {
     "elixir": {
         "module": r"^\s*defmodule\s+([A-Z][\w.]*)",
-        "function": r"^\s*(?:def|defp|defmacro|defmacrop)\s+([a-z_]\w*[?!]?)",
+        "function": r"^\s*(?:def|defp|defmacro|defmacrop|defdelegate|defcallback)\s+([a-z_]\w*[?!]?)",
         "import": r"^\s*(?:alias|import|use|require)\s+([A-Z][\w.]*)",
     },
     "python": {
@@ -19,6 +19,8 @@ PATTERNS = {
     },
 }
 _CALL = r"([a-z_]\w*[?!]?)\("
+_QUALIFIED = r"([A-Z][A-Za-z0-9_.]*\.[a-z_][A-Za-z0-9_?!]*)\("
+_MENTION = r"(?<![\w.:@\"'])([A-Z]\w*(?:\.[A-Z]\w*)*)"
 _RESERVED = ("if", "unless", "case", "cond", "for", "while", "fn", "def", "defp", "return", "not", "and", "or", "in", "with", "raise", "print")
 
 
@@ -59,6 +61,35 @@ def calls(df: DataFrame, language: str, id_col: str = "id", source: str = "sourc
     return found.filter(F.col("caller").isNotNull() & ~F.col("callee").isin(*_RESERVED)).select("unit", "caller", "callee", "line").distinct()
 
 
+def qualified_calls(df: DataFrame, language: str, id_col: str = "id", source: str = "source_text", lang_col: str = "language") -> DataFrame:
+    """(unit, module, function, line): calls by a qualified name."""
+    found = _lines(df, id_col, source, language, lang_col).select("unit", "line", F.explode(F.regexp_extract_all("_text", F.lit(_QUALIFIED), F.lit(1))).alias("_q"))
+    return found.select("unit", F.regexp_replace("_q", r"\.[^.]*$", "").alias("module"), F.regexp_extract("_q", r"\.([^.]*)$", 1).alias("function"), "line").distinct()
+
+
+def imports(df: DataFrame, language: str, **options) -> DataFrame:
+    """(source_id, target_id, type, confidence): each text imports the modules its lines name."""
+    s = symbols(df, language, **options).filter("kind = 'import'")
+    return s.select(F.col("unit").alias("source_id"), F.concat(F.lit("module:"), "name").alias("target_id"), F.lit("imports").alias("type"), F.lit("EXTRACTED").alias("confidence")).distinct()
+
+
+def references(df: DataFrame, language: str, id_col: str = "id", source: str = "source_text", lang_col: str = "language") -> DataFrame:
+    """(source_id, target_id, type, confidence): names with a capital that a text mentions outside definitions and imports."""
+    lines = _lines(df, id_col, source, language, lang_col)
+    for kind in ("module", "class", "import"):
+        if kind in PATTERNS[language]:
+            lines = lines.filter(~F.col("_text").rlike(PATTERNS[language][kind]))
+    found = lines.select("unit", F.explode(F.regexp_extract_all("_text", F.lit(_MENTION), F.lit(1))).alias("name")).distinct()
+    return found.select(F.col("unit").alias("source_id"), F.concat(F.lit("module:"), "name").alias("target_id"), F.lit("references").alias("type"), F.lit("INFERRED").alias("confidence"))
+
+
+def relationships(df: DataFrame, language: str, nodes: DataFrame, **options) -> DataFrame:
+    """(source_id, target_id, type, confidence) of all kinds: calls, contains, imports and references of each text."""
+    made = resolve(calls(df, language, **options), nodes).select(F.col("unit").alias("source_id"), "target_id", F.lit("calls").alias("type"), "confidence")
+    inside = contains(df, language, **options).select(F.concat_ws(":", "unit", "parent").alias("source_id"), F.concat_ws(":", "unit", "child").alias("target_id"), F.lit("contains").alias("type"), F.lit("EXTRACTED").alias("confidence"))
+    return made.unionByName(inside).unionByName(imports(df, language, **options)).unionByName(references(df, language, **options)).distinct()
+
+
 def resolve(calls_: DataFrame, nodes: DataFrame) -> DataFrame:
     """(unit, caller, callee, target_id, confidence): callees by short name; unresolved ones are external and inferred."""
     known = nodes.filter(F.lower(F.btrim("type")).isin("function", "method")).groupBy(F.btrim("name").alias("callee")).agg(F.max(F.btrim("id")).alias("_t"))

@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from velumine.operators.relational import nearest_rank
 
@@ -13,6 +14,20 @@ from velumine.operators.relational import nearest_rank
 SCHEMA = "event_type string, query string, retrieved_ids array<string>, expected_ids array<string>, relevance_scores array<double>, latency_ms double, session_id string, created_at timestamp_ntz"
 
 
+def track(events: DataFrame, new: DataFrame) -> DataFrame:
+    """``events`` with new ones; columns that those lack are null, others are left out."""
+    fields = StructType.fromDDL(SCHEMA).fields
+    cols = [(F.col(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+    return events.unionByName(new.select(*cols))
+
+
+def tracked(events: DataFrame, event_type: str | None = None, session_id: str | None = None, most: int = 100) -> DataFrame:
+    """The latest events of a type and session."""
+    rows = events if event_type is None else events.filter(F.col("event_type") == event_type)
+    rows = rows if session_id is None else rows.filter(F.col("session_id") == session_id)
+    return rows.orderBy(F.desc("created_at"), "query").limit(most)
+
+
 def _hits(retrieved: Column, expected: Column) -> Column:
     return F.size(F.filter(retrieved, lambda x: F.array_contains(expected, x)))
 
@@ -23,15 +38,18 @@ def precision_at(retrieved: Column, expected: Column, k: int) -> Column:
     return F.when(F.size(retrieved) == 0, F.lit(1.0)).otherwise(F.round(F.try_divide(_hits(F.slice(retrieved, 1, k), expected).cast("double"), n), 4))
 
 
-def recall_at(retrieved: Column, expected: Column, k: int) -> Column:
-    """Hits among the first ``k`` by the expected; 1 where nothing was expected."""
-    return F.when(F.size(expected) == 0, F.lit(1.0)).otherwise(F.round(F.try_divide(_hits(F.slice(retrieved, 1, k), expected).cast("double"), F.size(expected)), 4))
+def recall_at(retrieved: Column, expected: Column, k: int, count: Column | None = None) -> Column:
+    """Hits among the first ``k`` by the expected; 1 where nothing was expected. ``count`` is how many were expected where
+    ``expected`` names only those of them that were retrieved."""
+    n = F.size(expected) if count is None else count
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.round(F.try_divide(_hits(F.slice(retrieved, 1, k), expected).cast("double"), n), 4))
 
 
-def reciprocal_rank(retrieved: Column, expected: Column) -> Column:
+def reciprocal_rank(retrieved: Column, expected: Column, count: Column | None = None) -> Column:
     """1 by the place of the first hit, 0 without one; 1 where nothing was expected."""
     at = F.array_position(F.transform(retrieved, lambda x: F.array_contains(expected, x)), True)
-    return F.when(F.size(expected) == 0, F.lit(1.0)).when(at > 0, F.round(1.0 / F.nullif(at, F.lit(0)), 4)).otherwise(F.lit(0.0))
+    n = F.size(expected) if count is None else count
+    return F.when(n == 0, F.lit(1.0)).when(at > 0, F.round(1.0 / F.nullif(at, F.lit(0)), 4)).otherwise(F.lit(0.0))
 
 
 def _dcg(scores: Column) -> Column:
@@ -45,10 +63,12 @@ def ndcg_at(scores: Column, k: int = 10) -> Column:
 
 
 def score(events: DataFrame, ks: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
-    """``events`` with precision, recall, reciprocal rank and NDCG."""
+    """``events`` with precision, recall, reciprocal rank and NDCG. With a column ``expected_count``, ``expected_ids`` need name
+    only those of the expected that were retrieved, so that no list grows with the table."""
     r, e = F.col("retrieved_ids"), F.col("expected_ids")
-    cols = {f"precision_{k}": precision_at(r, e, k) for k in ks} | {f"recall_{k}": recall_at(r, e, k) for k in ks}
-    return events.withColumns(cols | {"mrr": reciprocal_rank(r, e), "ndcg_10": ndcg_at(F.col("relevance_scores"))})
+    n = F.col("expected_count") if "expected_count" in events.columns else None
+    cols = {f"precision_{k}": precision_at(r, e, k) for k in ks} | {f"recall_{k}": recall_at(r, e, k, n) for k in ks}
+    return events.withColumns(cols | {"mrr": reciprocal_rank(r, e, n), "ndcg_10": ndcg_at(F.col("relevance_scores"))})
 
 
 def report(events: DataFrame, metrics: tuple[str, ...] = ("precision_5", "recall_5", "mrr", "ndcg_10")) -> DataFrame:

@@ -66,6 +66,25 @@ def shard_routing(chunks: DataFrame, terms_of: Callable[[Column], Column]) -> Da
     return cent.join(search.bloom_build(words, "shard_id", "term", size=100_000), "shard_id", "left")
 
 
+def shard_registry(documents: DataFrame, by: str = "shard_id", text: str = "text", ts: str = "created_at") -> DataFrame:
+    """(by, documents, bytes, latest, load): what each shard holds, and its bytes as a multiple of the mean shard's."""
+    held = documents.groupBy(by).agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes"), F.max(ts).alias("latest"))
+    mean = held.agg(F.avg("bytes").alias("_mean"))
+    return held.crossJoin(F.broadcast(mean)).withColumn("load", F.round(F.try_divide(F.col("bytes"), F.col("_mean")), 4)).drop("_mean")  # one row
+
+
+def rebalanced(documents: DataFrame, by: str = "shard_id", id_col: str = "doc_id", most: float = 1.5) -> DataFrame:
+    """``documents`` in which shards of more than ``most`` times the mean number of rows are divided: their rows get as many new
+    shards, numbered after the others, as bring them to the mean. Only the shards' counts are gathered."""
+    counts = documents.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    mean = counts.agg(F.avg("_n").alias("_mean"), F.max(by).alias("_last"))
+    cut = counts.crossJoin(F.broadcast(mean)).filter(F.col("_n") > most * F.col("_mean")).withColumn("_k", F.ceil(F.col("_n") / F.col("_mean")).cast("int"))
+    first = F.col("_last") + F.coalesce(F.sum(F.col("_k") - 1).over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per divided shard
+    cut = cut.select(by, "_k", first.alias("_first"))
+    out = documents.join(F.broadcast(cut), by, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(id_col), F.col("_k")), F.lit(0)))
+    return out.withColumn(by, F.when(F.col("_part") > 0, (F.col("_first") + F.col("_part")).cast(documents.schema[by].dataType)).otherwise(F.col(by))).drop("_k", "_first", "_part")
+
+
 def sampled_centroid(df: DataFrame, by: str, vector: str = "embedding", rows: int = 100, seed: int = 7) -> DataFrame:
     """Centroids from ``rows`` members of each group taken by a seeded hash, for a quick refresh."""
     from velumine.operators.relational import top_per_key

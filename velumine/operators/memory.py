@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,9 @@ def clean(memories: DataFrame) -> DataFrame:
     """Memories with canonical keys and types, each once."""
     cols = [c for c in memories.columns if c not in ("id", "type")]
     rows = memories.select(key("id").alias("id"), F.lower(F.btrim("type")).alias("type"), *cols).filter("id is not null")
-    return rows.dropDuplicates(["id"])
+    # Of the rows of an id the earliest counts, of equal ones the one that comes first as text.
+    best = F.min_by(F.struct("type", *cols), F.struct(F.col("created_at").isNull(), "created_at", F.to_json(F.struct("type", *[c for c in cols if c != "embedding"]))))
+    return rows.groupBy("id").agg(best.alias("_m")).select("id", "_m.*")
 
 
 def remember(memories: DataFrame, new: DataFrame) -> DataFrame:
@@ -108,7 +111,72 @@ def timeline(memories: DataFrame, session_id: str, most: int = 50) -> DataFrame:
     return memories.filter(F.col("session_id") == session_id).orderBy(F.desc_nulls_last("created_at"), "id").limit(most)
 
 
-def summarise_with(memories: DataFrame, function, schema: str, by: str = "session_id", parts: int = 16) -> DataFrame:
-    """A custom summary: ``function`` gets the rows of a salted part of each group as a pandas frame."""
-    salted = memories.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)))
-    return salted.groupBy(by, "_part").applyInPandas(function, schema)
+def touched(memories: DataFrame, hits: DataFrame, now: Column) -> DataFrame:
+    """``memories`` with the hits of a recall counted as accessed now."""
+    hit = hits.select("id").distinct().withColumn("_hit", F.lit(True))
+    out = memories.join(hit, "id", "left")
+    count = F.coalesce("access_count", F.lit(0)) + F.when(F.col("_hit"), 1).otherwise(0)
+    return out.withColumn("access_count", F.when(F.col("_hit"), count).otherwise(F.col("access_count"))).withColumn("last_accessed_at", F.when(F.col("_hit"), now).otherwise(F.col("last_accessed_at"))).drop("_hit")
+
+
+def summarise_with(memories: DataFrame, part: Callable[[pd.DataFrame], dict], merge: Callable[[list[dict]], dict], schema: str, columns: Sequence[str], by: str = "session_id") -> DataFrame:
+    """A custom summary, one row per group: ``part`` folds a salted part of a group's rows, ``merge`` the few parts."""
+    from velumine.operators.relational import folded
+
+    return folded(memories, [by], columns, part, merge, schema)
+
+
+class Fabric:
+    """Memories that agents share: nodes (id, agent_id, content, created_at) and links (source_id, target_id, type). Operations
+    return a new fabric."""
+
+    NODES = "id string, agent_id string, kind string, content string, created_at timestamp_ntz"
+    LINKS = "source_id string, target_id string, type string, created_at timestamp_ntz"
+
+    def __init__(self, nodes: DataFrame, links: DataFrame) -> None:
+        self.nodes, self.links = nodes, links
+
+    @classmethod
+    def empty(cls, spark) -> Fabric:
+        return cls(spark.createDataFrame([], cls.NODES), spark.createDataFrame([], cls.LINKS))
+
+    def write(self, rows: DataFrame) -> Fabric:
+        """With memories (agent_id, content, created_at, optionally kind); a memory's id is a hash of what it says and when."""
+        kind = F.col("kind") if "kind" in rows.columns else F.lit("memory")
+        new = rows.select(F.left(F.sha2(F.concat_ws("\u0001", "agent_id", "content", F.col("created_at").cast("string")), 256), F.lit(16)).alias("id"), "agent_id", kind.alias("kind"), "content", "created_at")
+        new = new.dropDuplicates(["id"]).join(self.nodes.select("id"), "id", "left_anti")
+        return Fabric(self.nodes.unionByName(new), self.links)
+
+    def link(self, rows: DataFrame) -> Fabric:
+        """With links (source_id, target_id, type, created_at) whose ends are there."""
+        ids = self.nodes.select("id")
+        new = rows.select("source_id", "target_id", "type", "created_at").join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
+        new = new.dropDuplicates(["source_id", "target_id", "type"]).join(self.links, ["source_id", "target_id", "type"], "left_anti")
+        return Fabric(self.nodes, self.links.unionByName(new.select(self.links.columns)))
+
+    def record(self, rows: DataFrame) -> Fabric:
+        """With actions (agent_id, action, target_id, created_at): memories of kind ``action``, each linked to its target."""
+        acts = rows.select("agent_id", F.col("action").alias("content"), "created_at", F.lit("action").alias("kind"), "target_id")
+        made = self.write(acts.drop("target_id"))
+        ids = acts.join(made.nodes.filter("kind = 'action'").select("id", "agent_id", "content", "created_at"), ["agent_id", "content", "created_at"])
+        return made.link(ids.select(F.col("id").alias("source_id"), "target_id", F.lit("acts_on").alias("type"), "created_at"))
+
+    def read(self, agent_id: str, words: Sequence[str] = (), most: int = 20) -> DataFrame:
+        """An agent's latest memories that hold any of ``words``."""
+        cond = F.lit(not words)
+        for w in words:
+            cond = cond | F.col("content").ilike(f"%{w}%")
+        return self.nodes.filter((F.col("agent_id") == agent_id) & cond).orderBy(F.desc("created_at"), "id").limit(most)
+
+    def timeline(self, agent_id: str, most: int = 50) -> DataFrame:
+        return self.read(agent_id, most=most)
+
+    def context(self, agent_id: str, most: int = 10) -> DataFrame:
+        """(id, content, linked): an agent's latest memories with the ids one link away, at most ten each."""
+        from velumine.operators.relational import top_per_key
+
+        own = self.read(agent_id, most=most).select("id", "content")
+        out = self.links.select(F.col("source_id").alias("id"), F.col("target_id").alias("other"))
+        both = out.unionByName(self.links.select(F.col("target_id").alias("id"), F.col("source_id").alias("other"))).join(own.select("id"), "id", "left_semi").distinct()
+        few = top_per_key(both, ["id"], [F.asc("other")], 10, salt="other").groupBy("id").agg(F.array_sort(F.collect_list("other")).alias("linked"))
+        return own.join(few, "id", "left").select("id", "content", F.coalesce("linked", F.array().cast("array<string>")).alias("linked"))

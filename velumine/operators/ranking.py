@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from velumine.session import Workspace
+
 #: Default weights of the scorers.
 WEIGHTS = {"vector": 0.6, "pagerank": 0.2, "freshness": 0.1, "text_match": 0.1}
 
@@ -47,15 +49,26 @@ def max_score(scores: Mapping[str, Column]) -> Column:
     return F.greatest(*scores.values()) if len(scores) > 1 else next(iter(scores.values()))
 
 
-def reciprocal_rank_fusion(df: DataFrame, scores: Sequence[str], id_col: str, k: int = 60, bound: int = 100_000) -> DataFrame:
-    """``df`` with ``rrf``: the sum of 1 / (k + rank) over the scores. Ranks are global, so ``df`` must be a candidate set
-    of at most ``bound`` rows, which is checked."""
-    if df.limit(bound + 1).count() > bound:
-        raise ValueError(f"more than {bound} candidates")
-    total = F.lit(0.0)
-    for s in scores:
-        total = total + F.lit(1.0) / (F.lit(float(k)) + F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last(s), id_col)))
-    return df.withColumn("rrf", total)
+def global_rank(df: DataFrame, score: str, id_col: str, rank: str, workspace: Workspace) -> DataFrame:
+    """``df`` with its place by a score, the highest first and nulls last, ties by id. Rows are ordered in ranges, counted, and
+    numbered within their range behind the counts of those before, so no task sees all rows. The ranges are kept, since they
+    are drawn from a sample and must not change between the count and the numbering."""
+    order = [F.desc_nulls_last(score), F.asc(id_col)]
+    ranged = workspace.keep(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row per range
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    placed = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return placed.join(F.broadcast(before), "_part").withColumn(rank, F.col("_before") + F.col("_r")).drop("_part", "_before", "_r")
+
+
+def reciprocal_rank_fusion(df: DataFrame, scores: Sequence[str], id_col: str, k: int = 60, workspace: Workspace | None = None) -> DataFrame:
+    """``df`` with ``rrf``: the sum of 1 / (k + rank) over the scores. Ranks are global."""
+    out, total = df, F.lit(0.0)
+    work = workspace or Workspace(df.sparkSession, "rrf")
+    for i, s in enumerate(scores):
+        out = global_rank(out, s, id_col, f"_rank{i}", work)
+        total = total + F.lit(1.0) / (F.lit(float(k)) + F.col(f"_rank{i}"))
+    return out.withColumn("rrf", total).drop(*[f"_rank{i}" for i in range(len(scores))])
 
 
 @dataclass

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +17,10 @@ WINDOWS = {"hour": 3_600, "day": 86_400, "week": 604_800, "month": 2_592_000}
 
 #: Languages by file extension.
 LANGUAGES = {
-    "ex": "elixir", "exs": "elixir", "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go",
-    "rs": "rust", "rb": "ruby", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "cs": "csharp", "kt": "kotlin", "swift": "swift", "php": "php",
+    "ex": "elixir", "exs": "elixir", "heex": "elixir", "py": "python", "pyi": "python", "rs": "rust", "go": "go",
+    "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript",
+    "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "rb": "ruby", "sql": "sql",
+    "sh": "bash", "bash": "bash", "yml": "yaml", "yaml": "yaml", "json": "json", "md": "markdown",
 }
 
 
@@ -104,6 +108,33 @@ def nearest_rank(df: DataFrame, by: str, value: str, ranks: Mapping[str, float])
     return placed.groupBy(by).agg(*out)
 
 
+def video_id(url: Column) -> Column:
+    """The eleven places of a video's id in its address (watch?v=, a short link, embed, shorts), or null."""
+    return F.nullif(F.regexp_extract(url, r"(?:[?&]v=|youtu\.be/|/embed/|/shorts/)([A-Za-z0-9_-]{11})(?![A-Za-z0-9_-])", 1), F.lit(""))
+
+
+def urls(text: Column) -> Column:
+    """The addresses in a text, each once, in their order."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(https?://[^\s<>()\[\]{}\"'`|\\^]+)"), F.lit(1)))
+
+
+def folded(df: DataFrame, by: Sequence[str], columns: Sequence[str], part: Callable[[pd.DataFrame], dict], merge: Callable[[list[dict]], dict], schema: str, salt: int = 16) -> DataFrame:
+    """A custom aggregate: ``part`` folds the rows of a salted part of each group to a dictionary, ``merge`` the few of a group
+    to the row of ``schema`` (behind the columns of ``by``), so that no task holds a hot group."""
+    keys, cols = list(by), list(columns)
+    salted = df.select(*keys, *cols, F.pmod(F.xxhash64(*cols), F.lit(salt)).cast("int").alias("_part"))
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def first(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[*key[:-1], pickle.dumps(part(rows[cols]))]], columns=[*keys, "_state"])
+
+    def second(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{**dict(zip(keys, key)), **merge([pickle.loads(x) for x in rows["_state"]])}])
+
+    partial = salted.groupBy(*keys, "_part").applyInPandas(first, f"{kinds}, _state binary")
+    return partial.groupBy(*keys).applyInPandas(second, f"{kinds}, {schema}")
+
+
 def geometric_mean(col: str) -> Column:
     """An aggregate composed of others: exp of the mean logarithm."""
     return F.exp(F.avg(F.ln(col)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from velumine.functions.text import key
 from velumine.operators import search
 from velumine.operators.relational import merge_hits
+from velumine.operators.state import Handles
+from velumine.session import Workspace
 
 
 def ground(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -37,8 +40,10 @@ def highlight(doc_text: Column, start: Column, end: Column) -> Column:
 
 def neighbours(hits: DataFrame, chunks: DataFrame, window: int = 1) -> DataFrame:
     """(hit_id, id, distance): the chunks of the same document and level within ``window`` places of each hit."""
+    # Only documents that hold a hit are numbered.
+    docs = chunks.join(hits.select("id").distinct(), "id", "left_semi").select("doc_id").distinct()
     order = Window.partitionBy("doc_id", "level").orderBy("start_offset", "id")
-    placed = chunks.select("id", "doc_id", "level", F.row_number().over(order).alias("_n"))
+    placed = chunks.join(docs, "doc_id", "left_semi").select("id", "doc_id", "level", F.row_number().over(order).alias("_n"))
     h = hits.select(F.col("id").alias("hit_id")).join(placed.withColumnRenamed("id", "hit_id"), "hit_id")
     wanted = h.select("hit_id", "doc_id", "level", "_n", F.explode(F.sequence(F.col("_n") - window, F.col("_n") + window)).alias("_m"))
     near = wanted.join(placed.withColumnRenamed("_n", "_m"), ["doc_id", "level", "_m"])
@@ -56,21 +61,49 @@ def assemble(chunks: Column, budget: int = 4000) -> Column:
     return F.array_join(F.aggregate(chunks, zero, step, lambda a: a["out"]), "\n\n")
 
 
-def retrieve(chunks: DataFrame, query: Sequence[float], k: int = 5, floor: float = 0.3, budget: int = 4000, terms: Sequence[str] = ()) -> DataFrame:
-    """(context, sources, tokens): context for a query vector, by keywords at similarity 0.5 where vectors find nothing."""
-    hits = search.knn(chunks, query, k, floor=floor).select("id", "text", "similarity")
-    if terms:
-        cond = F.lit(False)
-        for t in terms:
-            cond = cond | F.col("text").ilike(f"%{t}%")
-        words = chunks.filter(cond).select("id", "text", F.lit(0.5).alias("similarity")).orderBy("id").limit(k)
-        hits = hits.unionByName(words.join(hits.select(F.lit(1).alias("_x")).limit(1), F.lit(True), "left_anti"))
+def find(chunks: DataFrame, query: Sequence[float], workspace: Workspace, k: int = 5, floor: float = 0.3, terms: Sequence[str] = ()) -> DataFrame:
+    """(id, text, similarity): the best chunks for a query vector, by keywords at similarity 0.5 where vectors find nothing."""
+    hits = workspace.keep(search.knn(chunks, query, k, floor=floor).select("id", "text", "similarity"))
+    if not terms or not hits.isEmpty():
+        return hits
+    cond = F.lit(False)
+    for t in terms:
+        cond = cond | F.col("text").ilike(f"%{t}%")
+    return chunks.filter(cond).select("id", "text", F.lit(0.5).alias("similarity")).orderBy("id").limit(k)
+
+
+def expand(hits: DataFrame, chunks: DataFrame, window: int = 1) -> DataFrame:
+    """``hits`` with their text between those of their neighbours of the same document and level."""
+    near = neighbours(hits, chunks, window).join(chunks.select("id", F.col("text").alias("_t")), "id").filter("_t is not null")
+    own = hits.select(F.col("id").alias("hit_id"), F.lit(0).alias("distance"), F.col("text").alias("_t"))
+    every = near.select("hit_id", "distance", "_t").unionByName(own)
+    text = every.groupBy("hit_id").agg(F.array_sort(F.collect_list(F.struct("distance", "_t"))).alias("_all"))  # at most 2 * window + 1
+    joined = text.select(F.col("hit_id").alias("id"), F.array_join(F.transform("_all", lambda x: x["_t"]), "\n").alias("text"))
+    return hits.drop("text").join(joined, "id")
+
+
+def context_of(hits: DataFrame, budget: int = 4000) -> DataFrame:
+    """(context, sources, tokens) of a few hits, the most similar first."""
     best = F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("_s"), "id", "text")))  # at most k rows
     out = hits.agg(best.alias("_h"))
     context = assemble(F.transform("_h", lambda h: h["text"]), budget)
     return out.select(context.alias("context"), F.transform("_h", lambda h: h["id"]).alias("sources"), F.floor(F.length(context) / 4).cast("long").alias("tokens"))
 
 
+def retrieve(chunks: DataFrame, query: Sequence[float], k: int = 5, floor: float = 0.3, budget: int = 4000, terms: Sequence[str] = (), all_chunks: DataFrame | None = None, workspace: Workspace | None = None) -> DataFrame:
+    """(context, sources, tokens): context for a query vector; with ``all_chunks`` each hit stands between its neighbours."""
+    hits = find(chunks, query, workspace or Workspace(chunks.sparkSession, "rag"), k, floor, terms)
+    return context_of(hits if all_chunks is None else expand(hits, all_chunks), budget)
+
+
+def compressed(handles: Handles, asked: str, hits: DataFrame) -> str:
+    """The stub of a retrieval: its hits are stored under a name made of the question, to be expanded on demand."""
+    if hits.isEmpty():
+        return "$rag_empty: Array(0) []"
+    name = "$rag_" + re.sub("[^a-z0-9]+", "_", asked.lower()).strip("_")[:40]
+    return handles.store(name, hits, ["id"], ttl_seconds=600)
+
+
 def hybrid(chunks: DataFrame, query: Sequence[float], terms: Sequence[str], k: int = 5) -> DataFrame:
     """Twice ``k`` vector hits, then keyword hits that they lack, cut to ``k``."""
     v = search.knn(chunks, query, 2 * k).select("id")

@@ -39,9 +39,11 @@ def _events(spark: SparkSession, sf_dir: str, asked: str = "vec_id < 20") -> Dat
     ql = df.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
     rows = found.join(labels, "id").join(ql, "query_id")
     got = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", (F.col("label") == F.col("ql")).cast("double").alias("rel")))).alias("_r"))
-    want = df.filter(asked).select(F.col("vec_id").alias("query_id"), "label").join(labels, "label").filter("id <> query_id").groupBy("query_id").agg(F.array_sort(F.collect_list("id")).alias("expected_ids"))
+    sizes = df.groupBy(F.col("label").alias("ql")).agg(F.count(F.lit(1)).alias("_n"))
+    want = ql.join(sizes, "ql").select("query_id", (F.col("_n") - 1).alias("expected_count"))
     out = got.join(want, "query_id")
-    return out.select(F.col("query_id").alias("query"), F.lit("knn").alias("event_type"), F.transform("_r", lambda x: x["id"]).alias("retrieved_ids"), "expected_ids", F.transform("_r", lambda x: x["rel"]).alias("relevance_scores"))
+    hits = F.transform(F.filter("_r", lambda x: x["rel"] == 1.0), lambda x: x["id"])
+    return out.select(F.col("query_id").alias("query"), F.lit("knn").alias("event_type"), F.transform("_r", lambda x: x["id"]).alias("retrieved_ids"), hits.alias("expected_ids"), "expected_count", F.transform("_r", lambda x: x["rel"]).alias("relevance_scores"))
 
 
 _METRICS = """round(length(list_filter(list_slice(retrieved, 1, 5), lambda x: list_contains(expected, x))) / 5.0::DOUBLE, 4) AS precision_5,

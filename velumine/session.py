@@ -46,9 +46,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder in ``spark.checkpoint.dir``; a temporary one only where the setting is absent (tests)."""
+    """The shared folder in ``spark.checkpoint.dir``; a temporary one only where the setting is absent and all runs on this
+    machine (tests). On a cluster, tables in a folder of one machine would be lost to the others, so that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         local = tempfile.mkdtemp(prefix="velumine-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         root = f"file://{local}"

@@ -23,6 +23,32 @@ def read_text(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return rows.select("path", "text", F.octet_length("text").alias("bytes"), F.size(F.split("text", "\n")).alias("lines"))
 
 
+def read_batch(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, status, text, error): one row per path asked for. ``status`` is ``ok`` or ``error``, for files that are missing or
+    are no UTF-8 text; one of them does not keep the others from being read."""
+    asked = spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "path string")
+    jvm, there = spark.sparkContext._jvm, []
+    for p in dict.fromkeys(paths):
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            there.append(p)
+    if not there:
+        return asked.select("path", F.lit("error").alias("status"), F.lit(None).cast("string").alias("text"), F.lit("not found").alias("error"))
+    bare = lambda c: F.regexp_replace(c, r"^file:/+", "/")
+    files = spark.read.format("binaryFile").load(there).select(bare(F.col("path")).alias("_k"), "content")
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
+    rows = asked.withColumn("_k", bare(F.col("path"))).join(files, "_k", "left")
+    error = F.when(F.col("content").isNull(), "not found").when(text.isNull(), "not UTF-8")
+    return rows.select("path", F.when(error.isNull(), "ok").otherwise("error").alias("status"), text.alias("text"), error.alias("error"))
+
+
+def read_prefix(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
+    """``read_batch`` of all files below a prefix, on any Hadoop file system, listed by the readers and not by the driver."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root.rstrip('/')}/{prefix}*")
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
+    return files.select("path", F.when(text.isNotNull(), "ok").otherwise("error").alias("status"), text.alias("text"), F.when(text.isNull(), "not UTF-8").alias("error"))
+
+
 def strip_html(text: Column) -> Column:
     """Text of HTML: scripts and styles dropped, tags and numeric entities to blanks, five entities decoded, blanks collapsed."""
     t = F.regexp_replace(text, r"(?is)<(script|style)\b[^>]*>.*?</(?:script|style)>", " ")

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -76,6 +76,42 @@ def expiring_cache(df: DataFrame, key: str, ts: str = "ts", value: str = "value"
     return rows.groupBy("key").applyInPandasWithState(run, "key string, value double, updates long, expired boolean", _STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
+def scheduled(df: DataFrame, action: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Calls ``action`` with each micro-batch of new rows and its number, every so often or, without ``every``, until what is
+    there has been read: a refresh of centroids, or of ranks, whenever rows have arrived."""
+    writer = df.writeStream.foreachBatch(action).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def refresh_centroids(df: DataFrame, by: str, path: str, checkpoint: str, vector: str = "embedding", every: str | None = None) -> StreamingQuery:
+    """Keeps the sums and counts of each group in ``path`` up to date as vectors arrive, one folder per micro-batch, so that a
+    batch that runs again replaces itself; ``centroids_of`` reads them."""
+    from velumine.operators.search import centroids
+
+    def action(batch: DataFrame, number: int) -> None:
+        centroids(batch, by, vector).drop("centroid_norm").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return scheduled(df, action, checkpoint, every)
+
+
+def centroids_of(spark: SparkSession, path: str, by: str) -> DataFrame:
+    """(by, centroid, n) of all batches so far."""
+    rows = spark.read.parquet(path).select(by, "n", F.posexplode("centroid").alias("pos", "x"))
+    means = rows.groupBy(by, "pos").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("m"), F.sum("n").alias("n"))
+    out = means.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("_p"), F.max("n").alias("n"))  # one vector
+    return out.select(by, F.transform("_p", lambda p: p["m"]).alias("centroid"), "n")
+
+
+def refresh_pagerank(edges: DataFrame, make: Callable[[], DataFrame], path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Writes ``make()``, the ranks of the whole graph, anew whenever edges have arrived."""
+
+    def action(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            make().write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return scheduled(edges, action, checkpoint, every)
+
+
 def upsert_sink(df: DataFrame, path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda d: d) -> StreamingQuery:
     """Writes each micro-batch under its number, so that a batch that runs again replaces itself."""
 
