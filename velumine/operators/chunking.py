@@ -1,31 +1,39 @@
 """Cutting texts into chunks, with offsets in bytes or characters and links to parents.
 
-All strategies are column expressions over arrays, so a chunking is one scan and one generate. Null texts give no chunks.
+Strategies are column expressions over arrays, so a chunking is one scan and one generate; the hierarchy, whose offsets are
+running sums, reads each text once over Arrow batches. Null texts give no chunks.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The boundaries of paragraphs and sentences; white space is that of ASCII.
 PARAGRAPH = r"\n\s*\n"
 SENTENCE = r"(?<=[.!?])\s+(?=[A-Z])"
 
 
-def _located(text: Column, separator: str) -> Column:
-    """Array of (part, start, end) in bytes. Pieces are matched with the separator behind them, so offsets are running sums
-    of their sizes and the text is read once; parts are the pieces without surrounding white space."""
-    pieces = F.regexp_extract_all(text, F.lit(f"(?s).+?(?:{separator}|\\z)"), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<part:string,start:int,end:int>>").alias("out"))
+_BLANK = " \t\n\r\x0b\x0c"
 
-    def step(acc: Column, piece: Column) -> Column:
-        bare = F.regexp_replace(piece, r"^\s+", "")
-        part = F.regexp_replace(bare, r"\s+$", "")
-        start = (acc["at"] + F.octet_length(piece) - F.octet_length(bare)).cast("int")
-        entry = F.struct(part.alias("part"), start.alias("start"), (start + F.octet_length(part)).cast("int").alias("end"))
-        return F.struct((acc["at"] + F.octet_length(piece)).cast("int").alias("at"), F.when(part == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(entry))).alias("out"))
 
-    return F.aggregate(pieces, zero, step, lambda acc: acc["out"])
+def located(text: str, separator: re.Pattern[str]) -> Iterator[tuple[str, int, int]]:
+    """(part, start, end) of the parts between separators, without surrounding white space; offsets in bytes."""
+    at = byte = 0
+    for m in [*separator.finditer(text), None]:
+        piece = text[at : m.end() if m else len(text)]
+        bare = piece.lstrip(_BLANK)
+        part = bare.rstrip(_BLANK)
+        size = len(piece.encode("utf-8", "surrogatepass"))
+        if part:
+            start = byte + len(piece) - len(bare)  # white space is one byte each
+            yield part, start, start + len(part.encode("utf-8", "surrogatepass"))
+        byte += size
+        at += len(piece)
 
 
 def _parts(text: Column, pattern: str) -> Column:
@@ -39,14 +47,23 @@ def hierarchy(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     Offsets are UTF-8 bytes. A sentence's parent is its paragraph, a paragraph's the document.
     """
     doc = df.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text).alias("_t")).filter("_t is not null and _t <> ''")
-    root = F.concat("doc_id", F.lit(":d:0"))
-    top = doc.select(root.alias("id"), "doc_id", F.lit(None).cast("string").alias("parent_id"), F.lit("document").alias("level"), F.col("_t").alias("text"), F.lit(0).alias("start_offset"), F.octet_length("_t").cast("int").alias("end_offset"))
-    para = doc.select("doc_id", root.alias("parent_id"), F.explode(_located(F.col("_t"), PARAGRAPH)).alias("p"))
-    para = para.select(F.concat("doc_id", F.lit(":p:"), "p.start").alias("id"), "doc_id", "parent_id", F.lit("paragraph").alias("level"), F.col("p.part").alias("text"), F.col("p.start").alias("start_offset"), F.col("p.end").alias("end_offset"))
-    sent = para.select("doc_id", F.col("id").alias("parent_id"), F.col("start_offset").alias("_base"), F.explode(_located(F.col("text"), SENTENCE)).alias("s"))
-    start = F.col("_base") + F.col("s.start")
-    sent = sent.select(F.concat("doc_id", F.lit(":s:"), start).alias("id"), "doc_id", "parent_id", F.lit("sentence").alias("level"), F.col("s.part").alias("text"), start.alias("start_offset"), (F.col("_base") + F.col("s.end")).alias("end_offset"))
-    return top.unionByName(para).unionByName(sent)
+    paragraph, sentence = re.compile(PARAGRAPH, re.ASCII), re.compile(SENTENCE, re.ASCII)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for doc_id, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                root = f"{doc_id}:d:0"
+                rows.append((root, doc_id, None, "document", t, 0, len(t.encode("utf-8", "surrogatepass"))))
+                for part, start, end in located(t, paragraph):
+                    name = f"{doc_id}:p:{start}"
+                    rows.append((name, doc_id, root, "paragraph", part, start, end))
+                    rows += [(f"{doc_id}:s:{start + a}", doc_id, name, "sentence", s, start + a, start + z) for s, a, z in located(part, sentence)]
+            cols = list(zip(*rows)) if rows else [[]] * 7
+            kinds = [pa.string()] * 5 + [pa.int32()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "doc_id", "parent_id", "level", "text", "start_offset", "end_offset"])
+
+    return doc.mapInArrow(run, "id string, doc_id string, parent_id string, level string, text string, start_offset int, end_offset int")
 
 
 def paragraphs(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 50) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf, udtf
@@ -130,21 +131,29 @@ def edge_blooms(edges: DataFrame, by: str = "type", size: int = 100_000, hashes:
 def within_budget(df: DataFrame, by: str, order: Sequence[str], rate: float, burst: float, ts: str = "ts") -> DataFrame:
     """``df`` with ``allowed``: a token bucket per key that fills by ``rate`` a second up to ``burst``.
 
-    Sequential within a key, so each key's requests are read in order by one task; keys are spread.
+    What a request is allowed depends on those before it, so a key's requests are read in order; they pass through a task batch
+    by batch, with one level kept, so a key of any size takes no more memory than a batch.
     """
     schema = StructType([*df.schema.fields, StructField("allowed", BooleanType())])
+    keys = df.columns.index(by)
+    seconds = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz")) / 1e6
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order), kind="stable").reset_index(drop=True)
-        level, last, out = burst, None, []
-        for t in rows[ts]:
-            level = burst if last is None else min(burst, level + (t - last).total_seconds() * rate)
-            last = t
-            out.append(level >= 1)
-            level -= level >= 1
-        return rows.assign(allowed=out)
-
-    return df.groupBy(by).applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, level, last = object(), burst, None
+        for b in batches:
+            out = []
+            for k, t in zip(b.column(keys).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                if k != key:
+                    key, level = k, burst
+                elif t is not None and last is not None:
+                    level = min(burst, level + (t - last) * rate)
+                last = t
+                out.append(level >= 1)
+                level -= level >= 1
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.bool_())], names=[*b.schema.names[:-1], "allowed"])
+
+    sorted_ = df.withColumn("_seconds", seconds).repartition(by).sortWithinPartitions(by, *order)
+    return sorted_.mapInArrow(run, schema)
 
 
 @udtf(returnType="chunk_index: int, start_offset: int, text: string")
