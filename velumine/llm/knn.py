@@ -3,7 +3,8 @@
 Coarse centroids and codebooks are fitted on a bounded sample of vectors; every vector is indexed. Where a sample can't give as
 many centroids as the collection needs lists, the residuals are quantised again, by words that all lists share, so that the
 number of lists grows with the collection without an end (``Lists``). Near lists form groups of bounded size, the unit of
-work; a group that holds more is salted into parts. A query goes to the groups of the lists it probes. There, approximate
+work; a group that holds more is salted into parts. A query goes to the groups of the lists it probes; one that asks for all
+vectors of at least some cosine goes to every group that can hold one, which distances tell exactly. There, approximate
 similarities are its asymmetric distance tables against the codes: the sums over all code places are taken as one product of
 the query with the decoded residuals, plus its product with the coarse centroid, which are the same numbers. The best of them
 are reranked by the exact vectors. Groups of queries are cut into blocks too, so that neither side of a task grows with the
@@ -49,7 +50,12 @@ class Settings:
 
 class Lists:
     """Inverted lists: a vector's list is the nearest coarse centroid, the nearest word to what that leaves, and so on, for as
-    many levels as it takes to have about ``want`` lists. Lists of one group share the groups of their centroids and words."""
+    many levels as it takes to have about ``want`` lists. Lists of one group share the groups of their centroids and words.
+
+    Vectors farther than ``edge`` from their coarse centroid have groups of their own, by coarse centroid alone: they are few and
+    have many centroids about as near, so a query among them would visit all groups otherwise. ``edge`` stands where the
+    distances of the sample are thinnest.
+    """
 
     def __init__(self, x: np.ndarray, want: int, words: int, groups: int) -> None:
         self.levels: list[np.ndarray] = []
@@ -60,26 +66,43 @@ class Lists:
             k = int(min(most, max(1, -(-want // lists))))
             c = V.spherical_kmeans(rest, k) if not self.levels else V.codebooks(rest, 1, words=k)[0]
             at = V.nearest(rest, c)[0] if not self.levels else V.quantise_part(rest, c)
-            g = int(min(len(c), max(1, -(-groups // self.n_groups))))
+            g = int(min(len(c), max(1, -(-groups // self.n_inner))))
             heads = V.spherical_kmeans(c, g) if not self.levels else V.codebooks(c, 1, words=g)[0]
             self.group_of.append(V.nearest(c, heads)[0] if not self.levels else V.quantise_part(c, heads))
             self.share.append(np.bincount(at, minlength=len(c)) / max(1, len(at)))
             self.levels.append(c)
             rest, lists = rest - c[at], lists * len(c)
+            if len(self.levels) == 1:
+                away = np.sqrt((rest * rest).sum(1))
+                at_most = np.quantile(away, np.linspace(0.5, 0.99, 50))
+                near = [(np.abs(away - t) <= 0.1).mean() for t in at_most]
+                self.edge = float(at_most[int(np.argmin(near))])
+                out = away > self.edge
+                heads = V.spherical_kmeans(c, int(min(len(c), max(1, math.ceil(groups * out.mean())))))
+                self.outer_of = V.nearest(c, heads)[0]
+                self.outer_share = np.bincount(self.outer_of[at[out]], minlength=int(self.outer_of.max()) + 1) / len(at)
+                inner = np.bincount(at[~out], minlength=len(c)) / len(at)
+                self.share[0] = inner
             if len(c) < 2:
                 break
 
     @property
-    def n_groups(self) -> int:
+    def n_inner(self) -> int:
         return math.prod(int(g.max()) + 1 for g in self.group_of)
 
+    @property
+    def n_groups(self) -> int:
+        return self.n_inner + (len(self.outer_share) if self.levels else 0)
+
     def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(list, centroid, group) of each vector."""
         at, group, centroid = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64), np.zeros_like(x)
         for n, (c, g) in enumerate(zip(self.levels, self.group_of)):
             i = V.nearest(x, c)[0] if not n else V.quantise_part(x - centroid, c)
+            if not n:
+                out, outer = np.sqrt(((x - c[i]) ** 2).sum(1)) > self.edge, self.outer_of[i]
             at, group, centroid = at * len(c) + i, group * (int(g.max()) + 1) + g[i], centroid + c[i]
-        return at, centroid, group
+        return at, centroid, np.where(out, self.n_inner + outer, group) if self.levels else group
 
     def centroids(self, at: np.ndarray) -> np.ndarray:
         """The centroids of lists."""
@@ -102,7 +125,9 @@ class Lists:
         once = np.ones(len(row), bool)
         once[: len(x) * few] = ~np.isin(row[: len(x) * few], short)
         row, at = row[once], at[once]
-        row, group, size, score = _best_of(row, g[at], share[at], s[row, at], len(x), probes, margin, enough)
+        share = share + self.outer_share[self.outer_of] / np.bincount(self.outer_of)[self.outer_of]
+        row, at, size, score = _best_of(row, at, share[at], s[row, at], len(x), probes, margin, enough)
+        beyond, group = np.unique(row * np.int64(self.n_groups) + self.n_inner + self.outer_of[at]), g[at]
         for c, g, share in zip(self.levels[1:], self.group_of[1:], self.share[1:]):
             t = x @ c.T
             n = len(c)
@@ -111,16 +136,53 @@ class Lists:
             size = (size[:, None] * share[None, :]).reshape(-1)
             row = np.repeat(row, n)
             row, group, size, score = _best_of(row, group, size, score, len(x), probes, margin, enough)
-        pairs = np.unique(row * np.int64(self.n_groups) + group)
+        pairs = np.union1d(row * np.int64(self.n_groups) + group, beyond)
+        return pairs // self.n_groups, pairs % self.n_groups
+
+    def reach(self, x: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, group) of every group that holds a vector of a cosine of at least ``floor`` with a row of ``x``.
+
+        Such a vector is at most e away from the row, so its nearest word is at most 2 e farther from the row than the row's own
+        nearest one, and its distance to that word differs by at most e from the row's to its own. That holds at every level, for
+        the rests that the words before leave, and leaves no list out.
+        """
+        e = math.sqrt(max(0.0, 2 - 2 * floor)) + 1e-3
+        row, group, centroid = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros((len(x), x.shape[1]), np.float32)
+        beyond = np.zeros(0, np.int64)
+        for n, (c, g) in enumerate(zip(self.levels, self.group_of)):
+            rows, groups, centroids, outer = [], [], [], []
+            for i in range(0, len(row), 2048):
+                part = slice(i, i + 2048)
+                rest = x[row[part]] - centroid[part]
+                d = np.sqrt(np.maximum(0, (rest * rest).sum(1)[:, None] - 2 * rest @ c.T + (c * c).sum(1)[None, :]))
+                best = d.min(1)
+                r, at = np.nonzero(d <= best[:, None] + 2 * e)
+                if not n:
+                    far = best[r] + e >= self.edge
+                    outer.append(row[part][r[far]] * np.int64(self.n_groups) + self.n_inner + self.outer_of[at[far]])
+                    near = best[r] - e <= self.edge
+                    r, at = r[near], at[near]
+                rows.append(row[part][r])
+                groups.append(group[part][r] * (int(g.max()) + 1) + g[at])
+                centroids.append(centroid[part][r] + c[at])
+            if not n:
+                beyond = np.concatenate([beyond, *outer])
+            row, group = np.concatenate([np.zeros(0, np.int64), *rows]), np.concatenate([np.zeros(0, np.int64), *groups])
+            centroid = np.concatenate([np.zeros((0, x.shape[1]), np.float32), *centroids])
+        pairs = np.union1d(row * np.int64(self.n_groups) + group, beyond)
         return pairs // self.n_groups, pairs % self.n_groups
 
     def shares(self, group: np.ndarray) -> np.ndarray:
         """The part of all vectors that groups hold, by the sample."""
+        if not self.levels:
+            return np.ones(len(group))
+        beyond, outside = group - self.n_inner, group >= self.n_inner
         out = np.ones(len(group))
         for g, share in zip(reversed(self.group_of), reversed(self.share)):
             n = int(g.max()) + 1
             out *= np.bincount(g, weights=share, minlength=n)[group % n]
             group = group // n
+        out[outside] = self.outer_share[beyond[outside]]
         return out
 
 
@@ -189,7 +251,7 @@ class VectorIndex:
         rows = self.distinct.select("_rid", "_scope", "_v").mapInArrow(run, "_rid long, _scope string, _v binary, _list long, _codes binary, _g long, _part int, _nb int")
         return rows.withColumn("_qb", F.explode(F.expr("sequence(0, _nb - 1)"))).drop("_nb")
 
-    def _asked(self, queries: DataFrame) -> DataFrame:
+    def _asked(self, queries: DataFrame, floor: float | None) -> DataFrame:
         """Every query in each group part that it visits."""
         lists = self.spark.sparkContext.broadcast(self.lists)
         dim, probes, margin, cut = self.s.dim, self.s.probes, self.s.margin, _Cut(self.total, self.s.part_rows, self.s.query_rows)
@@ -202,7 +264,8 @@ class VectorIndex:
                 if not lists.value.levels:
                     continue
                 for i in range(0, len(x), 1024):
-                    q, g = lists.value.probe(x[i : i + 1024], probes, margin, enough)
+                    part = x[i : i + 1024]
+                    q, g = lists.value.probe(part, probes, margin, enough) if floor is None else lists.value.reach(part, floor)
                     n, blocks = cut.of(g, lists.value)
                     q, g, blocks, first = np.repeat(q, n), np.repeat(g, n), np.repeat(blocks, n), np.repeat(np.cumsum(n) - n, n)
                     part = np.arange(len(q)) - first
@@ -265,7 +328,7 @@ class VectorIndex:
             return pa.table({"_rid": pa.array(a, pa.int64()), "_other": pa.array(b, pa.int64()), "_sim": pa.array(c, pa.float64())})
 
         by = ["_scope", "_g", "_part", "_qb"]
-        found = self._asked(queries).groupBy(*by).cogroup(self._stored().groupBy(*by)).applyInArrow(probe, "_rid long, _other long, _sim double")
+        found = self._asked(queries, floor).groupBy(*by).cogroup(self._stored().groupBy(*by)).applyInArrow(probe, "_rid long, _other long, _sim double")
         # At most k rows of each visited part come together for a query.
         best = found.groupBy("_rid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("_sim")).alias("_neg"), "_other"))), 1, k).alias("_top"))
         return best.select("_rid", F.explode("_top").alias("_t")).select("_rid", F.col("_t._other").alias("_other"), (-F.col("_t._neg")).alias("_sim"))
