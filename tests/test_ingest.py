@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from velumine.operators import indexes, ingest, ranking, search
+from velumine.plans import QUERIES
 
 DOCS = [(1, "Shards hold data. Queries find it.\n\nA second part about tensors."), (2, "Nothing here."), (3, None), (4, "")]
 
@@ -35,6 +37,22 @@ def test_source_files(spark):
     assert ingest.edge_blooms(edges).count() == 2
 
 
+def test_filters_answer_for_all_their_terms(spark):
+    terms = spark.createDataFrame([("a", "X"), ("a", "y"), ("b", "x"), ("b", "z"), ("c", "x"), (None, "x")], "k string, t string")
+    blooms = search.bloom_build(terms.filter("t <> 'z' and k <> 'c'"), "k", "t")
+    assert {r["k"]: r["holds"] for r in search.all_held(terms, blooms, "k", "t").collect()} == {"a": True, "b": False, "c": False}
+
+
+def test_edge_filters_of_many_ends(spark, tmp_path):
+    """With a whole filter beside each end, this ran out of memory."""
+    odd = [(None, "a", "b"), ("CALLS ", None, "A"), ("calls", " ", None), ("uses", "", " "), ("has", "a", "a")]
+    many = spark.range(60_000).select(F.lit("calls").alias("type"), F.concat(F.lit("s"), "id").alias("source_id"), F.concat(F.lit("t"), "id").alias("target_id"))
+    many.union(spark.createDataFrame(odd, "type string, source_id string, target_id string")).write.parquet(str(tmp_path / "edges.parquet"))
+    began = time.monotonic()
+    assert {tuple(r) for r in QUERIES["edge_filters"](spark, str(tmp_path)).select("type", "holds").collect()} == {("calls", True), ("has", True)}
+    assert time.monotonic() - began < 30
+
+
 @pytest.mark.parametrize("name", ["exact", "ivf", "binary"])
 def test_saved_index(spark, tmp_path, name):
     rows = [(i, [float((i * j) % 7 - 3) for j in range(1, 17)]) for i in range(1, 40)]

@@ -122,10 +122,14 @@ def source_files(files: DataFrame, embed_chars: int = 512, dims: int = 64) -> tu
     return nodes, holds.unionByName(uses).dropDuplicates(["source_id", "target_id", "type"])
 
 
+def edge_ends(edges: DataFrame, by: str = "type") -> DataFrame:
+    """(by, _e): the ends of edges, each once."""
+    return edges.select(by, F.explode(F.array(key("source_id"), key("target_id"))).alias("_e")).filter("_e is not null").distinct()
+
+
 def edge_blooms(edges: DataFrame, by: str = "type", size: int = 100_000, hashes: int = 7) -> DataFrame:
     """(by, bloom) of the ends of edges."""
-    ends = edges.select(by, F.explode(F.array(key("source_id"), key("target_id"))).alias("_e")).filter("_e is not null")
-    return search.bloom_build(ends, by, "_e", size, hashes)
+    return search.bloom_build(edge_ends(edges, by), by, "_e", size, hashes)
 
 
 def within_budget(df: DataFrame, by: str, order: Sequence[str], rate: float, burst: float, ts: str = "ts") -> DataFrame:

@@ -198,6 +198,14 @@ def may_hold(bloom: Column, term: str | Column, size: int = BLOOM_SIZE, hashes:
     return F.forall(bloom_positions(t, size, hashes), lambda p: F.array_contains(bloom, p))
 
 
+def all_held(terms: DataFrame, blooms: DataFrame, by: str, term: str, size: int = BLOOM_SIZE, hashes: int = BLOOM_HASHES) -> DataFrame:
+    """(by, holds): whether each group's filter may hold all of the group's terms. For many terms: positions are looked up by a
+    join, at most ``size`` of a group, where ``may_hold`` goes through the whole filter for each position of each term."""
+    held = blooms.select(by, F.explode("bloom").alias("_p"), F.lit(True).alias("_set"))
+    asked = terms.filter(F.col(by).isNotNull()).select(by, F.explode(bloom_positions(F.lower(F.col(term)), size, hashes)).alias("_p")).distinct()
+    return asked.join(held, [by, "_p"], "left").groupBy(by).agg(F.min(F.coalesce("_set", F.lit(False))).alias("holds"))
+
+
 def may_hold_any(bloom: Column, terms: list[str]) -> Column:
     out = F.lit(False)
     for t in terms:

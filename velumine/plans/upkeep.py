@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velumine.functions.text import key
 from velumine.operators import chunking, evaluation, indexes, ingest, memory, ranking, retrieval, search
 from velumine.operators import relational as R
 from velumine.operators import state as S
@@ -192,9 +191,7 @@ def code_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edge_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A filter per type of edge holds every end of its edges."""
     e = load(spark, sf_dir, "edges").select(F.lower(F.trim("type")).alias("type"), "source_id", "target_id").filter("type is not null")
-    ends = e.select("type", F.explode(F.array(key("source_id"), key("target_id"))).alias("_e")).filter("_e is not null").distinct()
-    met = ends.join(ingest.edge_blooms(e), "type")
-    return met.groupBy("type").agg(F.min(search.may_hold(F.col("bloom"), F.col("_e"), 100_000, 7)).alias("holds"))
+    return search.all_held(ingest.edge_ends(e), ingest.edge_blooms(e), "type", "_e", 100_000, 7)
 
 
 @query("bloom_sound", "SELECT DISTINCT source, true AS holds FROM documents WHERE source IS NOT NULL AND text IS NOT NULL AND regexp_matches(text, '\\w{3}')")
