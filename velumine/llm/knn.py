@@ -284,7 +284,8 @@ class VectorIndex:
         every = queries is self.rows
         asked = self.classes if every else self.classes.join(queries.select("_rid"), "_rid", "left_semi")
         stand = self.distinct if every else self.distinct.join(asked.select(F.col("_first").alias("_rid")).distinct(), "_rid", "left_semi")
-        found = self._search(stand, k, floor).select(F.col("_rid").alias("_first"), F.col("_other").alias("_c"), "_sim")
+        # Kept, so that the driver plans the search and the joins of its records one after the other, not as one large plan.
+        found = self.work.keep(self._search(stand, k, floor)).select(F.col("_rid").alias("_first"), F.col("_other").alias("_c"), "_sim")
         copies = self.work.keep(self.classes.filter("_rid <> _first").select("_first").distinct())
         own = copies.select("_first", F.col("_first").alias("_c"), F.lit(1.0).alias("_sim"))
         few = top_per_key(self.classes.join(copies, "_first", "left_semi"), ["_first"], [F.asc("_rid")], k + 1, salt="_rid").select(F.col("_first").alias("_c"), F.col("_rid").alias("_m"))

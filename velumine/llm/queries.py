@@ -117,8 +117,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for name, index in _indexes(spark, sf_dir).items():
         pairs = index.named(index.neighbours(index.rows, 10, floor=ALIKE), "a", "b")
-        parts.append(pairs.select(F.lit(name).alias("table_name"), F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")))
-    return _union(parts).distinct()
+        pairs = pairs.select(F.lit(name).alias("table_name"), F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+        parts.append(index.work.keep(pairs.distinct()))  # as one plan, the three took too much of the driver's memory
+    return _union(parts)
 
 
 def p7_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +127,8 @@ def p7_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for name, index in _indexes(spark, sf_dir).items():
         asked = index.rows if name == "shard_centroids" else index.rows.filter(F.pmod(F.xxhash64("_id"), F.lit(50)) == 0)
-        parts.append(index.named(index.neighbours(asked, 10)).select(F.lit(name).alias("table_name"), "id", "neighbour_id", F.round("similarity", 6).alias("similarity")))
+        found = index.named(index.neighbours(asked, 10)).select(F.lit(name).alias("table_name"), "id", "neighbour_id", F.round("similarity", 6).alias("similarity"))
+        parts.append(index.work.keep(found))
     return _union(parts)
 
 
